@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 
 from .text import NON_WS, WS, py_strip
 
-# The header grammars.
-_PRI_RE = r"(?s)^(?:<([0-9]{1,3})>)?(.*)$"
+# The header grammars. The RFC 5424 and RFC 3164 prefixes
+# start with different characters ("1" / an upper-case letter), so one
+# alternation tried in that order equals "5424 first, else 3164"; host is
+# group 1 and the rest group 2 either way.
+_PRI_RE = r"(?s)^<([0-9]{1,3})>"
 _HEADER_RE = (
-    r"(?sU)^(?:1" + WS + r"+" + NON_WS + r"+" + WS + r"+(" + NON_WS + r"+)" + WS + r"+(.*)"
-    r"|[A-Z][a-z]{2}" + WS + r"+\d{1,2}" + WS + r"+\d{2}:\d{2}:\d{2}" + WS + r"+("
-    + NON_WS + r"+)" + WS + r"+(.*))$"
+    r"(?sU)^(?:1" + WS + r"+" + NON_WS + r"+"
+    r"|[A-Z][a-z]{2}" + WS + r"+\d{1,2}" + WS + r"+\d{2}:\d{2}:\d{2})"
+    + WS + r"+(" + NON_WS + r"+)" + WS + r"+(.*)$"
 )
 _CEF_RE = r"(?U)CEF:\d+\|"
 # A plain decimal / exponent number, the forms a CEF severity takes.
@@ -72,26 +75,57 @@ def cef_severity(message: Column | str) -> Column:
     return F.when(msg.rlike(_CEF_RE) & value.isNotNull(), ladder).cast("int")
 
 
-def parse_line(raw: Column | str) -> Column:
-    """One struct ``(host, facility, severity, message)`` per raw line."""
-    raw = F.col(raw) if isinstance(raw, str) else raw
-    line = py_strip(raw)
-    pri_digits = F.regexp_extract(line, _PRI_RE, 1)
-    pri = F.when(pri_digits != "", pri_digits.cast("int"))
-    body0 = py_strip(F.regexp_extract(line, _PRI_RE, 2))
-    h5 = F.regexp_extract(body0, _HEADER_RE, 1)
-    h3 = F.regexp_extract(body0, _HEADER_RE, 3)
-    host = F.when(h5 != "", h5).when(h3 != "", h3)
-    body = (F.when(h5 != "", py_strip(F.regexp_extract(body0, _HEADER_RE, 2)))
-            .when(h3 != "", py_strip(F.regexp_extract(body0, _HEADER_RE, 4)))
-            .otherwise(body0))
-    severity = F.coalesce(cef_severity(body), F.pmod(pri, F.lit(8)))
-    return F.struct(
+def _pri_stage(line: Column):
+    """(pri digits or "", body after the PRI, stripped)."""
+    digits = F.regexp_extract(line, _PRI_RE, 1)
+    body0 = F.when(digits != "", py_strip(F.substring(line, F.length(digits) + 3, 2 ** 31 - 1))) \
+             .otherwise(line)
+    return digits, body0
+
+
+def _header_stage(body0: Column):
+    """(host or "", message) after removing an RFC 5424 / 3164 header."""
+    host = F.regexp_extract(body0, _HEADER_RE, 1)
+    message = F.when(host != "", py_strip(F.regexp_extract(body0, _HEADER_RE, 2))).otherwise(body0)
+    return host, message
+
+
+def _finish(digits: Column, host: Column, message: Column) -> list[Column]:
+    pri = F.when(digits != "", digits.cast("int"))
+    return [
         F.when(~host.isin("-", ""), host).alias("host"),
         F.shiftright(pri, 3).alias("facility"),
-        severity.cast("int").alias("severity"),
-        body.alias("message"),
-    )
+        F.coalesce(cef_severity(message), F.pmod(pri, F.lit(8))).cast("int").alias("severity"),
+        message.alias("message"),
+    ]
+
+
+def parse_line(raw: Column | str) -> Column:
+    """One struct ``(host, facility, severity, message)`` per raw line.
+
+    Single-expression form; :func:`parse_lines` evaluates the same stages as
+    separate projections so no regex is evaluated twice.
+    """
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    digits, body0 = _pri_stage(py_strip(raw))
+    host, message = _header_stage(body0)
+    return F.struct(*_finish(digits, host, message))
+
+
+def header_kind(body: Column | str) -> Column:
+    """``rfc5424``, ``rfc3164`` or null for a body after the PRI prefix."""
+    body = F.col(body) if isinstance(body, str) else body
+    host = F.regexp_extract(body, _HEADER_RE, 1)
+    return F.when(host != "", F.when(body.startswith("1"), F.lit("rfc5424")).otherwise(F.lit("rfc3164")))
+
+
+def pri_parts(raw: Column | str) -> Column:
+    """``(pri, facility, severity, body)`` of the optional ``<PRI>`` prefix."""
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    digits, body0 = _pri_stage(py_strip(raw))
+    pri = F.when(digits != "", digits.cast("int"))
+    return F.struct(pri.alias("pri"), F.shiftright(pri, 3).alias("facility"),
+                    F.pmod(pri, F.lit(8)).alias("severity"), body0.alias("body"))
 
 
 def has_message(raw: Column | str) -> Column:
@@ -105,8 +139,16 @@ def has_message(raw: Column | str) -> Column:
 
 
 def parse_lines(df: DataFrame, raw_col: str = "raw", keep: list[str] | None = None) -> DataFrame:
-    """raw lines -> raw_logs rows ``(*keep, host, facility, severity, message)``."""
+    """raw lines -> raw_logs rows ``(*keep, host, facility, severity, message)``.
+
+    Three projections (strip + PRI, header, CEF / finish): each stage's
+    outputs are referenced several times by the next, so Catalyst keeps the
+    stages apart instead of inlining (and re-evaluating) the regexes.
+    """
     keep = list(keep if keep is not None else [c for c in df.columns if c != raw_col])
-    return (df.filter(has_message(raw_col))
-              .select(*keep, parse_line(raw_col).alias("_p"))
-              .select(*keep, "_p.host", "_p.facility", "_p.severity", "_p.message"))
+    s1 = df.filter(has_message(raw_col)).select(*keep, py_strip(raw_col).alias("_line"))
+    digits, body0 = _pri_stage(F.col("_line"))
+    s2 = s1.select(*keep, digits.alias("_digits"), body0.alias("_body0"))
+    host, message = _header_stage(F.col("_body0"))
+    s3 = s2.select(*keep, "_digits", host.alias("_host"), message.alias("_message"))
+    return s3.select(*keep, *_finish(F.col("_digits"), F.col("_host"), F.col("_message")))

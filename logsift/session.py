@@ -31,6 +31,7 @@ def get_spark(master: str | None = None, app: str = "logsift",
         builder = builder.master(master)
     conf = dict(_REQUIRED_CONF)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
