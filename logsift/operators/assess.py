@@ -90,16 +90,18 @@ def issue_candidates(templates: DataFrame, sample: DataFrame, keys: Sequence[str
     P = pkeys(keys)
     ev = (sample.withColumn("template", templatize("message"))
                 .groupBy(*P, "template").agg(F.min_by("message", "rank").alias("evidence")))
-    t = templates.withColumn("rule", rule_index(F.col("template")))
-    kind = _rule_attr(F.col("rule"), 0)
-    t = t.filter(F.col("rule").isNull() | (kind != "benign"))
+    t = templates.join(ev, on=P + ["template"], how="left")
+    # The rule index is computed once; rows a rule does not keep contribute
+    # nulls instead of being filtered, so no predicate on the regex-derived
+    # columns exists to be pushed below (and re-evaluated under) this step.
+    t = t.withColumn("rule", rule_index(F.col("template")))
     is_rule = F.col("rule").isNotNull()
-    t = t.filter(is_rule | (F.col("elevated") > 0))
-    t = t.join(ev, on=P + ["template"], how="left")
+    keep = F.when(is_rule, _rule_attr(F.col("rule"), 0) != "benign").otherwise(F.col("elevated") > 0)
     title = F.when(is_rule, _rule_attr(F.col("rule"), 3)).otherwise(F.col("template"))
     sev = F.when(is_rule, _rule_attr(F.col("rule"), 4)).otherwise(default_severity(F.col("worst_severity")))
     t = t.select(
-        *P, title.alias("title"), F.col("rank"), F.col("count"), F.col("worst_severity"),
+        *P, F.when(keep, title).alias("title"), F.col("rank"),
+        F.when(keep, F.col("count")).alias("count"), F.col("worst_severity"),
         F.when(is_rule, _rule_attr(F.col("rule"), 2)).otherwise(F.lit(DEFAULT_CATEGORY)).alias("category"),
         sev.alias("severity"),
         F.when(is_rule, _rule_attr(F.col("rule"), 5, "int")).otherwise(F.lit(min_count)).alias("min_count"),

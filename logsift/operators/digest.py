@@ -81,7 +81,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: list[Column], k: int,
 
 def top_templates(counts: DataFrame, keys: Sequence[str] = (), k: int = K_TEMPLATES) -> DataFrame:
     """Most frequent templates; ties go to the earlier first sighting."""
-    return top_k(counts, keys, [F.desc("count"), F.asc("first_key")], k)
+    return top_k(counts, keys, [F.desc("count"), F.asc("first_key"), F.asc("template")], k)
 
 
 def host_counts(lines: DataFrame, keys: Sequence[str] = (), period: str = "60 minutes",
@@ -96,7 +96,7 @@ def host_counts(lines: DataFrame, keys: Sequence[str] = (), period: str = "60 mi
 
 
 def top_hosts(hosts: DataFrame, keys: Sequence[str] = (), k: int = K_HOSTS) -> DataFrame:
-    return top_k(hosts, keys, [F.desc("count"), F.asc("first_key")], k)
+    return top_k(hosts, keys, [F.desc("count"), F.asc("first_key"), F.asc("host")], k)
 
 
 def elevated_sample(lines: DataFrame, keys: Sequence[str] = (), period: str = "60 minutes",

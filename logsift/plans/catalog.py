@@ -23,7 +23,7 @@ from ..operators import digest as D
 from ..operators import findings as FS
 from ..operators import review as R
 from ..sources import testdata as TD
-from ..sources.tables import materialize
+from ..sources.tables import write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,9 +55,25 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     return parse_lines(syslog(spark, sf), "raw", keep=["id", "ts"])
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def stored_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """The parsed lines as a written raw_logs table (what evaluations read)."""
-    return materialize(lines(spark, sf), "raw_logs")
+    """The parsed lines as a written raw_logs table (what evaluations read).
+
+    Like ingest, the table is written once per session and data folder and
+    then read by every evaluation query.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    path = _WRITTEN.get(key)
+    if path is not None:
+        try:
+            return spark.read.parquet(path)
+        except Exception:  # removed meanwhile: write again
+            pass
+    path = write_table(lines(spark, sf), "raw_logs")
+    _WRITTEN[key] = path
+    return spark.read.parquet(path)
 
 
 def findings(spark: SparkSession, sf: str) -> DataFrame:

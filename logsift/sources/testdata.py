@@ -18,7 +18,18 @@ from .. import schemas
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a source that arrives in fewer splits than the cluster has cores.
+
+    Parsing and masking are CPU-bound per row; a small file with one row group
+    would otherwise be one task. Large inputs already have many splits and are
+    returned unchanged (no shuffle).
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

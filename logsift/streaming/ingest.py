@@ -35,8 +35,7 @@ def lines_stream(spark: SparkSession, path: str, fmt: str = "text",
     """raw_logs rows from a directory of text files (one line per row).
 
     ``read.text`` already splits on ``\\n``, ``\\r\\n`` and ``\\r``; lines get
-    ``ts`` = receive time and an ``id`` from the file name and an order-stable
-    per-micro-batch number.
+    ``ts`` = receive time and ``id`` = arrival order within the micro-batch.
     """
     src = spark.readStream.format(fmt).load(path)
     return parse_payloads(src.select(F.col(payload_col).alias("raw")))
@@ -50,6 +49,11 @@ def parse_payloads(src: DataFrame, raw_col: str = "raw", binary: bool = False) -
     parsed = parse_lines(framed, "raw", keep=keep)
     if "ts" not in parsed.columns:
         parsed = parsed.withColumn("ts", F.current_timestamp())
+    if "id" not in parsed.columns:
+        # Streams carry no line number; consume_once(renumber_ids=True)
+        # numbers each micro-batch in arrival order, batch input right away.
+        parsed = parsed.withColumn("id", F.lit(0).cast("long") if parsed.isStreaming
+                                   else F.monotonically_increasing_id())
     return parsed
 
 
@@ -68,12 +72,15 @@ def _batch_findings(batch: DataFrame, batch_id: int, keys: Sequence[str],
 def consume_once(stream: DataFrame, findings_path: str, checkpoint: str | None = None,
                  keys: Sequence[str] = (), k_templates: int = D.K_TEMPLATES,
                  k_samples: int = D.K_SAMPLES, k_hosts: int = D.K_HOSTS,
-                 assess: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
+                 assess: Callable[[DataFrame, int], DataFrame] | None = None,
+                 renumber_ids: bool = False) -> None:
     """Evaluate everything buffered now, store findings, then commit (= consume).
 
     ``assess(batch, batch_id)`` may replace the rules assessor; if it raises,
     the query fails before the commit and the same lines are evaluated again
-    on the next run.
+    on the next run. ``renumber_ids`` numbers the lines of each micro-batch in
+    arrival order (for sources without a line id; the file splits of a batch
+    are fixed, so a replayed batch is numbered alike).
     """
     spark = stream.sparkSession
     checkpoint = checkpoint or scratch_path(spark, "consume_once", "checkpoint")
@@ -81,9 +88,11 @@ def consume_once(stream: DataFrame, findings_path: str, checkpoint: str | None =
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
+        if renumber_ids:
+            batch = batch.withColumn("id", F.monotonically_increasing_id())
         out = (assess(batch, batch_id) if assess else
                _batch_findings(batch, batch_id, keys, k_templates, k_samples, k_hosts))
-        FS.append_new(out, findings_path, list(keys) + ["batch_id"], period_col="batch_id")
+        FS.append_new(out, findings_path, list(keys), period_col="batch_id")
 
     q = (stream.writeStream.foreachBatch(run).trigger(availableNow=True)
          .option("checkpointLocation", checkpoint).start())

@@ -18,8 +18,8 @@ from . import ingest as I
 def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
     """``events`` as a file stream (the whole table, one micro-batch)."""
     schema = TD.table(spark, sf, "events").schema
-    return (spark.readStream.schema(schema).parquet(sf.rstrip("/") + "/events.parquet")
-            .withColumn("ts", F.col("ts").cast("timestamp")))
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+            .parquet(sf.rstrip("/")).withColumn("ts", F.col("ts").cast("timestamp")))
 
 
 def q_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
