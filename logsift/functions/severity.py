@@ -37,6 +37,10 @@ def ladder_name(rank: Column | str) -> Column:
 
 
 def is_elevated(sev: Column | str) -> Column:
-    """Severity present and <= 4; null is never elevated."""
+    """Severity present and <= 4; null is never elevated.
+
+    Written as two plain comparisons so that Parquet scans receive it as
+    pushed filters (``IsNotNull``, ``LessThanOrEqual``).
+    """
     sev = F.col(sev) if isinstance(sev, str) else sev
-    return F.coalesce(sev <= ELEVATED_MAX_SEVERITY, F.lit(False))
+    return sev.isNotNull() & (sev <= ELEVATED_MAX_SEVERITY)

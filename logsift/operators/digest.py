@@ -118,10 +118,19 @@ def digest_stats(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def digest_parts(lines: DataFrame, keys: Sequence[str] = (), period: str = "60 minutes",
                  tz: str = "UTC", k_templates: int = K_TEMPLATES, k_hosts: int = K_HOSTS,
-                 k_samples: int = K_SAMPLES) -> dict[str, DataFrame]:
-    """The bounded pieces a digest is made of."""
+                 k_samples: int = K_SAMPLES, share_counts: bool = True) -> dict[str, DataFrame]:
+    """The bounded pieces a digest is made of.
+
+    The template counts feed both the stats and the top-k. Catalyst prunes
+    the two uses differently, so they would not share an exchange and the
+    scan + masking would run twice; ``share_counts`` cuts the lineage after
+    the aggregation with a reliable checkpoint (the shared checkpoint folder),
+    so the lines are masked once and an executor loss restarts from there.
+    """
     base = lines if "period_start" in lines.columns else with_period(lines, period, tz)
     counts = template_counts(base, keys)
+    if share_counts and not counts.isStreaming:
+        counts = counts.checkpoint(eager=True)
     return {
         "counts": counts,
         "stats": digest_stats(counts, keys),

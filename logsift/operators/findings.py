@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from .. import schemas
-from ..functions.severity import ELEVATED_MAX_SEVERITY
+from ..functions.severity import is_elevated
 
 # ── JSON codec ───────────────────────────────────────────────────────────────
 
@@ -149,7 +149,7 @@ def logs_until(lines: DataFrame, cutoff) -> DataFrame:
 
 
 def elevated(lines: DataFrame) -> DataFrame:
-    return lines.filter(F.col("severity") <= ELEVATED_MAX_SEVERITY)
+    return lines.filter(is_elevated("severity"))
 
 
 def since(df: DataFrame, since_ts) -> DataFrame:

@@ -108,10 +108,11 @@ def trends(issues: DataFrame, keys: Sequence[str], window_days: int = WINDOW_DAY
 
 
 def review_table(findings: DataFrame, keys: Sequence[str] = (), window_days: int = WINDOW_DAYS,
-                 review_hour: int = REVIEW_HOUR, tz: str = "UTC") -> DataFrame:
+                 review_hour: int = REVIEW_HOUR, tz: str = "UTC", assigned: DataFrame | None = None) -> DataFrame:
     """Ranked recurrence per (keys, review_ts) with trend direction."""
     rk = list(keys) + ["review_ts"]
-    assigned = assign_reviews(findings, window_days, review_hour, tz)
+    if assigned is None:
+        assigned = assign_reviews(findings, window_days, review_hour, tz)
     iss = explode_issues(assigned, rk)
     rec = rank_recurrence(recurrence(iss, rk, tz), rk)
     tr = trends(iss, rk, window_days)
@@ -146,7 +147,7 @@ def build_reviews(findings: DataFrame, keys: Sequence[str] = (), window_days: in
     """
     rk = list(keys) + ["review_ts"]
     assigned = assign_reviews(findings, window_days, review_hour, tz)
-    table = review_table(findings, keys, window_days, review_hour, tz)
+    table = review_table(findings, keys, window_days, review_hour, tz, assigned=assigned)
     rec = table.groupBy(*rk).agg(
         F.count(F.lit(1)).alias("distinct_findings"),
         F.sort_array(F.collect_list(F.struct(
