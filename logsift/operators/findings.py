@@ -123,14 +123,23 @@ def split_valid(df: DataFrame, json_col: str = "payload_json"):
 # ── writes ──────────────────────────────────────────────────────────────────
 
 def append_new(df: DataFrame, path: str, keys: Sequence[str] = (),
-               period_col: str = "period_start") -> DataFrame:
-    """Append rows whose (keys, period) is not stored yet; returns the rows written."""
+               period_col: str = "period_start", by_date: bool | None = None) -> DataFrame:
+    """Append rows whose (keys, period) is not stored yet; returns the rows written.
+
+    With ``by_date`` (default for period keys) the anti-join also matches
+    ``period_date``, the partition column, so only the stored days the new
+    rows fall on are read (partition pruning) instead of every stored key.
+    """
     spark = df.sparkSession
-    key_cols = list(keys) + [period_col]
+    by_date = (period_col != "batch_id") if by_date is None else by_date
+    key_cols = list(keys) + [period_col] + (["period_date"] if by_date else [])
     out = df.withColumn("period_date", F.to_date("ts"))
     try:
-        stored = spark.read.parquet(path).select(*key_cols).distinct()
-        out = out.join(stored, on=key_cols, how="left_anti")
+        stored = spark.read.parquet(path)
+        if by_date:
+            days = [r[0] for r in out.select("period_date").distinct().collect()]
+            stored = stored.filter(F.col("period_date").isin(days))
+        out = out.join(stored.select(*key_cols).distinct(), on=key_cols, how="left_anti")
     except AnalysisException:
         pass  # nothing stored yet
     out.write.mode("append").partitionBy("period_date").parquet(path)
@@ -189,15 +198,32 @@ def retention_counts(df: DataFrame, now, days: int = 30) -> DataFrame:
 
 
 def purge(spark: SparkSession, path: str, now, days: int = 30) -> dict:
-    """Drop whole ``period_date`` partitions older than the cutoff day, rewrite the
-    boundary day with the keep-filter. Returns removed counts."""
+    """Retention purge of a table partitioned by ``period_date``.
+
+    Partitions of days before the cutoff day are deleted whole; only the
+    cutoff day itself is rewritten with the keep-filter (dynamic partition
+    overwrite touches that one partition). Returns kept / removed counts.
+    """
     df = spark.read.parquet(path)
-    counts = retention_counts(df, now, days).collect()[0].asDict()
-    if counts["removed"]:
-        kept = retention_keep(df, now, days)
-        tmp = path.rstrip("/") + ".purge"
-        kept.write.mode("overwrite").partitionBy("period_date").parquet(tmp)
-        spark.read.parquet(tmp).write.mode("overwrite").partitionBy("period_date").parquet(path)
+    counts = retention_counts(df, now, days).first().asDict()
+    if not counts["removed"]:
+        return counts
+    cutoff = spark.range(1).select(retention_cutoff(now, days).alias("c")).first()["c"]
+    cutoff_day = cutoff.date()
+    boundary = (df.filter((F.col("period_date") == F.lit(cutoff_day)) & (F.col("ts") >= F.lit(cutoff)))
+                .checkpoint(eager=True))  # cut the read of the partition being replaced
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("period_date="):
+            day = name.split("=", 1)[1]
+            if day < cutoff_day.isoformat() or (day == cutoff_day.isoformat() and boundary.isEmpty()):
+                fs.delete(st.getPath(), True)
+    if not boundary.isEmpty():
+        (boundary.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("period_date").parquet(path))
     return counts
 
 

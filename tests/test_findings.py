@@ -104,3 +104,16 @@ def test_payload_roundtrip(spark):
     back = f.select(FS.payload_from_json(FS.payload_to_json("payload"), schemas.FINDING_PAYLOAD).alias("p"),
                     "payload").first()
     assert back["p"] == back["payload"]
+
+
+def test_purge_drops_old_days_and_trims_boundary(spark):
+    path = scratch_path(spark, "test", "purge", str(id(spark)) + "p")
+    ts = ["2024-01-01 00:00:00", "2024-01-02 05:00:00", "2024-01-02 07:00:00", "2024-01-03 00:00:00"]
+    df = spark.createDataFrame([(t,) for t in ts], "ts string").select(
+        F.col("ts").cast("timestamp").alias("period_start"), F.col("ts").cast("timestamp").alias("ts"))
+    FS.append_new(df, path)
+    FS.append_new(df, path)  # idempotent
+    c = FS.purge(spark, path, "2024-01-03 06:00:00", 1)  # cutoff 2024-01-02 06:00
+    assert (c["kept"], c["removed"]) == (2, 2)
+    left = sorted(str(r["ts"]) for r in spark.read.parquet(path).collect())
+    assert left == ["2024-01-02 07:00:00", "2024-01-03 00:00:00"]
