@@ -55,27 +55,34 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     return parse_lines(syslog(spark, sf), "raw", keep=["id", "ts"])
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
-def stored_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """The parsed lines as a written raw_logs table (what evaluations read).
-
-    Like ingest, the table is written once per session and data folder and
-    then read by every evaluation query.
-    """
-    key = (spark.sparkContext.applicationId, sf)
+def _stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A table written once per session and data folder, then read by every query."""
+    key = (spark.sparkContext.applicationId, sf, name)
     path = _WRITTEN.get(key)
     if path is not None:
         try:
             return spark.read.parquet(path)
         except Exception:  # removed meanwhile: write again
             pass
-    path = write_table(lines(spark, sf), "raw_logs")
+    path = write_table(build(spark, sf), name)
     _WRITTEN[key] = path
     return spark.read.parquet(path)
 
 
+def stored_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The parsed lines as a written raw_logs table (what evaluations read),
+    written once like ingest would."""
+    return _stored(spark, sf, "raw_logs", lines)
+
+
+def stored_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings view as a written findings table (what reviews read)."""
+    return _stored(spark, sf, "findings", findings)
+
+
 def findings(spark: SparkSession, sf: str) -> DataFrame:
     return TD.findings_view(TD.events(spark, sf))
 
@@ -294,18 +301,18 @@ def q_weekly_sample(spark, sf):
 
 
 def q_rolling_recurrence(spark, sf):
-    t = R.review_table(findings(spark, sf))
+    t = R.review_table(stored_findings(spark, sf))
     return ntz(t.select("review_ts", "rank", "title", "severity", "category", "days", "hours",
                         "occurrences"))
 
 
 def q_trend_direction(spark, sf):
-    t = R.review_table(findings(spark, sf))
+    t = R.review_table(stored_findings(spark, sf))
     return ntz(t.select("review_ts", "title", "first_half", "second_half", "direction"))
 
 
 def weekly(spark, sf) -> DataFrame:
-    return R.build_reviews(findings(spark, sf))
+    return R.build_reviews(stored_findings(spark, sf))
 
 
 def q_review_rules(spark, sf):
