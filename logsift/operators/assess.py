@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.severity import SEVERITY_LADDER, severity_name, severity_rank
-from ..functions.template import templatize
 from .digest import pkeys
 
 # Fixed values [DESIGN]: the rules table. kind, pattern (Java and RE2 syntax,
@@ -83,14 +82,17 @@ def issue_candidates(templates: DataFrame, sample: DataFrame, keys: Sequence[str
                      min_count: int = DEFAULT_MIN_COUNT) -> DataFrame:
     """Issue rows per (P, title) from the digest's top templates.
 
-    ``templates``: P, template, count, rank, elevated, worst_severity.
-    ``sample``: P, rank, message (elevated sample); the earliest sample line
-    of a template is its evidence, else the template itself.
+    ``templates``: P, template, count, rank, elevated, worst_severity,
+    first_elevated_key. ``sample``: P, seen_key, message (elevated sample).
+    The earliest sample line of a template is its evidence, else the
+    template itself. The sample is the period's first elevated lines in
+    (ts, id) order, so a template has a sample line exactly when its first
+    elevated line is in the sample, and that line is its earliest one: an
+    equi-join on the (ts, id) key finds it without masking the sample.
     """
     P = pkeys(keys)
-    ev = (sample.withColumn("template", templatize("message"))
-                .groupBy(*P, "template").agg(F.min_by("message", "rank").alias("evidence")))
-    t = templates.join(ev, on=P + ["template"], how="left")
+    ev = sample.select(*P, F.col("seen_key").alias("first_elevated_key"), F.col("message").alias("evidence"))
+    t = templates.join(ev, on=P + ["first_elevated_key"], how="left")
     # The rule index is computed once; rows a rule does not keep contribute
     # nulls instead of being filtered, so no predicate on the regex-derived
     # columns exists to be pushed below (and re-evaluated under) this step.

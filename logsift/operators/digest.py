@@ -59,7 +59,12 @@ def _first(c: str = "first_key") -> list[Column]:
 
 def template_counts(lines: DataFrame, keys: Sequence[str] = (), period: str = "60 minutes",
                     tz: str = "UTC", with_template: bool = False) -> DataFrame:
-    """Count per (P, template) with first sighting, elevated count, worst severity."""
+    """Count per (P, template) with first sighting, elevated count, worst severity.
+
+    ``first_elevated_key`` is the (ts, id) key of the template's first
+    elevated line: the assessor finds its evidence line in the elevated
+    sample by this key, without masking the sample again.
+    """
     base = lines if with_template else lines.withColumn("template", templatize("message"))
     if "period_start" not in base.columns:
         base = with_period(base, period, tz)
@@ -68,8 +73,10 @@ def template_counts(lines: DataFrame, keys: Sequence[str] = (), period: str = "6
                 .agg(F.count(F.lit(1)).alias("count"),
                      F.min(seen_key()).alias("first_key"),
                      F.count_if(is_elevated("severity")).alias("elevated"),
-                     F.min("severity").alias("worst_severity"))
-                .select(*P, "template", "count", *_first(), "elevated", "worst_severity"))
+                     F.min("severity").alias("worst_severity"),
+                     F.min(F.when(is_elevated("severity"), seen_key())).alias("first_elevated_key"))
+                .select(*P, "template", "count", *_first(), "elevated", "worst_severity",
+                        "first_elevated_key"))
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: list[Column], k: int,
@@ -104,7 +111,8 @@ def elevated_sample(lines: DataFrame, keys: Sequence[str] = (), period: str = "6
     """First k elevated rows of each period in (ts, id) order, raw message kept."""
     base = lines if "period_start" in lines.columns else with_period(lines, period, tz)
     return top_k(base.filter(is_elevated("severity"))
-                     .select(*pkeys(keys), "ts", "id", "host", "severity", "message"),
+                     .select(*pkeys(keys), "ts", "id", "host", "severity", "message",
+                             seen_key().alias("seen_key")),
                  keys, [F.asc("ts"), F.asc("id")], k)
 
 
