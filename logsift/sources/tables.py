@@ -1,6 +1,6 @@
 """Written tables in the shared checkpoint folder.
 
-Parsed lines are the reference's ``raw_logs`` table: written once by ingest,
+Parsed lines form the ``raw_logs`` table: written once by ingest,
 read by every evaluation. Reading a written Parquet table (instead of
 re-deriving it) pushes ``severity`` / ``ts`` predicates into the scan,
 prunes columns per branch and cuts the lineage, so an executor loss
