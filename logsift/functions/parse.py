@@ -62,17 +62,33 @@ def frame_lines(df: DataFrame, text_col: str, keep: list[str] | None = None,
     return out.filter(F.length(py_strip(F.col(line_col))) > 0)
 
 
+def _cef_field(msg: Column) -> Column:
+    """Stripped 7th ``|`` field after the first ``CEF:``; null unless the message is CEF.
+
+    ``instr`` is a cheap gate in front of the regex; the split only runs for
+    CEF lines (a CASE branch is evaluated lazily).
+    """
+    is_cef = (F.instr(msg, "CEF:") > 0) & msg.rlike(_CEF_RE)
+    cef = msg.substr(F.instr(msg, "CEF:"), F.lit(2 ** 31 - 1))
+    return F.when(is_cef, py_strip(F.get(F.split(cef, r"\|", -1), 6)))
+
+
+def _cef_value(field: Column) -> Column:
+    """The field as a finite double when it is a plain number, else null."""
+    return F.when(field.rlike(_NUMBER_RE), field.try_cast("double"))
+
+
+def _cef_ladder(value: Column) -> Column:
+    # inf / 1e999 cannot be truncated to an int: treated as "no severity".
+    return (F.when(F.abs(value) < F.lit(float("inf")),
+                   F.when(value >= 9, 2).when(value >= 7, 3).when(value >= 4, 4).otherwise(6))
+            .cast("int"))
+
+
 def cef_severity(message: Column | str) -> Column:
     """Syslog severity from a CEF Severity field, or null when there is none."""
     msg = F.col(message) if isinstance(message, str) else message
-    cef = msg.substr(F.instr(msg, "CEF:"), F.lit(2 ** 31 - 1))
-    field = py_strip(F.get(F.split(cef, r"\|", -1), 6))
-    value = F.when(field.rlike(_NUMBER_RE), field.try_cast("double"))
-    # inf / 1e999 cannot be truncated to an int: treated as "no severity".
-    value = F.when(F.abs(value) < F.lit(float("inf")), value)
-    ladder = (F.when(value >= 9, 2).when(value >= 7, 3)
-              .when(value >= 4, 4).otherwise(6))
-    return F.when(msg.rlike(_CEF_RE) & value.isNotNull(), ladder).cast("int")
+    return _cef_ladder(_cef_value(_cef_field(msg)))
 
 
 def _pri_stage(line: Column):
@@ -90,12 +106,13 @@ def _header_stage(body0: Column):
     return host, message
 
 
-def _finish(digits: Column, host: Column, message: Column) -> list[Column]:
+def _finish(digits: Column, host: Column, message: Column, cef_sev: Column | None = None) -> list[Column]:
     pri = F.when(digits != "", digits.cast("int"))
+    cef_sev = cef_severity(message) if cef_sev is None else cef_sev
     return [
         F.when(~host.isin("-", ""), host).alias("host"),
         F.shiftright(pri, 3).alias("facility"),
-        F.coalesce(cef_severity(message), F.pmod(pri, F.lit(8))).cast("int").alias("severity"),
+        F.coalesce(cef_sev, F.pmod(pri, F.lit(8))).cast("int").alias("severity"),
         message.alias("message"),
     ]
 
@@ -141,9 +158,10 @@ def has_message(raw: Column | str) -> Column:
 def parse_lines(df: DataFrame, raw_col: str = "raw", keep: list[str] | None = None) -> DataFrame:
     """raw lines -> raw_logs rows ``(*keep, host, facility, severity, message)``.
 
-    Three projections (strip + PRI, header, CEF / finish): each stage's
-    outputs are referenced several times by the next, so Catalyst keeps the
-    stages apart instead of inlining (and re-evaluating) the regexes.
+    Staged projections (strip + PRI, header, CEF field, CEF number, finish):
+    each stage's outputs are referenced several times by the next, so
+    Catalyst keeps the stages apart instead of inlining (and re-evaluating)
+    the regexes, and the CEF work runs only for lines that contain ``CEF:``.
     """
     keep = list(keep if keep is not None else [c for c in df.columns if c != raw_col])
     s1 = df.filter(has_message(raw_col)).select(*keep, py_strip(raw_col).alias("_line"))
@@ -151,4 +169,7 @@ def parse_lines(df: DataFrame, raw_col: str = "raw", keep: list[str] | None = No
     s2 = s1.select(*keep, digits.alias("_digits"), body0.alias("_body0"))
     host, message = _header_stage(F.col("_body0"))
     s3 = s2.select(*keep, "_digits", host.alias("_host"), message.alias("_message"))
-    return s3.select(*keep, *_finish(F.col("_digits"), F.col("_host"), F.col("_message")))
+    s4 = s3.select(*keep, "_digits", "_host", "_message", _cef_field(F.col("_message")).alias("_cef"))
+    s5 = s4.select(*keep, "_digits", "_host", "_message", _cef_value(F.col("_cef")).alias("_cef_v"))
+    return s5.select(*keep, *_finish(F.col("_digits"), F.col("_host"), F.col("_message"),
+                                     _cef_ladder(F.col("_cef_v"))))

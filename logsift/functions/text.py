@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f]"        # Python str.isspace() under (?U)
 NON_WS = r"[^\s\x1c-\x1f]"   # Python \S
 
-_STRIP = r"(?U)^" + WS + r"+|" + WS + r"+$"
+# The characters ``str.isspace()`` accepts (the same set as ``WS``), built
+# by that rule: U+0009..000D, U+001C..001F, space, U+0085, U+00A0, U+1680,
+# U+2000..200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def py_strip(c: Column | str) -> Column:
-    """``str.strip()``: drop leading and trailing Unicode whitespace."""
-    return F.regexp_replace(_col(c), _STRIP, "")
+    """``str.strip()``: drop leading and trailing Unicode whitespace.
+
+    ``btrim`` with the whitespace set compares characters, no regex.
+    """
+    return F.btrim(_col(c), F.lit(PY_WHITESPACE))
 
 
 def truncate_with_marker(c: Column | str, max_chars: int, marker: str) -> Column:
