@@ -39,12 +39,28 @@ def pkeys(keys: Sequence[str] = ()) -> list[str]:
     return list(keys) + PERIOD
 
 
+_UNIT_MINUTES = {"minute": 1, "minutes": 1, "hour": 60, "hours": 60, "day": 1440, "days": 1440}
+
+
+def period_minutes(period: str) -> int | None:
+    """Length of a simple ``"<n> minutes|hours|days"`` period, else None."""
+    parts = period.strip().lower().split()
+    if len(parts) == 2 and parts[0].isdigit() and parts[1] in _UNIT_MINUTES:
+        return int(parts[0]) * _UNIT_MINUTES[parts[1]]
+    return None
+
+
 def with_period(lines: DataFrame, period: str = "60 minutes", tz: str = "UTC") -> DataFrame:
     """Tumbling period columns. Periods are aligned in ``tz`` wall clock.
 
-    Periods that divide an hour or a day align on the clock marks (``:00``,
-    ``:15``, midnight) as a wall-clock schedule would.
+    Periods must divide a day (5, 15, 60 minutes, 2, 3, 6 hours, ...): they
+    then align on the clock marks (``:00``, ``:15``, midnight) as a
+    wall-clock schedule would. Other lengths (e.g. 7 minutes, 5 hours) have
+    no stable clock alignment and are rejected.
     """
+    m = period_minutes(period)
+    if m is not None and (m <= 0 or 1440 % m != 0):
+        raise ValueError(f"period {period!r} must divide 24 hours")
     if tz.upper() == "UTC":
         w = F.window("ts", period)
         return lines.withColumn("period_start", w.start).withColumn("period_end", w.end)

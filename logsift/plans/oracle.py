@@ -92,14 +92,17 @@ lines AS (
   FROM l8)"""
 
 
-def with_period(minutes: int = 60) -> str:
-    if minutes == 60:
-        start = "date_trunc('hour', ts)"
+def with_period(minutes: int = 60, whole: bool = False) -> str:
+    """``whole``: one period spanning all lines, bounded by their min / max ts."""
+    if whole:
+        start, end = "(SELECT min(ts) FROM lines)", "(SELECT max(ts) FROM lines)"
     else:
-        start = f"time_bucket(INTERVAL '{minutes} minutes', ts, TIMESTAMP '1970-01-01')"
+        start = ("date_trunc('hour', ts)" if minutes == 60 else
+                 f"time_bucket(INTERVAL '{minutes} minutes', ts, TIMESTAMP '1970-01-01')")
+        end = f"{start} + INTERVAL '{minutes} minutes'"
     return PARSED + f""",
 t AS (
-  SELECT *, {start} AS period_start, {start} + INTERVAL '{minutes} minutes' AS period_end,
+  SELECT *, {start} AS period_start, {end} AS period_end,
     {templ('message')} AS template
   FROM lines),
 tc AS (
@@ -171,10 +174,10 @@ def _arr(i: int, quote: bool = True) -> str:
     return "[" + ", ".join(str(v) for v in vals) + "]"
 
 
-def assessed() -> str:
+def assessed(whole: bool = False) -> str:
     rule_case = "CASE " + " ".join(
         f"WHEN regexp_matches(template, '{r[1]}') THEN {i}" for i, r in enumerate(A.RULES)) + " END"
-    return with_period(60) + f""",
+    return with_period(60, whole) + f""",
 top AS (SELECT * FROM tr WHERE rank <= {C.D.K_TEMPLATES}),
 samp AS (SELECT * FROM er WHERE rank <= {C.D.K_SAMPLES}),
 evid AS (SELECT period_start, {templ('message')} AS template, arg_min(message, rank) AS evidence
@@ -455,4 +458,23 @@ SELECT f.period_start,
     || '    Recommendation: ' || i.recommendation || chr(10), chr(10) ORDER BY i.pos) AS body
 FROM fnd f JOIN iss i USING (period_start)
 WHERE {LADDER.format('i.severity')} >= {thr} GROUP BY f.period_start, f.overall_status, f.summary""")
+    # streaming and plug-in queries
+    q["ingest_stream"] = _q(PARSED, "SELECT id, ts, host, facility, severity, message FROM lines")
+    q["stream_top_templates"] = _q(with_period(), "SELECT period_start, rank, template, count FROM tr "
+                                                  "WHERE rank <= 3 AND period_end <= (SELECT max(ts) FROM events)")
+    q["consume_once"] = _q(assessed(whole=True),
+                           "SELECT CAST(0 AS BIGINT) AS batch_id, period_start, ts, overall_status, summary, "
+                           "log_count, CAST(n_issues AS INTEGER) AS n_issues FROM fb")
+    q["assess_plugin"] = _q(with_period(), """
+SELECT period_start, period_end,
+  '{"overall_status": "' || st || '", "summary": "' || elevated_count || ' elevated of ' || total_lines
+  || '", "findings": ' || CASE WHEN elevated_count > 0 THEN
+    '[{"severity": "' || CASE WHEN st = 'warning' THEN 'warning' ELSE 'error' END
+    || '", "category": "syslog", "title": "Elevated-severity lines", "detail": "' || elevated_count || ' of '
+    || total_lines || ' lines at warning or worse", "evidence": "Total syslog lines this period: ' || total_lines
+    || '", "occurrences": ' || elevated_count || ', "recommendation": "Review the sample"}]'
+    ELSE '[]' END || '}' AS payload_json,
+  CAST(NULL AS VARCHAR) AS error
+FROM (SELECT *, CASE WHEN 2 * elevated_count >= total_lines AND total_lines > 0 THEN 'error'
+                     WHEN elevated_count > 0 THEN 'warning' ELSE 'ok' END AS st FROM stats)""")
     return {k: v.strip() for k, v in q.items()}

@@ -95,3 +95,13 @@ def test_plan_hash_aggregate_and_group_limit(spark):
     optimized = top._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in optimized
     assert "Python" not in D.build_digests(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_period_must_divide_a_day(spark):
+    import pytest
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    assert D.with_period(df, "180 minutes").count() == 5
+    with pytest.raises(ValueError):
+        D.with_period(df, "5 hours")
+    with pytest.raises(ValueError):
+        D.with_period(df, "7 minutes")
