@@ -26,9 +26,27 @@ MASKS = [
 ]
 
 
+# Python's ``\w`` for str patterns is exactly: Unicode letters, numbers, "_"
+# (Java's ``(?U)\w`` differs: it adds combining marks and drops No, e.g. "²").
+PY_WORD = r"[\p{L}\p{N}_]"
+
+
 def java_pattern(py_pattern: str) -> str:
-    """Python-``re`` semantics on Java regex: Unicode classes, Python's \\S."""
-    return "(?U)" + py_pattern.replace(r"\S", NON_WS)
+    r"""Python-``re`` semantics on Java regex.
+
+    ``\b`` occurs only at the start of a mask (before a word character) and
+    at its end (after one), where it is exactly "no word character before" /
+    "no word character after", written with Python's word class. ``(?U)``
+    makes ``\d`` Unicode decimal digits as in Python; ``\S`` excludes
+    Python's whitespace.
+    """
+    p = py_pattern
+    if p.startswith(r"\b"):
+        p = f"(?<!{PY_WORD})" + p[2:]
+    if p.endswith(r"\b"):
+        p = p[:-2] + f"(?!{PY_WORD})"
+    assert r"\b" not in p, py_pattern
+    return "(?U)" + p.replace(r"\S", NON_WS)
 
 
 _JAVA_MASKS = [(java_pattern(p), r) for p, r in MASKS]

@@ -30,6 +30,8 @@ GOLDEN = [
     ("ä5 5", "ä5 <N>"),
     ("x\x1c\x1dy 7  8", "x y <N> <N>"),
     ("t=٣٤ ok", "t=<N> ok"),
+    ("²5 5", "²5 <N>"),                    # "²" (No) is a word character for Python
+    ("e\u03015", "e\u0301<N>"),           # a combining mark is not
 ]
 
 
