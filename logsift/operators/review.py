@@ -47,16 +47,26 @@ def explode_issues(findings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def recurrence(issues: DataFrame, keys: Sequence[str] = (), tz: str = "UTC") -> DataFrame:
-    """Per (keys, title): hours, occurrences, days, first-sighting severity / category."""
+def recurrence(issues: DataFrame, keys: Sequence[str] = (), tz: str = "UTC",
+               split_at: Column | None = None) -> DataFrame:
+    """Per (keys, title): hours, occurrences, days, first-sighting severity / category.
+
+    With ``split_at`` the same aggregation also counts issue rows before and
+    from that instant (``first_half`` / ``second_half``) for the trend.
+    """
     k = seen_key("ts", "pos")
-    return (issues.groupBy(*keys, "title").agg(
+    aggs = [
         F.count(F.lit(1)).alias("hours"),
         F.sum("occurrences").cast("long").alias("occurrences"),
         F.count_distinct(local_label("ts", "yyyy-MM-dd", tz)).alias("days"),
         F.min_by("severity", k).alias("severity"),
         F.min_by("category", k).alias("category"),
-        F.min(k).alias("first_key")))
+        F.min(k).alias("first_key"),
+    ]
+    if split_at is not None:
+        aggs += [F.count_if(F.col("ts") < split_at).alias("first_half"),
+                 F.count_if(F.col("ts") >= split_at).alias("second_half")]
+    return issues.groupBy(*keys, "title").agg(*aggs)
 
 
 def rank_recurrence(rec: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -94,17 +104,27 @@ def assign_reviews(findings: DataFrame, window_days: int = WINDOW_DAYS,
     return x.filter((F.col("ts") < F.col("review_ts")) & (F.col("ts") >= lo))
 
 
+def midpoint(window_days: int = WINDOW_DAYS) -> Column:
+    """Middle of the review window ending at ``review_ts``."""
+    return F.timestamp_add("SECOND", F.lit(-(window_days * 86400) // 2), F.col("review_ts"))
+
+
+def direction(first_half: Column | str = "first_half", second_half: Column | str = "second_half") -> Column:
+    """new / resolved / increasing / decreasing / steady from the two half counts."""
+    a = F.col(first_half) if isinstance(first_half, str) else first_half
+    b = F.col(second_half) if isinstance(second_half, str) else second_half
+    return (F.when(a == 0, "new").when(b == 0, "resolved")
+            .when(b >= a * 1.5, "increasing").when(b * 1.5 <= a, "decreasing")
+            .otherwise("steady"))
+
+
 def trends(issues: DataFrame, keys: Sequence[str], window_days: int = WINDOW_DAYS) -> DataFrame:
     """First-half vs second-half issue rows per (keys incl. review_ts, title) -> direction."""
-    mid = F.timestamp_add("SECOND", F.lit(-(window_days * 86400) // 2), F.col("review_ts"))
+    mid = midpoint(window_days)
     t = issues.groupBy(*keys, "title").agg(
         F.count_if(F.col("ts") < mid).alias("first_half"),
         F.count_if(F.col("ts") >= mid).alias("second_half"))
-    a, b = F.col("first_half"), F.col("second_half")
-    direction = (F.when(a == 0, "new").when(b == 0, "resolved")
-                 .when(b >= a * 1.5, "increasing").when(b * 1.5 <= a, "decreasing")
-                 .otherwise("steady"))
-    return t.withColumn("direction", direction)
+    return t.withColumn("direction", direction())
 
 
 def review_table(findings: DataFrame, keys: Sequence[str] = (), window_days: int = WINDOW_DAYS,
@@ -114,9 +134,10 @@ def review_table(findings: DataFrame, keys: Sequence[str] = (), window_days: int
     if assigned is None:
         assigned = assign_reviews(findings, window_days, review_hour, tz)
     iss = explode_issues(assigned, rk)
-    rec = rank_recurrence(recurrence(iss, rk, tz), rk)
-    tr = trends(iss, rk, window_days)
-    return rec.join(tr, on=rk + ["title"], how="inner")
+    # One aggregation gives the recurrence and the trend halves (no second
+    # shuffle, no join back).
+    rec = recurrence(iss, rk, tz, split_at=midpoint(window_days))
+    return rank_recurrence(rec, rk).withColumn("direction", direction())
 
 
 def _finding_lines(assigned: DataFrame, rk: list[str], tz: str) -> DataFrame:
