@@ -152,9 +152,36 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 # ── reads (K4, K5, K8, F3, F5) ───────────────────────────────────────────────
 
+def with_log_date(lines: DataFrame) -> DataFrame:
+    """Add the ``log_date`` partition column (UTC day of ``ts``) for writing raw_logs."""
+    return lines.withColumn("log_date", F.to_date("ts"))
+
+
+def _day_bounds(lines: DataFrame, lo=None, hi=None) -> DataFrame:
+    """Partition predicates on ``log_date`` matching a ``ts`` range, when partitioned."""
+    if "log_date" not in lines.columns:
+        return lines
+    if lo is not None:
+        lines = lines.filter(F.col("log_date") >= F.to_date(F.lit(lo).cast("timestamp")))
+    if hi is not None:
+        lines = lines.filter(F.col("log_date") <= F.to_date(F.lit(hi).cast("timestamp")))
+    return lines
+
+
 def logs_until(lines: DataFrame, cutoff) -> DataFrame:
-    """raw_logs rows with ``ts <= cutoff`` (the batch to evaluate), in (ts, id) order."""
-    return lines.filter(F.col("ts") <= F.lit(cutoff).cast("timestamp")).orderBy("ts", "id")
+    """raw_logs rows with ``ts <= cutoff`` (the batch to evaluate), in (ts, id) order.
+
+    On a ``log_date``-partitioned table the day bound prunes partitions; the
+    ``ts`` bound is pushed into the Parquet scan.
+    """
+    c = F.lit(cutoff).cast("timestamp")
+    return _day_bounds(lines, hi=cutoff).filter(F.col("ts") <= c).orderBy("ts", "id")
+
+
+def lines_between(lines: DataFrame, start, end) -> DataFrame:
+    """raw_logs rows with ``start <= ts < end`` (one evaluation period), partition-pruned."""
+    s, e = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    return _day_bounds(lines, lo=start, hi=end).filter((F.col("ts") >= s) & (F.col("ts") < e))
 
 
 def elevated(lines: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
-def _stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+def _stored(spark: SparkSession, sf: str, name: str, build, partition_by=None) -> DataFrame:
     """A table written once per session and data folder, then read by every query."""
     key = (spark.sparkContext.applicationId, sf, name)
     path = _WRITTEN.get(key)
@@ -67,15 +67,15 @@ def _stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
             return spark.read.parquet(path)
         except Exception:  # removed meanwhile: write again
             pass
-    path = write_table(build(spark, sf), name)
+    path = write_table(build(spark, sf), name, partition_by)
     _WRITTEN[key] = path
     return spark.read.parquet(path)
 
 
 def stored_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The parsed lines as a written raw_logs table (what evaluations read),
-    written once like ingest would."""
-    return _stored(spark, sf, "raw_logs", lines)
+    written once like ingest would, partitioned by ``log_date``."""
+    return _stored(spark, sf, "raw_logs", lambda s, d: FS.with_log_date(lines(s, d)), ["log_date"])
 
 
 def stored_findings(spark: SparkSession, sf: str) -> DataFrame:

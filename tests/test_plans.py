@@ -47,3 +47,17 @@ def test_parse_is_one_narrow_stage(spark):
     df = spark.createDataFrame([(1, "<13>Jun 25 10:00:00 h m")], "id long, raw string")
     plan = _plan(parse_lines(df, "raw", keep=["id"]))
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_logs_until_prunes_partitions(spark):
+    from logsift.operators import findings as FS
+    rows = [(i, T0 + dt.timedelta(days=i), "h", 3, "m") for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, host string, severity int, message string")
+    stored = materialize(FS.with_log_date(df), "plan_test_partitioned", partition_by=["log_date"])
+    out = FS.logs_until(stored, "2024-01-02 12:00:00")
+    plan = _plan(out)
+    assert "PartitionFilters: [isnotnull(log_date" in plan and "LessThanOrEqual(ts," in plan
+    assert [r["id"] for r in out.collect()] == [0, 1]
+    between = FS.lines_between(stored, "2024-01-03 00:00:00", "2024-01-04 00:00:00")
+    assert [r["id"] for r in between.collect()] == [2]
+    assert "PartitionFilters" in _plan(between)
