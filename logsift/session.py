@@ -32,6 +32,8 @@ def get_spark(master: str | None = None, app: str = "logsift",
     conf = dict(_REQUIRED_CONF)
     conf["spark.ui.enabled"] = "false"
     conf["spark.ui.showConsoleProgress"] = "false"
+    # Checkpoints cut lineage once; drop their files when the DataFrame is gone.
+    conf["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -76,3 +76,16 @@ def test_continuous_counts_match_batch(spark, dirs):
             for r in D.top_templates(D.template_counts(batch_lines), k=2).collect()}
     last = max(p for p, *_ in want)
     assert got == {w for w in want if w[0] != last}  # the still-open last hour is not emitted
+
+
+def test_payload_lines_from_kafka_shaped_records(spark):
+    import datetime as dt
+    recs = [(0, 7, dt.datetime(2024, 1, 1), bytearray(b"<13>Jun 25 10:00:00 h1 a 1\r\n\n<11>b\xff 2")),
+            (1, 3, dt.datetime(2024, 1, 1), bytearray(b"<14>"))]
+    df = spark.createDataFrame(recs, "partition int, offset long, timestamp timestamp, value binary")
+    rows = sorted(I.payload_lines(df, ts_col="timestamp").collect(), key=lambda r: r["id"])
+    assert [(r["partition"], r["id"], r["host"], r["severity"], r["message"]) for r in rows] == [
+        (0, 7 * I.LINE_SLOTS + 0, "h1", 5, "a 1"),
+        (0, 7 * I.LINE_SLOTS + 3, None, 3, "b� 2"),  # "\r\n\n" gives two empty pieces
+    ]
+    assert {str(r["ts"]) for r in rows} == {"2024-01-01 00:00:00"}
