@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,13 +133,19 @@ def consume_once(stream: DataFrame, findings_path: str, checkpoint: str | None =
     checkpoint = checkpoint or scratch_path(spark, "consume_once", "checkpoint")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        if renumber_ids:
-            batch = batch.withColumn("id", F.monotonically_increasing_id())
-        out = (assess(batch, batch_id) if assess else
-               _batch_findings(batch, batch_id, keys, k_templates, k_samples, k_hosts))
-        FS.append_new(out, findings_path, list(keys), period_col="batch_id")
+        # Several actions read the batch (emptiness, bounds, counts, append):
+        # keep it for the duration of this function instead of re-reading the source.
+        cached = batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if batch.isEmpty():
+                return
+            if renumber_ids:
+                batch = batch.withColumn("id", F.monotonically_increasing_id())
+            out = (assess(batch, batch_id) if assess else
+                   _batch_findings(batch, batch_id, keys, k_templates, k_samples, k_hosts))
+            FS.append_new(out, findings_path, list(keys), period_col="batch_id")
+        finally:
+            cached.unpersist()
 
     q = (stream.writeStream.foreachBatch(run).trigger(availableNow=True)
          .option("checkpointLocation", checkpoint).start())
