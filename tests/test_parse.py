@@ -1,7 +1,6 @@
 """Golden rows for framing and line parsing."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from logsift.functions.parse import decode_utf8, frame_lines, parse_lines
 
