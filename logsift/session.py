@@ -15,6 +15,10 @@ _REQUIRED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Post-shuffle stages here are CPU-heavy per byte (rule regexes, top-k,
+    # text rendering over a few MB): coalesce to 64 KB partitions, not 1 MB,
+    # so they keep their parallelism. Large shuffles are unaffected.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
 }
 
 
