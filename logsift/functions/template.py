@@ -32,7 +32,7 @@ PY_WORD = r"[\p{L}\p{N}_]"
 
 
 def java_pattern(py_pattern: str) -> str:
-    r"""Python-``re`` semantics on Java regex.
+    r"""Python-``re`` semantics on Java regex (generic form).
 
     ``\b`` occurs only at the start of a mask (before a word character) and
     at its end (after one), where it is exactly "no word character before" /
@@ -49,7 +49,26 @@ def java_pattern(py_pattern: str) -> str:
     return "(?U)" + p.replace(r"\S", NON_WS)
 
 
-_JAVA_MASKS = [(java_pattern(p), r) for p, r in MASKS]
+# The same masks in the form Java scans fastest: the first character class
+# comes first, the start boundary is checked after it as ``(?<!W.)`` ("the
+# character before this one is not a word character"), which equals
+# ``(?<!W)`` placed in front. Derived from MASKS one by one (same order,
+# same replacements); parity with Python ``re`` is tested on generated text
+# and on every sf0.01 document, conversation and page.
+_B = f"(?<!{PY_WORD}.)"
+_E = f"(?!{PY_WORD})"
+_HEXC = "[0-9A-Fa-f]"
+_JAVA_MASKS = [(f"(?U){p}", r) for p, r in [
+    (rf"{_HEXC}{_B}{_HEXC}(?::{_HEXC}{{2}}){{5}}{_E}", "<MAC>"),
+    (rf"{_HEXC}{_B}{_HEXC}{{0,3}}:(?:{_HEXC}{{1,4}}:){{1,6}}{_HEXC}{{1,4}}{_E}", "<IPV6>"),
+    (rf"\d{_B}\d{{0,2}}(?:\.\d{{1,3}}){{3}}{_E}", "<IP>"),
+    (rf"\d{_B}\d{{3}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}:\d{{2}}{NON_WS}*", "<TS>"),
+    (rf"\d{_B}\d:\d{{2}}:\d{{2}}{_E}", "<TIME>"),
+    (rf"0{_B}x{_HEXC}+{_E}", "<HEX>"),
+    (rf"{_HEXC}{_B}{_HEXC}{{11,}}{_E}", "<HEX>"),
+    (rf"\d{_B}\d*{_E}", "<N>"),
+]]
+assert [r for _, r in _JAVA_MASKS] == [r for _, r in MASKS]
 _WS_RUN = "(?U)" + WS + "+"
 
 
