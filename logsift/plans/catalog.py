@@ -222,10 +222,16 @@ def q_payload_roundtrip(spark, sf):
 
 
 def q_validate_payload(spark, sf):
-    f = findings(spark, sf).withColumn("payload_json", FS.payload_to_json("payload"))
-    v = FS.validate_finding_json("payload_json")
-    return ntz(f.select("period_start", F.size(v).alias("n_violations"),
-                        (F.size(v) == 0).alias("is_valid")))
+    """Contract check of stored finding payloads (valid) and of ``events.props``
+    (JSON objects of another shape: the reject path)."""
+    f = findings(spark, sf).select(
+        "period_start", F.lit(None).cast("long").alias("event_id"),
+        FS.payload_to_json("payload").alias("js"))
+    e = TD.events(spark, sf).select(
+        F.lit(None).cast("timestamp").alias("period_start"), "event_id", F.col("props").alias("js"))
+    v = FS.validate_finding_json("js")
+    return ntz(f.unionByName(e).select("period_start", "event_id", F.size(v).alias("n_violations"),
+                                       (F.size(v) == 0).alias("is_valid")))
 
 
 def q_findings_since(spark, sf):

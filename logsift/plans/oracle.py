@@ -261,6 +261,42 @@ fjson AS (
              'findings': coalesce(items, [])}) AS payload_json
   FROM fnd)"""
 
+ISSUE_KEYS = "['severity', 'category', 'title', 'detail', 'evidence', 'occurrences', 'recommendation']"
+TOP_KEYS = "['overall_status', 'summary', 'findings']"
+VALIDATE = f"""
+js_in AS (
+  SELECT period_start, CAST(NULL AS BIGINT) AS event_id, payload_json AS js FROM fjson
+  UNION ALL
+  SELECT CAST(NULL AS TIMESTAMP), event_id, props FROM events),
+parsed_js AS (
+  SELECT *, CASE WHEN json_valid(js) AND json_type(js) = 'OBJECT' THEN json_keys(js) END AS keys,
+    CASE WHEN json_valid(js) AND json_type(js) = 'OBJECT' AND json_type(js, '$.findings') = 'ARRAY'
+      THEN json_extract(js, '$.findings[*]') END AS items
+  FROM js_in),
+checked AS (
+  SELECT period_start, event_id, CAST(
+      (CASE WHEN keys IS NULL THEN 1 ELSE 0 END)
+    + (CASE WHEN keys IS NOT NULL AND NOT list_contains(keys, 'overall_status') THEN 1 ELSE 0 END)
+    + (CASE WHEN keys IS NOT NULL AND NOT list_contains(keys, 'summary') THEN 1 ELSE 0 END)
+    + (CASE WHEN keys IS NOT NULL AND NOT list_contains(keys, 'findings') THEN 1 ELSE 0 END)
+    + (CASE WHEN len(list_filter(keys, lambda x: NOT list_contains({TOP_KEYS}, x))) > 0 THEN 1 ELSE 0 END)
+    + (CASE WHEN keys IS NOT NULL AND NOT coalesce(json_extract_string(js, '$.overall_status')
+              IN ('ok', 'warning', 'error'), FALSE) THEN 1 ELSE 0 END)
+    + (CASE WHEN list_contains(keys, 'findings') AND items IS NULL THEN 1 ELSE 0 END)
+    + (CASE WHEN len(list_filter(items, lambda i: json_type(i) <> 'OBJECT')) > 0 THEN 1 ELSE 0 END)
+    + (CASE WHEN len(list_filter(items, lambda i: json_type(i) = 'OBJECT'
+              AND len(list_filter({ISSUE_KEYS}, lambda k: NOT list_contains(json_keys(i), k))) > 0)) > 0
+            THEN 1 ELSE 0 END)
+    + (CASE WHEN len(list_filter(items, lambda i: json_type(i) = 'OBJECT'
+              AND len(list_filter(json_keys(i), lambda k: NOT list_contains({ISSUE_KEYS}, k))) > 0)) > 0
+            THEN 1 ELSE 0 END)
+    + (CASE WHEN len(list_filter(items, lambda i: NOT coalesce(json_extract_string(i, '$.severity')
+              IN ('info', 'warning', 'error', 'critical'), FALSE))) > 0 THEN 1 ELSE 0 END)
+    + (CASE WHEN len(list_filter(items, lambda i: NOT coalesce(regexp_matches(
+              json_extract_string(i, '$.occurrences'), '^-?[0-9]+$'), FALSE))) > 0 THEN 1 ELSE 0 END)
+    AS INTEGER) AS n_violations
+  FROM parsed_js)"""
+
 REC = """
 rec AS (
   SELECT title, count(*) AS hours, CAST(sum(occurrences) AS BIGINT) AS occurrences,
@@ -396,7 +432,8 @@ SELECT fb.period_start, fb.ts, fb.overall_status, fb.summary, fb.log_count, CAST
 FROM fb""")
     # findings family
     q["payload_roundtrip"] = _q(FINDINGS, "SELECT period_start, payload_json, TRUE AS roundtrip_equal FROM fjson")
-    q["validate_payload"] = _q(FINDINGS, "SELECT period_start, 0 AS n_violations, TRUE AS is_valid FROM fnd")
+    q["validate_payload"] = _q(FINDINGS + ",\n" + VALIDATE, """
+SELECT period_start, event_id, n_violations, n_violations = 0 AS is_valid FROM checked""")
     q["findings_since"] = _q(FINDINGS, f"SELECT period_start, ts, overall_status, log_count FROM fnd "
                                        f"WHERE ts >= {ts(C.SINCE)}")
     cutoff = f"{ts(C.NOW)} - INTERVAL {C.RETENTION_DAYS * 86400} SECOND"
