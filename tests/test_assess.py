@@ -71,3 +71,21 @@ def test_end_to_end_from_lines(spark):
     f = A.assess_rules(D.digest_parts(df)).collect()[0]
     assert [(i["title"], i["occurrences"]) for i in f["payload"]["findings"]] == [("VPN authentication failures", 4)]
     assert f["payload"]["findings"][0]["evidence"].startswith("openvpn[100]: TLS Error")
+
+
+def test_plugin_failure_marks_row_and_keeps_going(spark):
+    class _Flaky(A.Assessor):  # defined here so the worker receives it by value
+        def assess(self, digest_text, stats):
+            if stats["total_lines"] > 3:
+                raise RuntimeError("model unavailable")
+            return {"overall_status": "ok", "summary": "fine", "findings": []}
+
+    rows = [(i, P0 + dt.timedelta(minutes=i * 30), "h", 6, f"m {i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, host string, severity int, message string")
+    digests = D.build_digests(df, period="60 minutes")
+    out = {r["period_start"]: r for r in A.assess_with(digests, _Flaky).collect()}
+    assert len(out) == 3 and all(r["error"] is None and r["payload_json"] for r in out.values())
+    many = D.build_digests(df, period="1 day").collect()[0]
+    assert many["total_lines"] == 6
+    bad = A.assess_with(D.build_digests(df, period="1 day"), _Flaky).collect()[0]
+    assert bad["payload_json"] is None and bad["error"].startswith("RuntimeError: model unavailable")

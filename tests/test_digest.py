@@ -105,3 +105,13 @@ def test_period_must_divide_a_day(spark):
         D.with_period(df, "5 hours")
     with pytest.raises(ValueError):
         D.with_period(df, "7 minutes")
+
+
+def test_periods_align_to_local_clock(spark):
+    # Asia/Kolkata is UTC+05:30: hourly periods start at hh:30 UTC (local :00).
+    rows = [(1, dt.datetime(2024, 1, 1, 4, 40), "h", 6, "x"), (2, dt.datetime(2024, 1, 1, 5, 20), "h", 6, "y"),
+            (3, dt.datetime(2024, 1, 1, 5, 35), "h", 6, "z")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((str(r["period_start"]), str(r["period_end"]), r["total_lines"])
+                 for r in D.build_digests(df, tz="Asia/Kolkata").collect())
+    assert got == [("2024-01-01 04:30:00", "2024-01-01 05:30:00", 2), ("2024-01-01 05:30:00", "2024-01-01 06:30:00", 1)]

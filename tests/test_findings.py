@@ -117,3 +117,10 @@ def test_purge_drops_old_days_and_trims_boundary(spark):
     assert (c["kept"], c["removed"]) == (2, 2)
     left = sorted(str(r["ts"]) for r in spark.read.parquet(path).collect())
     assert left == ["2024-01-02 07:00:00", "2024-01-03 00:00:00"]
+
+
+def test_latest_per_key(spark):
+    rows = [("a", 1), ("a", 5), ("b", 3)]
+    df = spark.createDataFrame(rows, "site string, i int").withColumn("ts", F.timestamp_seconds(F.col("i") * 60))
+    got = {r["site"]: r["i"] for r in FS.latest(df, ["site"]).collect()}
+    assert got == {"a": 5, "b": 3}
