@@ -79,10 +79,11 @@ def stored_lines(spark: SparkSession, sf: str) -> DataFrame:
     Rows are range-partitioned by ``ts`` before the write, as a time-ordered
     ingest would lay them out: each task writes one or two days (few files)
     and Parquet row groups get tight ``ts`` min/max statistics for pushdown.
+    The number of ranges is ``spark.sql.shuffle.partitions``, which a cluster
+    sizes to its data volume.
     """
     def build(s: SparkSession, d: str) -> DataFrame:
-        return FS.with_log_date(lines(s, d)).repartitionByRange(
-            s.sparkContext.defaultParallelism, "ts")
+        return FS.with_log_date(lines(s, d)).repartitionByRange("ts")
     return _stored(spark, sf, "raw_logs", build, ["log_date"])
 
 
