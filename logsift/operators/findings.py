@@ -78,7 +78,8 @@ def validate_finding_json(js: Column | str) -> Column:
 
     Checks: parseable object; required keys present; no extra keys; status
     enum; issues an array of objects with all seven keys, no extra keys,
-    severity enum and integer occurrences.
+    severity enum and integer occurrences ([DESIGN]: a JSON integer or an
+    integer-valued string, the forms the review's coercion turns into ints).
     """
     js = F.col(js) if isinstance(js, str) else js
     top = ["overall_status", "summary", "findings"]

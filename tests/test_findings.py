@@ -124,3 +124,26 @@ def test_latest_per_key(spark):
     df = spark.createDataFrame(rows, "site string, i int").withColumn("ts", F.timestamp_seconds(F.col("i") * 60))
     got = {r["site"]: r["i"] for r in FS.latest(df, ["site"]).collect()}
     assert got == {"a": 5, "b": 3}
+
+
+def test_purge_empties_boundary_day(spark):
+    path = scratch_path(spark, "test", "purge2", str(id(spark)) + "q")
+    ts = ["2024-01-01 01:00:00", "2024-01-02 01:00:00", "2024-01-03 01:00:00"]
+    df = spark.createDataFrame([(t,) for t in ts], "ts string").select(
+        F.col("ts").cast("timestamp").alias("period_start"), F.col("ts").cast("timestamp").alias("ts"))
+    FS.append_new(df, path)
+    c = FS.purge(spark, path, "2024-01-03 06:00:00", 1)  # cutoff 2024-01-02 06:00: nothing kept that day
+    assert (c["kept"], c["removed"]) == (1, 2)
+    assert [str(r["ts"]) for r in spark.read.parquet(path).collect()] == ["2024-01-03 01:00:00"]
+
+
+def test_split_valid(spark):
+    good = {"overall_status": "warning", "summary": "s", "findings": [
+        {"severity": "warning", "category": "c", "title": "t", "detail": "d", "evidence": "e",
+         "occurrences": "3", "recommendation": "r"}]}
+    df = spark.createDataFrame([(1, json.dumps(good)), (2, '{"overall_status": "bad"}')],
+                               "id int, payload_json string")
+    ok, bad = FS.split_valid(df)
+    ok_rows, bad_rows = ok.collect(), bad.collect()
+    assert [r["id"] for r in ok_rows] == [1] and ok_rows[0]["payload"]["findings"][0]["occurrences"] == 3
+    assert [r["id"] for r in bad_rows] == [2] and "bad overall_status" in bad_rows[0]["violations"]
