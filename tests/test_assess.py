@@ -28,7 +28,7 @@ def _parts(spark, templates, sample, total):
 def test_rules_assessor(spark):
     templates = [
         # template, count, rank, elevated, worst syslog severity, first elevated key
-        ("udapi-server Got notification message from PID <N>, but reception only permitted", 50, 1, 50, 3, 11),
+        ("svc-daemon Got notification message from PID <N>, but reception only permitted", 50, 1, 50, 3, 11),
         ("openvpn client: TLS handshake failed with <IP>", 3, 2, 3, 3, 12),
         ("openvpn peer auth error for <IP>", 2, 3, 0, 6, None),
         ("kernel: link up eth<N>", 9, 4, 0, 6, None),

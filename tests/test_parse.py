@@ -6,7 +6,7 @@ from logsift.functions.parse import decode_utf8, frame_lines, parse_lines
 
 BS = "\\"
 CASES = [
-    ("<134>Jun 25 10:00:00 udm kernel: hello", ("udm", 16, 6, "kernel: hello")),
+    ("<134>Jun 25 10:00:00 gw1 kernel: hello", ("gw1", 16, 6, "kernel: hello")),
     ("<13>Jun  5 01:02:03 h m", ("h", 1, 5, "m")),
     ("<165>1 2025-06-25T10:00:00Z host1 app 123 ID47 - msg", ("host1", 20, 5, "app 123 ID47 - msg")),
     ("<13>1 2025-06-25T10:00:00Z - app - - - m", (None, 1, 5, "app - - - m")),
@@ -19,8 +19,8 @@ CASES = [
     ("<13>jun 25 10:00:00 h m", (None, 1, 5, "jun 25 10:00:00 h m")),
     ("<13>Jun 25 10:00:00 h", (None, 1, 5, "Jun 25 10:00:00 h")),
     ("1 error in module x", ("in", None, None, "module x")),
-    ("<14>Jun 25 10:00:00 udm CEF:0|V|P|9|400|Threat|9|src=1.2.3.4",
-     ("udm", 1, 2, "CEF:0|V|P|9|400|Threat|9|src=1.2.3.4")),
+    ("<14>Jun 25 10:00:00 gw1 CEF:0|V|P|9|400|Threat|9|src=1.2.3.4",
+     ("gw1", 1, 2, "CEF:0|V|P|9|400|Threat|9|src=1.2.3.4")),
     ("CEF:0|a|b|c|d|e|5", (None, None, 4, "CEF:0|a|b|c|d|e|5")),
     ("<14>CEF:0|a|b|c|d|e", (None, 1, 6, "CEF:0|a|b|c|d|e")),
     ("<14>CEF:0|a|b|c|d|e|7|", (None, 1, 3, "CEF:0|a|b|c|d|e|7|")),
