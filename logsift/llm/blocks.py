@@ -3,8 +3,7 @@
 Some operators must look at whole texts, ask other tasks about what they saw
 and return to the same rows. A block is a run of rows of one task as a
 zstd-compressed Arrow stream with all their columns, about a third of the
-size that the rows take in a shuffle. Blocks are written once to the shared
-folder; from then on a block id names the same rows whatever is recomputed.
+size that the rows take in a shuffle.
 """
 
 from __future__ import annotations
@@ -14,18 +13,18 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_root
 from ..sources.tables import write_table
 from .words import slices
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 
 
 def pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -42,8 +41,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def blocks(df: DataFrame, text: str, limit: int = BLOCK_BYTES) -> DataFrame:
-    """``(block string, blob binary)``, written to the shared folder. Equal blocks get a
-    number, as two blocks may hold the same rows."""
+    """``(block string, blob binary)``, dealt by block. A plan may use it twice: Spark shuffles
+    it once and reads the shuffle again. The names of equal blocks differ by task and place,
+    and follow from the content, so a recomputed block can't be taken for another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -53,11 +53,10 @@ def blocks(df: DataFrame, text: str, limit: int = BLOCK_BYTES) -> DataFrame:
             name = hashlib.blake2b(f"{task} {k} ".encode() + blob, digest_size=16).hexdigest()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([blob], pa.binary())], ["block", "blob"])
 
-    return written(df.mapInArrow(run, "block string, blob binary"), "blocks")
+    return df.mapInArrow(run, "block string, blob binary").repartition("block")
 
 
-def buckets(table: DataFrame, per_bucket: float = 1.0) -> int:
-    """Buckets for what a table of blocks asks for: a power of two that follows the number of
-    blocks, so that a bucket gets about what one block sends."""
-    n = table.count()
-    return 1 << max(4, math.ceil(math.log2(max(1, n / per_bucket))))
+def buckets(spark: SparkSession) -> int:
+    """Parts that a space of hashes is cut into: a power of two, twice the session's shuffle
+    partitions at least, which are set to fit the data as for any other job."""
+    return 1 << math.ceil(math.log2(2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .blocks import blocks, buckets, unpack
 from .words import buffers, words
 
+#: Larger blocks repeat fewer words.
+BLOCK_BYTES = 6 << 20
 _tokenizers = {}
 
 
@@ -63,12 +65,23 @@ def splits_at_space(text: str) -> bool:
 
 
 def _distinct(batch: pa.RecordBatch, text: str):
-    """Words of a block, the first place of each distinct word by hash, and each word's number."""
+    """Words of a block, the first place of each distinct word in the order of its hash, and each
+    word's number in it."""
     w = words(*buffers(batch.column(text)))
     h, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
     return w, h, at, back
 
 
+def _shipped(raw: bytes, w, at: np.ndarray, bucket: np.ndarray):
+    """Distinct words bucket by bucket, in byte order inside each (which compresses well):
+    ``(bucket, words, their numbers)``."""
+    start, end = w.start[at].tolist(), w.end[at].tolist()
+    cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(at)] if len(at) else []
+    for i, j in zip(cut, cut[1:], strict=False):
+        part = sorted((raw[start[k]:end[k]], k) for k in range(i, j))
+        yield int(bucket[i]), [x for x, _ in part], [k for _, k in part]
+
+
 def _requests(text: str, n_buckets: int):
     shift = np.uint64(64 - n_buckets.bit_length() + 1)
 
@@ -80,18 +93,14 @@ def _requests(text: str, n_buckets: int):
                 w, h, at, _ = _distinct(unpack(blob), text)
                 if not len(h):
                     continue
-                raw, start, end = w.data.tobytes(), w.start[at].tolist(), w.end[at].tolist()
-                pieces = [raw[s:e] for s, e in zip(start, end, strict=True)]
-                bucket = (h >> shift).astype(np.int32)
-                cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(h)]
-                sent = [z.compress(b"\n".join(pieces[i:j])) for i, j in zip(cut, cut[1:], strict=False)]
+                to, sent = zip(*((b, z.compress(b"\n".join(x))) for b, x, _ in _shipped(w.data.tobytes(), w, at, h >> shift)), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cut[:-1]]), pa.array([name] * len(sent)), pa.array(sent, pa.binary())],
+                    [pa.array(to, pa.int32()), pa.array([name] * len(sent)), pa.array(sent, pa.binary())],
                     ["bucket", "block", "sent"])
     return run
 
 
-def _encode(description: str):
+def _encode(description: str, id_type):
     def run(sent: pd.DataFrame) -> pd.DataFrame:
         import zstandard
         z, unz = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
@@ -107,8 +116,8 @@ def _encode(description: str):
         out = []
         for k in numbers:
             n = size[k]
-            out.append(z.compress(n.tobytes() + flat[_ranges(first[k], n)].tobytes()))
-        return pd.DataFrame({"block": sent["block"], "bucket": sent["bucket"], "n": [len(k) for k in numbers], "ids": out})
+            out.append(z.compress(n.tobytes() + flat[_ranges(first[k], n)].astype(id_type).tobytes()))
+        return pd.DataFrame({"block": sent["block"], "bucket": sent["bucket"], "ids": out})
     return run
 
 
@@ -118,21 +127,26 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(total) if total else np.zeros(0, np.int64)
 
 
-def _join(text: str, pieces_of, names: tuple[str, str]):
+def _join(text: str, n_buckets: int, id_type, pieces_of, names: tuple[str, str]):
+    shift = np.uint64(64 - n_buckets.bit_length() + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         unz, pieces = zstandard.ZstdDecompressor(), pieces_of.value
         for b in batches:
             for row in b.to_pylist():
                 part = unpack(row["blob"])
-                w, h, _, back = _distinct(part, text)
-                sizes, flats = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-                for a in sorted(row["answers"], key=lambda a: a["bucket"]):
-                    x = np.frombuffer(unz.decompress(a["ids"], max_output_size=1 << 31), np.int32)
-                    sizes.append(x[:a["n"]])
-                    flats.append(x[a["n"]:])
-                size, flat = np.concatenate(sizes), np.concatenate(flats)
-                assert len(size) == len(h)
+                w, h, at, back = _distinct(part, text)
+                answers = {a["bucket"]: a["ids"] for a in row["answers"]}
+                sizes, flats, order = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], []
+                for bucket, sent, numbers in _shipped(w.data.tobytes(), w, at, h >> shift):
+                    raw = unz.decompress(answers[bucket], max_output_size=1 << 31)
+                    sizes.append(np.frombuffer(raw, np.int32, len(sent)))
+                    flats.append(np.frombuffer(raw, id_type, offset=4 * len(sent)).astype(np.int32))
+                    order += numbers
+                size, flat, place = np.concatenate(sizes), np.concatenate(flats), np.empty(len(h), np.int64)
+                place[order] = np.arange(len(h))
+                back = place[back]  # from here on, words count in the order they were sent
                 first = np.r_[0, np.cumsum(size)]
                 n = size[back]
                 ids = flat[_ranges(first[:-1][back], n)]
@@ -164,17 +178,18 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None,
     pieces = [""] * (max(vocabulary.values()) + 1)
     for piece, i in vocabulary.items():
         pieces[i] = piece
+    id_type = np.uint16 if len(pieces) <= 1 << 16 else np.int32
     spark = docs.sparkSession
-    table = blocks(docs, text)
-    n = buckets(table)
+    table = blocks(docs, text, BLOCK_BYTES)
+    n = buckets(docs.sparkSession)
     sent = table.mapInArrow(_requests(text, n), "bucket int, block string, sent binary")
-    answers = (sent.groupBy("bucket").applyInPandas(_encode(description), "block string, bucket int, n int, ids binary")
-               .groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "ids")).alias("answers")))
+    answers = (sent.groupBy("bucket").applyInPandas(_encode(description, id_type), "block string, bucket int, ids binary")
+               .groupBy("block").agg(F.collect_list(F.struct("bucket", "ids")).alias("answers")))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
                        + [f"`{names[0]}` array<int>", f"`{names[1]}` string"])
     return (table.join(answers, "block", "left")
-            .select("blob", F.coalesce("answers", F.expr("cast(array() as array<struct<bucket:int,n:int,ids:binary>>)")).alias("answers"))
-            .mapInArrow(_join(text, spark.sparkContext.broadcast(pieces), names), schema))
+            .select("blob", F.coalesce("answers", F.expr("cast(array() as array<struct<bucket:int,ids:binary>>)")).alias("answers"))
+            .mapInArrow(_join(text, n, id_type, spark.sparkContext.broadcast(pieces), names), schema))
 
 
 def digests(coded: DataFrame) -> DataFrame:

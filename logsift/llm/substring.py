@@ -121,7 +121,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", size: int = WINDOW,
     if clash := set(names) & set(docs.columns):
         raise ValueError(f"columns exist: {sorted(clash)}")
     table = blocks(docs, text)
-    n = buckets(table)
+    n = buckets(docs.sparkSession)
     asked = table.mapInArrow(_requests(text, size, n), "bucket int, block string, asked binary")
     answers = (asked.groupBy("bucket").applyInPandas(_answer, "block string, bucket int, n int, bits binary")
                .groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("answers")))

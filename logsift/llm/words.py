@@ -99,8 +99,12 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     begins[edge] = solid[edge]
     ends[edge] |= solid[edge - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    total = np.zeros(n + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * powers(_BASE, n)[:n], out=total[1:])
+    total = np.zeros(n + 1, _U)  # in place: this is the largest array
+    x = total[1:]
+    x[:] = data
+    x += _U(1)
+    x *= powers(_BASE, n)[:n]
+    np.cumsum(x, out=x)
     h = (total[end] - total[start]) * powers(inverse(_BASE), n)[start]
     h = mix(h + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
     return Words(data, start, end, np.searchsorted(start, offsets), h)
