@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, substring
+from . import bpe, chat, langid, mixing, neardup, quality, substring, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": mixing.query,
+    "op2_chat_format": chat.query,
+    "op3_language_id": langid.query,
+    "op4_minhash_dedup": neardup.query,
+    "op5_url_filter": urls.query,
+    "op6_warc": warc.query,
     "op8_bpe": bpe.query,
     "op9_substring_dedup": substring.query,
+    "op10_quality_rules": quality.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_chat_format": chat.SQL,
+    "op6_warc": warc.SQL,
+}
