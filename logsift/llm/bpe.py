@@ -167,9 +167,9 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None,
                   names: tuple[str, str] = ("ids", "decoded")) -> DataFrame:
     """All columns of ``docs`` and two more: the ids of the whole text (array<int>, no special
     tokens added) and the text decoded from them (special tokens kept). ``path``: the
-    tokenizer's description, read on the driver."""
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"columns exist: {sorted(clash)}")
+    tokenizer's description, read on the driver. A column of ``docs`` with one of the new names
+    is replaced."""
+    docs = docs.drop(*set(names) - {text})
     with open(path or default_path(), encoding="utf-8") as f:
         description = f.read()
     if not splits_at_space(description):
@@ -192,8 +192,9 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None,
             .mapInArrow(_join(text, n, id_type, spark.sparkContext.broadcast(pieces), names), schema))
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+def digests(coded: DataFrame, *more: str) -> DataFrame:
+    """``doc_id``, ``more``, and what is told about ids and decoded texts."""
+    return coded.select("doc_id", *more, F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 

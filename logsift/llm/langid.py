@@ -207,9 +207,9 @@ def training_runs(docs: DataFrame, text: str, lang: str, doc_id: str, per_langua
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
              per_language: int = PER_LANGUAGE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """All columns of ``docs`` and the predicted language and its probability. Learns from the
-    same rows (see the module's text); the integer ``doc_id`` only picks them."""
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"columns exist: {sorted(clash)}")
+    same rows (see the module's text); the integer ``doc_id`` only picks them. A column of
+    ``docs`` with one of the new names is replaced."""
+    docs = docs.drop(*set(names) - {text})
     x, y, langs = training_runs(docs, text, lang, doc_id, per_language)
     p = train(x, y, len(langs)) if langs else None
     columns, letter = docs.columns, "_has_letter"

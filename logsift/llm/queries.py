@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, mixing, neardup, quality, substring, urls, warc
+from . import bpe, chat, langid, mixing, neardup, quality, substring, urls, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_dedup": neardup.query,
     "op5_url_filter": urls.query,
     "op6_warc": warc.query,
+    "op7_embedding_dedup": vectors.query,
     "op8_bpe": bpe.query,
     "op9_substring_dedup": substring.query,
     "op10_quality_rules": quality.query,

@@ -116,10 +116,8 @@ def _rows(part: pa.RecordBatch, w, gone: np.ndarray, names: tuple[str, str, str]
 def substring_dedup(docs: DataFrame, text: str = "text", size: int = WINDOW,
                     names: tuple[str, str, str] = ("n_words", "n_removed", "kept_text")) -> DataFrame:
     """All columns of ``docs`` and three more (``names``): words, words removed, kept words
-    joined by one space. Result columns must not clash with those of ``docs``; rename by
-    ``names``."""
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"columns exist: {sorted(clash)}")
+    joined by one space. A column of ``docs`` with one of these names is replaced."""
+    docs = docs.drop(*set(names) - {text})
     table = blocks(docs, text)
     n = buckets(docs.sparkSession)
     asked = table.mapInArrow(_requests(text, size, n), "bucket int, block string, asked binary")
