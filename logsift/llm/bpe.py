@@ -132,7 +132,7 @@ def _join(text: str, n_buckets: int, id_type, pieces_of, names: tuple[str, str])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        unz, pieces = zstandard.ZstdDecompressor(), pieces_of.value
+        unz, pieces = zstandard.ZstdDecompressor(), np.array(pieces_of.value, object)
         for b in batches:
             for row in b.to_pylist():
                 part = unpack(row["blob"])
@@ -152,11 +152,11 @@ def _join(text: str, n_buckets: int, id_type, pieces_of, names: tuple[str, str])
                 ids = flat[_ranges(first[:-1][back], n)]
                 edge = np.r_[0, np.cumsum(n)][w.first]
                 # each distinct word is decoded once; a word without ids leaves nothing
-                f = flat.tolist()
-                said = [" ".join([pieces[i] for i in f[a:z]]) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                has, decoded, back_l = size > 0, [], back.tolist()
+                named = pieces[flat]
+                said = np.array([" ".join(named[a:z].tolist()) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], object)
+                decoded = []
                 for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-                    decoded.append(" ".join([said[k] for k in back_l[a:z] if has[k]]))
+                    decoded.append(" ".join(said[back[a:z][n[a:z] > 0]].tolist()))
                 cols = [*part.columns, pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids, pa.int32())),
                         pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, [*part.schema.names, *names])

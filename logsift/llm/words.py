@@ -81,6 +81,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def _runs(start: np.ndarray, end: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Runs of words over about ``size`` bytes (one word at least): hashing takes 8 bytes a byte."""
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + size, "right")))
+        yield i, j
+        i = j
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     """Split texts into words and hash each word."""
     n = len(data)
@@ -99,13 +108,16 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     begins[edge] = solid[edge]
     ends[edge] |= solid[edge - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    total = np.zeros(n + 1, _U)  # in place: this is the largest array
-    x = total[1:]
-    x[:] = data
-    x += _U(1)
-    x *= powers(_BASE, n)[:n]
-    np.cumsum(x, out=x)
-    h = (total[end] - total[start]) * powers(inverse(_BASE), n)[start]
+    h = np.empty(len(start), _U)
+    for i, j in _runs(start, end):
+        at = start[i]
+        total = np.zeros(end[j - 1] - at + 1, _U)
+        x = total[1:]
+        x[:] = data[at:end[j - 1]]
+        x += _U(1)
+        x *= powers(_BASE, len(x))[:len(x)]
+        np.cumsum(x, out=x)
+        h[i:j] = (total[end[i:j] - at] - total[start[i:j] - at]) * powers(inverse(_BASE), len(x))[start[i:j] - at]
     h = mix(h + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
     return Words(data, start, end, np.searchsorted(start, offsets), h)
 
