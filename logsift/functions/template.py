@@ -2,7 +2,7 @@
 
 The masks run in order (order matters: MAC and IPv6 before IPv4, timestamps
 before bare numbers), then whitespace runs collapse to one space and the
-ends are stripped. Nine nested ``regexp_replace`` calls, all JVM-side.
+ends are stripped. Each mask runs only on texts that hold a byte it needs, all JVM-side.
 """
 
 from __future__ import annotations
@@ -28,58 +28,61 @@ MASKS = [
 
 # Python's ``\w`` for str patterns is exactly: Unicode letters, numbers, "_"
 # (Java's ``(?U)\w`` differs: it adds combining marks and drops No, e.g. "²").
-PY_WORD = r"[\p{L}\p{N}_]"
+# U+10000 is a letter, so it adds nothing; written out, it makes Java step back
+# over whole characters in a lookbehind, also over those above U+FFFF.
+PY_WORD = "[\\p{L}\\p{N}_\U00010000]"
 
 
-def java_pattern(py_pattern: str) -> str:
-    r"""Python-``re`` semantics on Java regex (generic form).
+def java_mask(pattern: str) -> str:
+    r"""Python-``re`` semantics of a mask on Java regex.
 
-    ``\b`` occurs only at the start of a mask (before a word character) and
-    at its end (after one), where it is exactly "no word character before" /
-    "no word character after", written with Python's word class. ``(?U)``
-    makes ``\d`` Unicode decimal digits as in Python; ``\S`` excludes
-    Python's whitespace.
+    ``\b`` occurs only at the start of a mask (before a word character) and at
+    its end (after one), where it is exactly "no word character before" and "no
+    word character after". The first character is tested before the boundary,
+    which most places fail sooner. ``(?U)`` makes ``\d`` Unicode decimal digits;
+    ``\S`` excludes Python's whitespace.
     """
-    p = py_pattern
+    p = pattern
     if p.startswith(r"\b"):
-        p = f"(?<!{PY_WORD})" + p[2:]
+        p = p[2:]
+        first = r"\d" if p.startswith(r"\d") else "[0-9A-Fa-f]"
+        p = f"(?={first})(?<!{PY_WORD})" + p
     if p.endswith(r"\b"):
         p = p[:-2] + f"(?!{PY_WORD})"
-    assert r"\b" not in p, py_pattern
+    assert r"\b" not in p, pattern
     return "(?U)" + p.replace(r"\S", NON_WS)
 
 
-# The same masks in the form Java scans fastest: the first character class
-# comes first, the start boundary is checked after it as ``(?<!W.)`` ("the
-# character before this one is not a word character"), which equals
-# ``(?<!W)`` placed in front. Derived from MASKS one by one (same order,
-# same replacements); parity with Python ``re`` is tested on generated text
-# and on every sf0.01 document, conversation and page.
-_B = f"(?<!{PY_WORD}.)"
-_E = f"(?!{PY_WORD})"
-_HEXC = "[0-9A-Fa-f]"
-_JAVA_MASKS = [(f"(?U){p}", r) for p, r in [
-    (rf"{_HEXC}{_B}{_HEXC}(?::{_HEXC}{{2}}){{5}}{_E}", "<MAC>"),
-    (rf"{_HEXC}{_B}{_HEXC}{{0,3}}:(?:{_HEXC}{{1,4}}:){{1,6}}{_HEXC}{{1,4}}{_E}", "<IPV6>"),
-    (rf"\d{_B}\d{{0,2}}(?:\.\d{{1,3}}){{3}}{_E}", "<IP>"),
-    (rf"\d{_B}\d{{3}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}:\d{{2}}{NON_WS}*", "<TS>"),
-    (rf"\d{_B}\d:\d{{2}}:\d{{2}}{_E}", "<TIME>"),
-    # The two <HEX> masks in one pass: a "0x..." match and a 12+ hex-digit run
-    # cannot overlap (the run has no "x" and no boundary inside "0x..."), and
-    # "<HEX>" keeps the boundaries around it, so one alternation (0x first)
-    # equals applying them one after the other.
-    (rf"0{_B}x{_HEXC}+{_E}|{_HEXC}{_B}{_HEXC}{{11,}}{_E}", "<HEX>"),
-    (rf"\d{_B}\d*{_E}", "<N>"),
-]]
-assert [r for _, r in _JAVA_MASKS] == [r for i, (_, r) in enumerate(MASKS) if i != 6]
+def _may_match(pattern: str, text: Column) -> Column | None:
+    """A cheap test that every text with a match passes; null: any text."""
+    if "0x" in pattern:
+        return text.contains("0x")
+    if "{12,}" in pattern:
+        return F.length(text) >= 12
+    if ":" in pattern.replace("(?:", ""):
+        return text.contains(":")
+    if r"\." in pattern:
+        return text.contains(".")
+    return None
+
+
 _WS_RUN = "(?U)" + WS + "+"
 
 
 def templatize(message: Column | str) -> Column:
     """Masked, whitespace-normalised template of a message."""
-    out = F.col(message) if isinstance(message, str) else message
-    for pattern, repl in _JAVA_MASKS:
-        out = F.regexp_replace(out, pattern, repl)
+    # a one-element array: the lambdas name each step's text without repeating its expression
+    out = F.array(F.col(message) if isinstance(message, str) else message)
+    for pattern, repl in MASKS:
+        def mask(x: Column, pattern: str = pattern, repl: str = repl) -> Column:
+            masked, gate = F.regexp_replace(x, java_mask(pattern), repl), _may_match(pattern, x)
+            return masked if gate is None else F.when(gate, masked).otherwise(x)
+        out = F.transform(out, _unary(mask))
     # After the collapse every whitespace run is one ASCII space, so trim()
     # (spaces only) strips exactly what str.strip() would.
-    return F.trim(F.regexp_replace(out, _WS_RUN, " "))
+    return F.trim(F.regexp_replace(out[0], _WS_RUN, " "))
+
+
+def _unary(f):
+    """A lambda of one argument (a second one would be the position)."""
+    return lambda x: f(x)

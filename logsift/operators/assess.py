@@ -47,7 +47,7 @@ RULES = [
      "Check the ISP link and modem"),
     ("escalate", r"(?i)(failed password|authentication failure|invalid user|login failed)", "auth",
      "Failed logins", "warning", 3, "Review admin access and source addresses"),
-    ("escalate", r"(?i)(intrusion|ips alert|threat|attack)", "security", "Intrusion signatures",
+    ("escalate", r"(?i)(intrusion (detected|attempt)|ips alert|(threat|attack) (detected|blocked|event))", "security", "Intrusion signatures",
      "error", 1, "Review the threat events and block the sources"),
     ("escalate", r"(?i)(segfault|core dumped|crash|respawning too fast)", "service", "Service crash",
      "error", 1, "Check the crashing service and its logs"),
@@ -56,8 +56,10 @@ RULES = [
     ("escalate", r"(?i)(hardware error|i/o error|fan fail|overheat)", "hardware", "Hardware fault",
      "critical", 1, "Inspect the device hardware"),
 ]
-# Default rule: an elevated template with at least this many lines.
+# Default rule: an elevated template with at least this many lines, and from this
+# syslog severity on (err and worse) a single one.
 DEFAULT_MIN_COUNT = 2
+SEVERE = 3
 DEFAULT_CATEGORY = "syslog"
 DEFAULT_RECOMMENDATION = "Review the source of these messages"
 
@@ -80,9 +82,9 @@ def default_severity(worst_syslog: Column) -> Column:
 
 def issue_candidates(templates: DataFrame, sample: DataFrame, keys: Sequence[str] = (),
                      min_count: int = DEFAULT_MIN_COUNT) -> DataFrame:
-    """Issue rows per (P, title) from the digest's top templates.
+    """Issue rows per (P, title) from all template counts of a period.
 
-    ``templates``: P, template, count, rank, elevated, worst_severity,
+    ``templates``: P, template, count, first_key, elevated, worst_severity,
     first_elevated_key. ``sample``: P, seen_key, message (elevated sample).
     The earliest sample line of a template is its evidence, else the
     template itself. The sample is the period's first elevated lines in
@@ -91,7 +93,10 @@ def issue_candidates(templates: DataFrame, sample: DataFrame, keys: Sequence[str
     equi-join on the (ts, id) key finds it without masking the sample.
     """
     P = pkeys(keys)
-    ev = sample.select(*P, F.col("seen_key").alias("first_elevated_key"), F.col("message").alias("evidence"))
+    # one line per key: were a key not unique, the join would count lines twice
+    ev = sample.groupBy(*P, F.col("seen_key").alias("first_elevated_key")).agg(F.min("message").alias("evidence"))
+    # templates in the order of the digest: most lines, then earliest first sighting
+    templates = templates.withColumn("rank", F.struct((-F.col("count")).alias("c"), F.col("first_key").alias("k"), F.col("template").alias("t")))
     t = templates.join(ev, on=P + ["first_elevated_key"], how="left")
     # The rule index is computed once; rows a rule does not keep contribute
     # nulls instead of being filtered, so no predicate on the regex-derived
@@ -106,7 +111,8 @@ def issue_candidates(templates: DataFrame, sample: DataFrame, keys: Sequence[str
         F.when(keep, F.col("count")).alias("count"), F.col("worst_severity"),
         F.when(is_rule, _rule_attr(F.col("rule"), 2)).otherwise(F.lit(DEFAULT_CATEGORY)).alias("category"),
         sev.alias("severity"),
-        F.when(is_rule, _rule_attr(F.col("rule"), 5, "int")).otherwise(F.lit(min_count)).alias("min_count"),
+        F.when(is_rule, _rule_attr(F.col("rule"), 5, "int"))
+         .otherwise(F.when(F.col("worst_severity") <= SEVERE, F.least(F.lit(1), F.lit(min_count))).otherwise(F.lit(min_count))).alias("min_count"),
         F.when(is_rule, _rule_attr(F.col("rule"), 6)).otherwise(F.lit(DEFAULT_RECOMMENDATION))
          .alias("recommendation"),
         F.coalesce(F.col("evidence"), F.col("template")).alias("evidence"))
@@ -132,7 +138,7 @@ def assess_rules(parts: dict[str, DataFrame], keys: Sequence[str] = (),
                  min_count: int = DEFAULT_MIN_COUNT) -> DataFrame:
     """Digest parts -> findings rows (one per period, also when it has no issue)."""
     P = pkeys(keys)
-    iss = issue_candidates(parts["templates"], parts["sample"], keys, min_count)
+    iss = issue_candidates(parts["counts"], parts["sample"], keys, min_count)
     issue = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.ISSUE.fields])
     # Order: severity desc, occurrences desc, first template rank.
     ordered = F.struct((-F.col("sev_rank")).alias("a"), (-F.col("occurrences")).alias("b"),
@@ -155,7 +161,7 @@ def assess_rules(parts: dict[str, DataFrame], keys: Sequence[str] = (),
 
 def ordered_type() -> str:
     fields = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in schemas.ISSUE.fields)
-    return f"struct<a:int,b:bigint,c:int,d:string,v:struct<{fields}>>"
+    return f"struct<a:int,b:bigint,c:struct<c:bigint,k:decimal(38,0),t:string>,d:string,v:struct<{fields}>>"
 
 
 # ── plug-in assessors ────────────────────────────────────────────────────────
@@ -192,26 +198,43 @@ def assess_with(digests: DataFrame, assessor_factory, keys: Sequence[str] = ())
     A digest whose assessment raises gets ``error`` set and no payload, so a
     caller can keep its input for the next run instead of storing a finding.
     """
-    P = pkeys(keys)
-    cols = P + ["total_lines", "distinct_patterns", "elevated_count", "digest_text"]
-    out_schema = (", ".join(f"`{c}` {t}" for c, t in _types(digests, P))
+    return _assess(digests, assessor_factory, pkeys(keys) + ["total_lines"],
+                   ["total_lines", "distinct_patterns", "elevated_count"])
+
+
+def assess_reviews_with(reviews: DataFrame, assessor_factory, keys: Sequence[str] = ()) -> DataFrame:
+    """Run a plug-in assessor over review rows (:func:`review.build_reviews`).
+
+    Its stats are ``finding_count``, ``distinct_findings`` and ``status_counts`` (a
+    dict); failures are marked as in :func:`assess_with`.
+    """
+    kept = [*keys, "ts", "period_start", "period_end", "window_days", "finding_count", "distinct_findings"]
+    return _assess(reviews, assessor_factory, kept, ["finding_count", "distinct_findings", "status_counts"])
+
+
+def _assess(digests: DataFrame, assessor_factory, kept: list[str], stat_cols: list[str]) -> DataFrame:
+    cols = list(dict.fromkeys([*kept, *stat_cols, "digest_text"]))
+    out_schema = (", ".join(f"`{c}` {t}" for c, t in _types(digests, kept))
                   + ", payload_json string, error string")
 
+    def plain(value):
+        if isinstance(value, (dict, list)):  # a map arrives as a dict or as pairs
+            return {k: int(v) for k, v in dict(value).items()}
+        return int(value)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         assessor = assessor_factory()
         for pdf in batches:
             payloads, errors = [], []
             for row in pdf.itertuples(index=False):
-                stats = {"total_lines": int(row.total_lines),
-                         "distinct_patterns": int(row.distinct_patterns),
-                         "elevated_count": int(row.elevated_count)}
+                stats = {c: plain(getattr(row, c)) for c in stat_cols}
                 try:
                     payloads.append(json.dumps(assessor.assess(row.digest_text, stats)))
                     errors.append(None)
                 except Exception as exc:  # keep the row, mark it failed
                     payloads.append(None)
                     errors.append(f"{type(exc).__name__}: {exc}")
-            out = pdf[P].copy()
+            out = pdf[kept].copy()
             out["payload_json"] = payloads
             out["error"] = errors
             yield out

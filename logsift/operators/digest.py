@@ -53,14 +53,18 @@ def period_minutes(period: str) -> int | None:
 def with_period(lines: DataFrame, period: str = "60 minutes", tz: str = "UTC") -> DataFrame:
     """Tumbling period columns. Periods are aligned in ``tz`` wall clock.
 
-    Periods must divide a day (5, 15, 60 minutes, 2, 3, 6 hours, ...): they
-    then align on the clock marks (``:00``, ``:15``, midnight) as a
-    wall-clock schedule would. Other lengths (e.g. 7 minutes, 5 hours) have
-    no stable clock alignment and are rejected.
+    Periods that divide a day (5, 15, 60 minutes, 2, 3, 6 hours, ...) align on
+    the clock marks (``:00``, ``:15``, midnight) as a wall-clock schedule would.
+    Others start anew with each larger mark, as such a schedule does: whole
+    hours at midnight (5 hours: 0, 5, 10, 15, 20; the last is shorter), minutes
+    under an hour at the full hour (7 minutes: :00, :07, .. :56). Lengths over an
+    hour that aren't whole hours are plain intervals from 1970-01-01.
     """
     m = period_minutes(period)
-    if m is not None and (m <= 0 or 1440 % m != 0):
-        raise ValueError(f"period {period!r} must divide 24 hours")
+    if m is not None and m <= 0:
+        raise ValueError(f"period {period!r} must be positive")
+    if m is not None and 1440 % m != 0 and (m < 60 or m % 60 == 0 and m < 1440):
+        return _restarting_period(lines, m, tz)
     if tz.upper() == "UTC":
         w = F.window("ts", period)
         return lines.withColumn("period_start", w.start).withColumn("period_end", w.end)
@@ -69,6 +73,18 @@ def with_period(lines: DataFrame, period: str = "60 minutes", tz: str = "UTC") -
                  .withColumn("period_end", F.to_utc_timestamp(w.end, tz)))
 
 
+def _restarting_period(lines: DataFrame, minutes: int, tz: str) -> DataFrame:
+    """Periods of ``minutes`` that start anew at every full hour, or at midnight."""
+    at = F.col("ts") if tz.upper() == "UTC" else local_ts("ts", tz)
+    mark, step = F.date_trunc("hour" if minutes < 60 else "day", at), minutes * 60
+    end_of_mark = 3600 if minutes < 60 else 86400
+    k = F.floor((F.unix_seconds(at) - F.unix_seconds(mark)) / step).cast("long") * step
+    start, end = (F.timestamp_add("SECOND", x, mark) for x in (k, F.least(k + step, F.lit(end_of_mark))))
+    if tz.upper() != "UTC":
+        start, end = F.to_utc_timestamp(start, tz), F.to_utc_timestamp(end, tz)
+    return lines.withColumn("period_start", start).withColumn("period_end", end)
+
+
 def _first(c: str = "first_key") -> list[Column]:
     return [F.col(c), key_ts(c).alias("first_ts"), key_id(c).alias("first_id")]
 
@@ -217,7 +233,7 @@ def render_text(assembled: DataFrame, max_chars: int = MAX_CHARS) -> Column:
         "=== Elevated-severity sample (warning or worse), %d of %d ===",
         F.size(c("sample")), c("elevated_count")))
     sample_lines = F.transform(c("sample"), lambda s: F.concat(
-        F.lit("("), severity_name(s["sev"]), F.lit(") "), F.coalesce(s["s1"], F.lit("?")),
+        F.lit("("), severity_name(s["sev"]), F.lit(") "), F.coalesce(F.nullif(s["s1"], F.lit("")), F.lit("?")),
         F.lit(": "), s["s2"]))
     text = F.array_join(F.concat(head, tmpl_lines, sample_head, sample_lines), "\n")
     return truncate_with_marker(text, max_chars, TRUNCATION_MARKER)

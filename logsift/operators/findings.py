@@ -2,9 +2,10 @@
 
 Tables are Parquet partitioned by ``period_date`` (the day of ``ts``), so
 ``ts`` predicates prune whole partitions and retention drops whole days.
-Writes are idempotent per (keys, period_start): rows already stored are
-removed with a left-anti join before an append, so a replayed batch never
-stores a finding twice and the day's other periods stay untouched.
+Writes are idempotent per (keys, period_start, source): rows already stored
+are removed with a left-anti join before an append, so a replayed batch never
+stores a finding twice, another source's finding of the same period is kept, and
+the day's other periods stay untouched.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from .. import schemas
 from ..functions.severity import is_elevated
+from ..sources.tables import materialize
 
 # ── JSON codec ───────────────────────────────────────────────────────────────
 
@@ -69,48 +70,87 @@ def _cast_back(c: Column, dt: T.DataType) -> Column:
 
 # ── validation ──────────────────────────────────────────────────────────────
 
-def _keys_of(js: Column) -> Column:
-    return F.json_object_keys(js)
+# Contracts of the two payloads: a field holds one of a list of texts (a list), any
+# text (str), an integer or its digits as text (int), a list of texts ([str]) or a list of
+# objects ([{...}]). All fields are required, others are not allowed.
+FINDING_CONTRACT = {
+    "overall_status": schemas.FINDING_STATUSES, "summary": str,
+    "findings": [{"severity": schemas.ISSUE_SEVERITIES, "category": str, "title": str, "detail": str, "evidence": str,
+                  "occurrences": int, "recommendation": str}]}
+WEEKLY_CONTRACT = {
+    "period_status": schemas.PERIOD_STATUSES, "overall_assessment": str,
+    "recurring_issues": [{"title": str, "category": str, "severity": schemas.ISSUE_SEVERITIES, "days_seen": int,
+                          "frequency": str, "detail": str, "recommendation": str}],
+    "trends": [{"title": str, "direction": schemas.TREND_DIRECTIONS, "detail": str}],
+    "watchlist": [str]}
+
+
+def _get(v: Column, kind: str) -> Column:
+    return F.try_variant_get(v, "$", kind)
+
+
+def _fits(v: Column, rule) -> Column:
+    """Does a JSON value (variant, null if absent) fit a scalar rule?"""
+    kind, text = F.schema_of_variant(v), _get(v, "string")
+    if isinstance(rule, list):
+        ok = (kind == "STRING") & text.isin(*rule)
+    elif rule is int:
+        ok = (kind == "BIGINT") | ((kind == "STRING") & text.rlike(r"^-?[0-9]+$"))
+    else:
+        ok = kind == "STRING"
+    return F.coalesce(ok, F.lit(False))
+
+
+def _keys(m: Column, names: list[str]) -> tuple[Column, Column]:
+    """(a required key is missing, there is another key)."""
+    want = F.array(*[F.lit(n) for n in names])
+    return F.size(F.array_except(want, F.map_keys(m))) > 0, F.size(F.array_except(F.map_keys(m), want)) > 0
+
+
+def validate_json(js: Column | str, contract: dict) -> Column:
+    """Violations of a payload contract, as an array of messages; the text is parsed once."""
+    js = F.col(js) if isinstance(js, str) else js
+    objects = "map<string,variant>"
+
+    def items(values: Column, name: str, rule) -> list[Column]:
+        if not isinstance(rule, dict):
+            return [F.when(F.exists(values, lambda v: ~_fits(v, rule)), F.lit(f"{name} item bad"))]
+        maps = F.transform(values, lambda v: _get(v, objects))
+        return [
+            F.when(F.exists(maps, lambda m: m.isNull()), F.lit(f"{name} item not an object")),
+            F.when(F.exists(maps, lambda m: _keys(m, list(rule))[0]), F.lit(f"{name} item missing key")),
+            F.when(F.exists(maps, lambda m: _keys(m, list(rule))[1]), F.lit(f"{name} item unexpected key")),
+            *[F.when(F.exists(maps, _item_breaks(f, r)), F.lit(f"{name} item bad {f}")) for f, r in rule.items()]]
+
+    def check(m: Column) -> Column:
+        out = [F.when(m.isNull(), F.lit("not a JSON object")),
+               *[F.when(m.isNotNull() & ~F.map_contains_key(m, F.lit(k)), F.lit(f"missing {k}")) for k in contract],
+               F.when(_keys(m, list(contract))[1], F.lit("unexpected key"))]
+        for k, rule in contract.items():
+            value = F.try_element_at(m, F.lit(k))
+            if isinstance(rule, list) and not isinstance(rule[0], str):
+                values = _get(value, "array<variant>")
+                out += [F.when(F.map_contains_key(m, F.lit(k)) & values.isNull(), F.lit(f"{k} not an array")), *items(values, k, rule[0])]
+            else:
+                out.append(F.when(m.isNotNull() & ~_fits(value, rule), F.lit(f"bad {k}")))
+        return F.array_compact(F.array(*out))
+
+    # a one-element array: the lambda names the parsed object without parsing again
+    return F.transform(F.array(_get(F.try_parse_json(js), objects)), lambda m: check(m))[0]
+
+
+def _item_breaks(field: str, rule):
+    return lambda m: m.isNotNull() & ~_fits(F.try_element_at(m, F.lit(field)), rule)
 
 
 def validate_finding_json(js: Column | str) -> Column:
-    """Violations of the finding payload contract, as an array of messages.
+    """Violations of the finding payload contract."""
+    return validate_json(js, FINDING_CONTRACT)
 
-    Checks: parseable object; required keys present; no extra keys; status
-    enum; issues an array of objects with all seven keys, no extra keys,
-    severity enum and integer occurrences ([DESIGN]: a JSON integer or an
-    integer-valued string, the forms the review's coercion turns into ints).
-    """
-    js = F.col(js) if isinstance(js, str) else js
-    top = ["overall_status", "summary", "findings"]
-    issue_keys = [f.name for f in schemas.ISSUE.fields]
-    keys = _keys_of(js)
-    loose = F.from_json(js, T.StructType([
-        T.StructField("overall_status", T.StringType()), T.StructField("summary", T.StringType()),
-        T.StructField("findings", T.ArrayType(T.StringType()))]))
-    items = loose["findings"]
-    item_keys = F.transform(items, lambda i: F.json_object_keys(i))
-    item_sev = F.transform(items, lambda i: F.get_json_object(i, "$.severity"))
-    item_occ = F.transform(items, lambda i: F.get_json_object(i, "$.occurrences"))
-    checks = [
-        F.when(keys.isNull(), F.lit("not a JSON object")),
-        *[F.when(keys.isNotNull() & ~F.array_contains(keys, k), F.lit(f"missing {k}")) for k in top],
-        F.when(F.size(F.array_except(keys, F.array(*[F.lit(k) for k in top]))) > 0,
-               F.lit("unexpected key")),
-        F.when(keys.isNotNull() & ~F.coalesce(loose["overall_status"].isin(*schemas.FINDING_STATUSES),
-                                              F.lit(False)), F.lit("bad overall_status")),
-        F.when(F.array_contains(keys, "findings") & items.isNull(), F.lit("findings not an array")),
-        F.when(F.exists(item_keys, lambda k: k.isNull()), F.lit("issue not an object")),
-        F.when(F.exists(item_keys, lambda k: F.size(F.array_except(
-            F.array(*[F.lit(x) for x in issue_keys]), k)) > 0), F.lit("issue missing key")),
-        F.when(F.exists(item_keys, lambda k: F.size(F.array_except(
-            k, F.array(*[F.lit(x) for x in issue_keys]))) > 0), F.lit("issue unexpected key")),
-        F.when(F.exists(item_sev, lambda s: ~F.coalesce(s.isin(*schemas.ISSUE_SEVERITIES), F.lit(False))),
-               F.lit("bad issue severity")),
-        F.when(F.exists(item_occ, lambda o: ~F.coalesce(o.rlike(r"^-?[0-9]+$"), F.lit(False))),
-               F.lit("bad occurrences")),
-    ]
-    return F.array_compact(F.array(*checks))
+
+def validate_weekly_json(js: Column | str) -> Column:
+    """Violations of the review payload contract."""
+    return validate_json(js, WEEKLY_CONTRACT)
 
 
 def split_valid(df: DataFrame, json_col: str = "payload_json"):
@@ -121,36 +161,61 @@ def split_valid(df: DataFrame, json_col: str = "payload_json"):
     return good.drop("violations"), bad
 
 
+def findings_from_payloads(assessed: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Plug-in results (:func:`assess.assess_with`) to ``(findings, kept back)``.
+
+    A finding takes ``overall_status`` and ``summary`` from its payload (missing:
+    ``ok`` and an empty text) and ``log_count`` from the digest's lines. Rows whose
+    assessment failed, or whose payload is no JSON object or breaks the contract in
+    anything but those two fields, are kept back with their ``error``, so that the caller
+    leaves their input for the next run.
+    """
+    violations = validate_finding_json("payload_json")
+    defaulted = ["missing overall_status", "missing summary"]
+    bad_default = [F.when(F.array_contains("_v", m), F.lit("bad " + m.split()[1])) for m in defaulted]
+    broken = F.array_except("_v", F.array_compact(F.array(*[F.lit(m) for m in defaulted], *bad_default)))
+    v = assessed.withColumn("_v", violations).withColumn("_broken", broken)
+    ok = F.col("error").isNull() & (F.size("_broken") == 0)
+    good = v.filter(ok).withColumn("payload", payload_from_json("payload_json"))
+    status = F.coalesce("payload.overall_status", F.lit("ok"))
+    summary = F.coalesce("payload.summary", F.lit(""))
+    stored = good.select(*keys, "period_start", F.col("period_end").alias("ts"), status.alias("overall_status"), summary.alias("summary"),
+                         F.col("total_lines").cast("long").alias("log_count"),
+                         F.struct(status.alias("overall_status"), summary.alias("summary"), F.col("payload.findings").alias("findings")).alias("payload"))
+    back = v.filter(~ok).withColumn("error", F.coalesce("error", F.concat(F.lit("payload: "), F.array_join("_broken", "; "))))
+    return stored, back.drop("_v", "_broken")
+
+
 # ── writes ──────────────────────────────────────────────────────────────────
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def append_new(df: DataFrame, path: str, keys: Sequence[str] = (),
-               period_col: str = "period_start", by_date: bool | None = None) -> DataFrame:
-    """Append rows whose (keys, period) is not stored yet; returns the rows written.
+               period_col: str = "period_start", source: Sequence[str] = ()) -> DataFrame:
+    """Append rows whose (keys, period, source) is not stored yet; returns the rows written.
 
-    With ``by_date`` (default for period keys) the anti-join also matches
-    ``period_date``, the partition column, so only the stored days the new
-    rows fall on are read (partition pruning) instead of every stored key.
+    ``source`` names columns that tell sources of one period apart (e.g. a stream's
+    query id and batch id). A stored table without them counts as null there. The rows are
+    computed once, into a staging table; only the stored days they fall on are read
+    (``period_date`` is the partition column).
     """
     spark = df.sparkSession
-    by_date = (period_col != "batch_id") if by_date is None else by_date
-    key_cols = list(keys) + [period_col] + (["period_date"] if by_date else [])
-    out = df.withColumn("period_date", F.to_date("ts"))
-    try:
-        stored = spark.read.parquet(path)
-        if by_date:
-            days = [r[0] for r in out.select("period_date").distinct().collect()]
-            stored = stored.filter(F.col("period_date").isin(days))
-        out = out.join(stored.select(*key_cols).distinct(), on=key_cols, how="left_anti")
-    except AnalysisException:
-        pass  # nothing stored yet
-    out.write.mode("append").partitionBy("period_date").parquet(path)
+    key_cols = [*keys, period_col, *source, "period_date"]
+    staged = materialize(df.withColumn("period_date", F.to_date("ts")), "staged")
+    out = staged
+    if path_exists(spark, path):
+        days = [r[0] for r in staged.select("period_date").distinct().collect()]
+        stored = spark.read.parquet(path).filter(F.col("period_date").isin(days) if days else F.lit(False))
+        stored = stored.select(*[(F.col(c) if c in stored.columns else F.lit(None)).alias("_" + c) for c in key_cols]).distinct()
+        same = [F.col(c).eqNullSafe(F.col("_" + c)) for c in key_cols]
+        out = staged.join(stored, on=same, how="left_anti")
+    out.write.mode("append").option("mergeSchema", "true").partitionBy("period_date").parquet(path)
     return out
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 # ── reads (K4, K5, K8, F3, F5) ───────────────────────────────────────────────
 
 def with_log_date(lines: DataFrame) -> DataFrame:
@@ -169,14 +234,17 @@ def _day_bounds(lines: DataFrame, lo=None, hi=None) -> DataFrame:
     return lines
 
 
-def logs_until(lines: DataFrame, cutoff) -> DataFrame:
-    """raw_logs rows with ``ts <= cutoff`` (the batch to evaluate), in (ts, id) order.
+def logs_until(lines: DataFrame, cutoff, ordered: bool = False) -> DataFrame:
+    """raw_logs rows with ``ts <= cutoff`` (the batch to evaluate), on demand in (ts, id) order.
+
+    No evaluation needs the order: first sightings compare (ts, id) themselves.
 
     On a ``log_date``-partitioned table the day bound prunes partitions; the
     ``ts`` bound is pushed into the Parquet scan.
     """
     c = F.lit(cutoff).cast("timestamp")
-    return _day_bounds(lines, hi=cutoff).filter(F.col("ts") <= c).orderBy("ts", "id")
+    out = _day_bounds(lines, hi=cutoff).filter(F.col("ts") <= c)
+    return out.orderBy("ts", "id") if ordered else out
 
 
 def lines_between(lines: DataFrame, start, end) -> DataFrame:
@@ -189,22 +257,29 @@ def elevated(lines: DataFrame) -> DataFrame:
     return lines.filter(is_elevated("severity"))
 
 
+def _ties(df: DataFrame) -> list[Column]:
+    """Order among rows of one ``ts``: ids and periods, then a hash of the other columns."""
+    known = [c for c in ("id", "period_start", "batch_id") if c in df.columns]
+    rest = [f.name for f in df.schema.fields if not f.dataType.simpleString().startswith("map")]
+    return [*[F.col(c) for c in known], F.xxhash64(*rest)]
+
+
 def since(df: DataFrame, since_ts) -> DataFrame:
     """Rows with ``ts >= since`` oldest first."""
-    return df.filter(F.col("ts") >= F.lit(since_ts).cast("timestamp")).orderBy("ts")
+    return df.filter(F.col("ts") >= F.lit(since_ts).cast("timestamp")).orderBy("ts", *_ties(df))
 
 
 def latest(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Newest row overall (``keys=[]``) or per key; empty input -> no row."""
     if not keys:
-        return df.orderBy(F.desc("ts")).limit(1)
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "ts")
+        return history(df, 1)
+    return (df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct("ts", *_ties(df)))
                                   .alias("_r")).select(*keys, "_r.*"))
 
 
 def history(df: DataFrame, limit: int = 200) -> DataFrame:
-    """Newest first; a negative limit means no limit."""
-    out = df.orderBy(F.desc("ts"))
+    """Newest first (ties: larger id, later period); a negative limit means no limit."""
+    out = df.orderBy(F.desc("ts"), *[c.desc() for c in _ties(df)])
     return out if limit is None or limit < 0 else out.limit(limit)
 
 

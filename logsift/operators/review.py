@@ -54,19 +54,20 @@ def recurrence(issues: DataFrame, keys: Sequence[str] = (), tz: str = "UTC",
     With ``split_at`` the same aggregation also counts issue rows before and
     from that instant (``first_half`` / ``second_half``) for the trend.
     """
-    k = seen_key("ts", "pos")
-    aggs = [
-        F.count(F.lit(1)).alias("hours"),
-        F.sum("occurrences").cast("long").alias("occurrences"),
-        F.count_distinct(local_label("ts", "yyyy-MM-dd", tz)).alias("days"),
-        F.min_by("severity", k).alias("severity"),
-        F.min_by("category", k).alias("category"),
-        F.min(k).alias("first_key"),
-    ]
-    if split_at is not None:
-        aggs += [F.count_if(F.col("ts") < split_at).alias("first_half"),
-                 F.count_if(F.col("ts") >= split_at).alias("second_half")]
-    return issues.groupBy(*keys, "title").agg(*aggs)
+    # All issue rows go through a hash aggregation on fixed-width buffers; what
+    # needs texts as values sees a row per title, kind and day.
+    first = [F.count(F.lit(1)).alias("hours"), F.sum("occurrences").cast("long").alias("occurrences"),
+             F.min(seen_key("ts", "pos")).alias("first_key")]
+    halves = [] if split_at is None else ["first_half", "second_half"]
+    if halves:
+        first += [F.count_if(F.col("ts") < split_at).alias("first_half"), F.count_if(F.col("ts") >= split_at).alias("second_half")]
+    daily = (issues.withColumn("_day", local_label("ts", "yyyy-MM-dd", tz))
+             .groupBy(*keys, "title", "severity", "category", "_day").agg(*first))
+    return daily.groupBy(*keys, "title").agg(
+        F.sum("hours").cast("long").alias("hours"), F.sum("occurrences").cast("long").alias("occurrences"),
+        F.size(F.collect_set("_day")).cast("long").alias("days"),
+        F.min_by("severity", "first_key").alias("severity"), F.min_by("category", "first_key").alias("category"),
+        *[F.sum(h).cast("long").alias(h) for h in halves], F.min("first_key").alias("first_key"))
 
 
 def rank_recurrence(rec: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -104,6 +105,16 @@ def assign_reviews(findings: DataFrame, window_days: int = WINDOW_DAYS,
     return x.filter((F.col("ts") < F.col("review_ts")) & (F.col("ts") >= lo))
 
 
+def reviewed_as_of(findings: DataFrame, as_of, window_days: int = WINDOW_DAYS) -> DataFrame:
+    """Rows of the window that ends at ``as_of`` (excluded), with ``review_ts`` = ``as_of``. On a
+    stored table the day bounds prune partitions."""
+    end = F.lit(as_of).cast("timestamp")
+    start = F.timestamp_add("SECOND", F.lit(-window_days * 86400), end)
+    if "period_date" in findings.columns:
+        findings = findings.filter((F.col("period_date") >= F.to_date(start)) & (F.col("period_date") <= F.to_date(end)))
+    return findings.filter((F.col("ts") >= start) & (F.col("ts") < end)).withColumn("review_ts", end)
+
+
 def midpoint(window_days: int = WINDOW_DAYS) -> Column:
     """Middle of the review window ending at ``review_ts``."""
     return F.timestamp_add("SECOND", F.lit(-(window_days * 86400) // 2), F.col("review_ts"))
@@ -128,26 +139,30 @@ def trends(issues: DataFrame, keys: Sequence[str], window_days: int = WINDOW_DAY
 
 
 def review_table(findings: DataFrame, keys: Sequence[str] = (), window_days: int = WINDOW_DAYS,
-                 review_hour: int = REVIEW_HOUR, tz: str = "UTC", assigned: DataFrame | None = None) -> DataFrame:
+                 review_hour: int = REVIEW_HOUR, tz: str = "UTC", as_of=None) -> DataFrame:
     """Ranked recurrence per (keys, review_ts) with trend direction."""
     rk = list(keys) + ["review_ts"]
-    if assigned is None:
-        assigned = assign_reviews(findings, window_days, review_hour, tz)
-    iss = explode_issues(assigned, rk)
+    # issues are unnested first: narrow rows, not payloads, are copied to their reviews
+    iss = explode_issues(findings, keys)
+    iss = (assign_reviews(iss, window_days, review_hour, tz) if as_of is None else reviewed_as_of(iss, as_of, window_days))
     # One aggregation gives the recurrence and the trend halves (no second
     # shuffle, no join back).
     rec = recurrence(iss, rk, tz, split_at=midpoint(window_days))
     return rank_recurrence(rec, rk).withColumn("direction", direction())
 
 
-def _finding_lines(assigned: DataFrame, rk: list[str], tz: str) -> DataFrame:
-    """Per (keys, review_ts): count, bounds, status counts, last 200 summaries."""
-    w = Window.partitionBy(*rk).orderBy(F.desc("ts"))
+def _finding_lines(assigned: DataFrame, rk: list[str], tz: str, max_summaries: int = MAX_SUMMARIES) -> DataFrame:
+    """Per (keys, review_ts): count, bounds, status counts, last summaries (ties: later
+    period, then status and text; a null text is empty)."""
+    assigned = assigned.select(*rk, "ts", "period_start", F.coalesce("overall_status", F.lit("")).alias("overall_status"),
+                               F.coalesce("summary", F.lit("")).alias("summary"))
+    order = ["ts", "period_start", "overall_status", "summary"]
+    w = Window.partitionBy(*rk).orderBy(*[F.desc(c) for c in order])
     last = (assigned.withColumn("_back", F.row_number().over(w))
-            .filter(F.col("_back") <= MAX_SUMMARIES)
+            .filter(F.col("_back") <= max_summaries)
             .groupBy(*rk).agg(F.sort_array(F.collect_list(F.struct(
-                "ts", F.concat(local_label("ts", "MM-dd HH:mm", tz), F.lit(" ["),
-                               F.col("overall_status"), F.lit("] "), F.col("summary")).alias("line")
+                *order, F.concat(local_label("ts", "MM-dd HH:mm", tz), F.lit(" ["),
+                                 F.col("overall_status"), F.lit("] "), F.col("summary")).alias("line")
             ))).alias("_summaries")))
     s = F.col("overall_status")
     stats = assigned.groupBy(*rk).agg(
@@ -159,22 +174,26 @@ def _finding_lines(assigned: DataFrame, rk: list[str], tz: str) -> DataFrame:
 
 
 def build_reviews(findings: DataFrame, keys: Sequence[str] = (), window_days: int = WINDOW_DAYS,
-                  review_hour: int = REVIEW_HOUR, tz: str = "UTC") -> DataFrame:
+                  review_hour: int = REVIEW_HOUR, tz: str = "UTC", max_summaries: int = MAX_SUMMARIES,
+                  as_of=None) -> DataFrame:
     """One weekly_summaries row per (keys, review instant) with any finding.
 
+    ``as_of``: review only the window that ends at this instant ("review now").
+
     Columns: keys, ts (review instant), period_start / period_end (first /
     last finding), window_days, finding_count, distinct_findings,
-    digest_text, payload (deterministic review).
+    status_counts (map), digest_text, payload (deterministic review).
     """
     rk = list(keys) + ["review_ts"]
-    assigned = assign_reviews(findings, window_days, review_hour, tz)
-    table = review_table(findings, keys, window_days, review_hour, tz, assigned=assigned)
+    narrow = findings.drop("payload")
+    assigned = assign_reviews(narrow, window_days, review_hour, tz) if as_of is None else reviewed_as_of(narrow, as_of, window_days)
+    table = review_table(findings, keys, window_days, review_hour, tz, as_of)
     rec = table.groupBy(*rk).agg(
         F.count(F.lit(1)).alias("distinct_findings"),
         F.sort_array(F.collect_list(F.struct(
             "rank", "title", "category", "severity", "days", "hours", "occurrences",
             "direction"))).alias("_rec"))
-    fl = _finding_lines(assigned, rk, tz)
+    fl = _finding_lines(assigned, rk, tz, max_summaries)
     j = fl.join(rec, on=rk, how="left")
     rec_list = F.coalesce(F.col("_rec"), F.array().cast(
         "array<struct<rank:int,title:string,category:string,severity:string,days:bigint,"
@@ -200,6 +219,7 @@ def build_reviews(findings: DataFrame, keys: Sequence[str] = (), window_days: in
         *keys, F.col("review_ts").alias("ts"), "period_start", "period_end",
         F.lit(window_days).alias("window_days"), F.col("finding_count").cast("long").alias("finding_count"),
         F.coalesce(F.col("distinct_findings"), F.lit(0)).cast("long").alias("distinct_findings"),
+        F.create_map(F.lit("ok"), "n_ok", F.lit("warning"), "n_warning", F.lit("error"), "n_error").alias("status_counts"),
         text.alias("digest_text"), payload.alias("payload"))
 
 

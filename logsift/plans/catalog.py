@@ -31,6 +31,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 CUTOFF = "2024-01-15 00:00:00"
 SINCE = "2024-01-24 06:00:00"
 NOW = "2024-01-31 00:00:00"
+AS_OF = "2024-01-20 12:34:56"
 RETENTION_DAYS = 10
 SMALL_K = 3
 SAMPLE_K = 5
@@ -55,20 +56,22 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     return parse_lines(syslog(spark, sf), "raw", keep=["id", "ts"])
 
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, sf: str) -> tuple:
+    """Files of ``events`` with their sizes and times: a changed input is another table."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf.rstrip('/')}/events.parquet")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p))
 
 
 def _stored(spark: SparkSession, sf: str, name: str, build, partition_by=None) -> DataFrame:
-    """A table written once per session and data folder, then read by every query."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    """A table written once per session and state of the input, then read by every query."""
+    key = (spark.sparkContext.applicationId, name, _state(spark, sf))
     path = _WRITTEN.get(key)
-    if path is not None:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # removed meanwhile: write again
-            pass
-    path = write_table(build(spark, sf), name, partition_by)
-    _WRITTEN[key] = path
+    if path is None or not FS.path_exists(spark, path):
+        path = _WRITTEN[key] = write_table(build(spark, sf), name, partition_by)
     return spark.read.parquet(path)
 
 
@@ -142,6 +145,35 @@ def q_templatize_documents(spark, sf):
     return TD.table(spark, sf, "documents").select("doc_id", templatize("text").alias("template"))
 
 
+def hard_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Payload records of ``events`` with what the syslog view lacks: MAC and IPv6 addresses,
+    hexadecimal numbers, invalid UTF-8, several lines in a record, lines without a message."""
+    ev = TD.events(spark, sf)
+    eid = F.col("event_id").cast("string")
+    text = (F.when(F.col("event_id") % 6 == 0, F.concat(F.lit("<13>Jun 25 10:00:00 gw link aa:bb:cc:dd:ee:ff up "), eid))
+            .when(F.col("event_id") % 6 == 1, F.lit("<14>"))
+            .when(F.col("event_id") % 6 == 2, F.concat(F.lit("<11>Jun 25 10:00:00 h2 at 0xDEAD"), eid, F.lit(" run deadbeefcafe"), eid, F.lit(" ")))
+            .when(F.col("event_id") % 6 == 3, F.concat(F.lit("seq "), eid, F.lit("\r\n\ntail "), eid))
+            .when(F.col("event_id") % 6 == 4, F.concat(F.lit("<15>Jun 25 10:00:00 h4 from 2001:db8:0:0:0:0:0:1 to 10.0.0."), (F.col("event_id") % 256).cast("string")))
+            .otherwise(F.lit("  \t ")))
+    bad = F.when(F.col("event_id") % 6 == 2, F.unhex(F.lit("FF2078"))).otherwise(F.unhex(F.lit("")))
+    return ev.select(F.lit(0).alias("partition"), F.col("event_id").alias("offset"), F.col("ts").alias("timestamp"),
+                     F.concat(F.encode(text, "UTF-8"), bad).alias("value"))
+
+
+def q_hard_lines(spark, sf):
+    from ..streaming.ingest import payload_lines
+    x = payload_lines(hard_payloads(spark, sf), ts_col="timestamp")
+    return x.select("offset", F.col("pos").cast("int").alias("pos"), "host", "severity", "message", templatize("message").alias("template"))
+
+
+def q_receive_time(spark, sf):
+    """Lines without a time get the instant at which they were received: one for the table."""
+    from ..streaming.ingest import payload_lines
+    x = payload_lines(hard_payloads(spark, sf).drop("timestamp"))
+    return x.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.count("ts").alias("stamped"), F.count_distinct("ts").alias("instants"))
+
+
 # ── filters and reads over raw lines ────────────────────────────────────────
 
 def q_logs_until(spark, sf):
@@ -208,6 +240,24 @@ def q_assess_rules(spark, sf):
                         "i.evidence"))
 
 
+def rare_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of ``events`` with 90 noisy templates a day and a few single severe lines."""
+    e = F.col("event_id")
+    letters = F.concat(F.chr(97 + e % 9), F.chr(107 + F.floor(e / 9) % 10))
+    message = (F.when(e % 997 == 0, F.concat(F.lit("kernel: hardware error in bank "), (e % 8).cast("string")))
+               .when(e % 991 == 1, F.concat(F.lit("daemon "), letters, F.lit(" gave up")))
+               .otherwise(F.concat(F.lit("worker "), letters, F.lit(" done in "), (e % 50).cast("string"))))
+    severity = F.when(e % 997 == 0, 2).when(e % 991 == 1, 1).otherwise(5)
+    return TD.events(spark, sf).select(e.alias("id"), "ts", F.lit(None).cast("string").alias("host"), severity.alias("severity"), message.alias("message"))
+
+
+def q_rare_severe(spark, sf):
+    """Single severe lines behind more templates than the digest shows."""
+    f = A.assess_rules(D.digest_parts(rare_lines(spark, sf), period="1 day"))
+    x = f.select("period_start", F.posexplode("payload.findings").alias("pos", "i"))
+    return ntz(x.select("period_start", "pos", "i.title", "i.severity", "i.category", "i.occurrences", "i.evidence"))
+
+
 def q_findings_build(spark, sf):
     f = assessed(spark, sf)
     return ntz(f.select("period_start", "ts", "overall_status", "summary", "log_count",
@@ -235,6 +285,13 @@ def q_validate_payload(spark, sf):
                                        (F.size(v) == 0).alias("is_valid")))
 
 
+def q_validate_weekly(spark, sf):
+    """Contract check of review payloads (valid) and of ``events.props`` (rejected)."""
+    w = weekly(spark, sf).select("ts", F.lit(None).cast("long").alias("event_id"), FS.payload_to_json("payload").alias("js"))
+    e = TD.events(spark, sf).select(F.lit(None).cast("timestamp").alias("ts"), "event_id", F.col("props").alias("js"))
+    return ntz(w.unionByName(e).select("ts", "event_id", F.size(FS.validate_weekly_json("js")).alias("n_violations")))
+
+
 def q_findings_since(spark, sf):
     return ntz(FS.since(findings(spark, sf), SINCE).select("period_start", "ts", "overall_status", "log_count"))
 
@@ -347,6 +404,12 @@ def q_weekly_build(spark, sf):
                         "distinct_findings", FS.payload_to_json("payload").alias("payload_json")))
 
 
+def q_review_as_of(spark, sf):
+    """Review now: the window that ends at a given instant."""
+    w = R.build_reviews(stored_findings(spark, sf), as_of=AS_OF)
+    return ntz(w.select("ts", "period_start", "period_end", "finding_count", "distinct_findings"))
+
+
 def q_latest_weekly(spark, sf):
     return ntz(FS.latest(weekly(spark, sf)).select("ts", "period_start", "period_end", "finding_count"))
 

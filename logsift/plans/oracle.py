@@ -1,14 +1,13 @@
 """DuckDB SQL for the registered queries (the correctness oracle).
 
 Written independently of the Spark plans, over the same driver tables. The
-syslog view is ASCII, where RE2 (DuckDB) and Java regex agree; Unicode
-masking is checked against Python ``re`` in the tests instead.
+syslog view is ASCII, where RE2 (DuckDB) and Java regex agree; whole texts are
+masked with the word boundaries written out.
 """
 
 from __future__ import annotations
 
 from ..functions.template import MASKS
-from ..operators import assess as A
 from . import catalog as C
 
 # Python's whitespace set, spelled out for RE2.
@@ -25,6 +24,20 @@ def templ(x: str) -> str:
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
+def templ_unicode(x: str) -> str:
+    """Masks with Unicode word boundaries: RE2 has no lookaround, so the neighbours are matched and
+    put back, twice, as matches that share a neighbour are found in turns."""
+    word = r"[^\p{L}\p{N}_]"
+    for pattern, repl in MASKS:
+        core = pattern.replace(r"\d", r"\p{Nd}").replace(r"\S", "[^" + PYWS[1:])
+        ends = core.endswith(r"\b")
+        core = core.removeprefix(r"\b").removesuffix(r"\b").replace("(\\.", "(?:\\.").replace("(:[", "(?::[")
+        tail = rf"($|{word})" if ends else "()"
+        for _ in range(2):
+            x = rf"regexp_replace({x}, '(^|{word})(?:{core}){tail}', '\1{repl}\2', 'g')"
+    return f"trim(regexp_replace({x}, '{PYWS}+', ' ', 'g'))"
+
+
 def ts(v: str) -> str:
     return f"TIMESTAMP '{v}'"
 
@@ -92,7 +105,7 @@ lines AS (
   FROM l8)"""
 
 
-def with_period(minutes: int = 60, whole: bool = False) -> str:
+def with_period(minutes: int = 60, whole: bool = False, lines: str | None = None) -> str:
     """``whole``: one period spanning all lines, bounded by their min / max ts."""
     if whole:
         start, end = "(SELECT min(ts) FROM lines)", "(SELECT max(ts) FROM lines)"
@@ -100,7 +113,7 @@ def with_period(minutes: int = 60, whole: bool = False) -> str:
         start = ("date_trunc('hour', ts)" if minutes == 60 else
                  f"time_bucket(INTERVAL '{minutes} minutes', ts, TIMESTAMP '1970-01-01')")
         end = f"{start} + INTERVAL '{minutes} minutes'"
-    return PARSED + f""",
+    return (lines or PARSED) + f""",
 t AS (
   SELECT *, {start} AS period_start, {end} AS period_end,
     {templ('message')} AS template
@@ -143,7 +156,7 @@ tt AS (SELECT period_start, string_agg(printf('[%6d×] %s', count, template), ch
 ht AS (SELECT period_start, string_agg(host || ' (' || CAST(count AS VARCHAR) || ')', ', ' ORDER BY rank) AS hl
        FROM hr WHERE rank <= {k_h} GROUP BY period_start),
 es AS (SELECT period_start, count(*) AS ns,
-         string_agg('(' || {SEVNAME.format('severity')} || ') ' || coalesce(host, '?') || ': ' || message,
+         string_agg('(' || {SEVNAME.format('severity')} || ') ' || coalesce(nullif(host, ''), '?') || ': ' || message,
                     chr(10) ORDER BY rank) AS sl
        FROM er WHERE rank <= {k_s} GROUP BY period_start),
 txt AS (
@@ -167,34 +180,61 @@ digest AS (
 
 # ── rules assessor ───────────────────────────────────────────────────────────
 
+# The rules, written out: pattern, category, title, severity, min_count, recommendation; benign
+# ones have no title.
+RULES = [
+    ("Got notification message from PID", "", "", "info", 1, ""),
+    ("recvfrom header: No such file or directory", "", "", "info", 1, ""),
+    ("Got no response within <N> seconds", "", "", "info", 1, ""),
+    ("service_json event fail, retry", "", "", "info", 1, ""),
+    ("(?i)pcap dumping rate exceeded|DPI.*skip", "", "", "info", 1, ""),
+    ("(?i)StaTXRetryBurst|tx.?retry|burst_ratio|rssi", "", "", "info", 1, ""),
+    ("Netlink error response: Resource busy", "", "", "info", 1, ""),
+    ("ARP table does not have IP for", "", "", "info", 1, ""),
+    ("peer in L-state", "", "", "info", 1, ""),
+    ("(?i)(procd|logread).*(SIGTERM|SIGKILL)", "", "", "info", 1, ""),
+    ("(?i)ntpd.*timed out waiting", "time", "NTP time sync failing", "warning", 6, "Check upstream NTP reachability"),
+    ("(?i)(openvpn|vpn|tunnel|ipsec|wireguard).*(auth|cert|tls|handshake).*(fail|error)", "vpn", "VPN authentication failures", "error", 1,
+     "Check the VPN certificate and credentials"),
+    ("(?i)(wan|uplink).*(down|lost|disconnect)", "wan", "WAN / uplink down", "error", 1, "Check the ISP link and modem"),
+    ("(?i)(failed password|authentication failure|invalid user|login failed)", "auth", "Failed logins", "warning", 3,
+     "Review admin access and source addresses"),
+    ("(?i)(intrusion (detected|attempt)|ips alert|(threat|attack) (detected|blocked|event))", "security", "Intrusion signatures", "error", 1,
+     "Review the threat events and block the sources"),
+    ("(?i)(segfault|core dumped|crash|respawning too fast)", "service", "Service crash", "error", 1, "Check the crashing service and its logs"),
+    ("(?i)(no space left|out of memory|oom-killer)", "resources", "Resource exhaustion", "critical", 1, "Free disk space or memory"),
+    ("(?i)(hardware error|i/o error|fan fail|overheat)", "hardware", "Hardware fault", "critical", 1, "Inspect the device hardware"),
+]
+
+
 def _arr(i: int, quote: bool = True) -> str:
-    vals = [r[i] for r in A.RULES]
+    vals = [r[i] for r in RULES]
     if quote:
         return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in vals) + "]"
     return "[" + ", ".join(str(v) for v in vals) + "]"
 
 
-def assessed(whole: bool = False) -> str:
+def assessed(whole: bool = False, minutes: int = 60, lines: str | None = None) -> str:
     rule_case = "CASE " + " ".join(
-        f"WHEN regexp_matches(template, '{r[1]}') THEN {i}" for i, r in enumerate(A.RULES)) + " END"
-    return with_period(60, whole) + f""",
-top AS (SELECT * FROM tr WHERE rank <= {C.D.K_TEMPLATES}),
+        f"WHEN regexp_matches(template, '{r[0]}') THEN {i}" for i, r in enumerate(RULES)) + " END"
+    return with_period(minutes, whole, lines) + f""",
+top AS (SELECT * FROM tr),
 samp AS (SELECT * FROM er WHERE rank <= {C.D.K_SAMPLES}),
 evid AS (SELECT period_start, {templ('message')} AS template, arg_min(message, rank) AS evidence
          FROM samp GROUP BY 1, 2),
 ruled AS (SELECT *, {rule_case} AS rule FROM top),
 cand AS (
   SELECT r.*, e.evidence AS ev FROM ruled r LEFT JOIN evid e USING (period_start, template)
-  WHERE (rule IS NULL OR {_arr(0)}[rule + 1] <> 'benign') AND (rule IS NOT NULL OR elevated > 0)),
+  WHERE (rule IS NULL OR {_arr(2)}[rule + 1] <> '') AND (rule IS NOT NULL OR elevated > 0)),
 iss AS (
   SELECT period_start, period_end, rank, count, worst_severity,
-    CASE WHEN rule IS NOT NULL THEN {_arr(3)}[rule + 1] ELSE template END AS title,
-    CASE WHEN rule IS NOT NULL THEN {_arr(2)}[rule + 1] ELSE '{A.DEFAULT_CATEGORY}' END AS category,
-    CASE WHEN rule IS NOT NULL THEN {_arr(4)}[rule + 1] ELSE
+    CASE WHEN rule IS NOT NULL THEN {_arr(2)}[rule + 1] ELSE template END AS title,
+    CASE WHEN rule IS NOT NULL THEN {_arr(1)}[rule + 1] ELSE 'syslog' END AS category,
+    CASE WHEN rule IS NOT NULL THEN {_arr(3)}[rule + 1] ELSE
       CASE WHEN worst_severity <= 2 THEN 'critical' WHEN worst_severity = 3 THEN 'error'
            WHEN worst_severity = 4 THEN 'warning' END END AS severity,
-    CASE WHEN rule IS NOT NULL THEN {_arr(5, False)}[rule + 1] ELSE {A.DEFAULT_MIN_COUNT} END AS min_count,
-    CASE WHEN rule IS NOT NULL THEN {_arr(6)}[rule + 1] ELSE '{A.DEFAULT_RECOMMENDATION}' END AS recommendation,
+    CASE WHEN rule IS NOT NULL THEN {_arr(4, False)}[rule + 1] WHEN worst_severity <= 3 THEN 1 ELSE 2 END AS min_count,
+    CASE WHEN rule IS NOT NULL THEN {_arr(5)}[rule + 1] ELSE 'Review the source of these messages' END AS recommendation,
     coalesce(ev, template) AS evidence
   FROM cand),
 g AS (
@@ -282,7 +322,10 @@ checked AS (
     + (CASE WHEN len(list_filter(keys, lambda x: NOT list_contains({TOP_KEYS}, x))) > 0 THEN 1 ELSE 0 END)
     + (CASE WHEN keys IS NOT NULL AND NOT coalesce(json_extract_string(js, '$.overall_status')
               IN ('ok', 'warning', 'error'), FALSE) THEN 1 ELSE 0 END)
+    + (CASE WHEN keys IS NOT NULL AND NOT coalesce(json_type(js, '$.summary') = 'VARCHAR', FALSE) THEN 1 ELSE 0 END)
     + (CASE WHEN list_contains(keys, 'findings') AND items IS NULL THEN 1 ELSE 0 END)
+    + len(list_filter(['category', 'title', 'detail', 'evidence', 'recommendation'], lambda k: len(list_filter(items,
+              lambda i: json_type(i) = 'OBJECT' AND NOT coalesce(json_type(i, '$.' || k) = 'VARCHAR', FALSE))) > 0))
     + (CASE WHEN len(list_filter(items, lambda i: json_type(i) <> 'OBJECT')) > 0 THEN 1 ELSE 0 END)
     + (CASE WHEN len(list_filter(items, lambda i: json_type(i) = 'OBJECT'
               AND len(list_filter({ISSUE_KEYS}, lambda k: NOT list_contains(json_keys(i), k))) > 0)) > 0
@@ -498,10 +541,11 @@ WHERE {LADDER.format('i.severity')} >= {thr} GROUP BY f.period_start, f.overall_
     # streaming and plug-in queries
     q["ingest_stream"] = _q(PARSED, "SELECT id, ts, host, facility, severity, message FROM lines")
     q["stream_top_templates"] = _q(with_period(), "SELECT period_start, rank, template, count FROM tr "
-                                                  "WHERE rank <= 3 AND period_end <= (SELECT max(ts) FROM events)")
+                                                  "WHERE rank <= 3")
     q["consume_once"] = _q(assessed(whole=True),
-                           "SELECT CAST(0 AS BIGINT) AS batch_id, period_start, ts, overall_status, summary, "
-                           "log_count, CAST(n_issues AS INTEGER) AS n_issues FROM fb")
+                           "SELECT CAST(0 AS BIGINT) AS batch_id, fb.period_start, ts, overall_status, summary, "
+                           "log_count, CAST(n_issues AS INTEGER) AS n_issues, title, occurrences, evidence "
+                           "FROM fb LEFT JOIN gi ON gi.period_start = fb.period_start")
     q["assess_plugin"] = _q(with_period(), """
 SELECT period_start, period_end,
   '{"overall_status": "' || st || '", "summary": "' || elevated_count || ' elevated of ' || total_lines
@@ -514,4 +558,54 @@ SELECT period_start, period_end,
   CAST(NULL AS VARCHAR) AS error
 FROM (SELECT *, CASE WHEN 2 * elevated_count >= total_lines AND total_lines > 0 THEN 'error'
                      WHEN elevated_count > 0 THEN 'warning' ELSE 'ok' END AS st FROM stats)""")
+    q["plugin_findings"] = _q(with_period(), """
+SELECT period_start, period_end AS ts, CASE WHEN total_lines % 3 = 2 THEN 'ok' WHEN 2 * elevated_count >= total_lines THEN 'error'
+    WHEN elevated_count > 0 THEN 'warning' ELSE 'ok' END AS overall_status,
+  CASE WHEN total_lines % 3 = 2 THEN '' ELSE elevated_count || ' elevated of ' || total_lines END AS summary,
+  total_lines AS log_count, CAST(elevated_count > 0 AS INTEGER) AS n_issues
+FROM stats WHERE total_lines % 3 <> 1""")
+    q["plugin_errors"] = _q(with_period(), "SELECT period_start, period_end, total_lines, 'RuntimeError: no answer' AS error "
+                                           "FROM stats WHERE total_lines % 3 = 1")
+    q["review_plugin"] = _q(REVIEW, """
+SELECT w.ts, w.finding_count, w.distinct_findings,
+  printf('{"period_status": "%s", "overall_assessment": "%d of %d", "recurring_issues": [], "trends": [], '
+         || '"watchlist": ["Status distribution: ok=%d, warning=%d, error=%d"]}',
+         CASE WHEN n_error > 0 THEN 'action' ELSE 'ok' END, n_error, s.finding_count, n_ok, n_warning, n_error) AS payload_json,
+  CAST(NULL AS VARCHAR) AS error, CAST(0 AS INTEGER) AS n_violations
+FROM wk w JOIN rstat s ON s.review_ts = w.ts""")
+    q["append_replay"] = _q(FINDINGS, """
+SELECT 'a' AS source_id, CAST(0 AS BIGINT) AS batch_id, period_start, ts, overall_status, log_count FROM fnd
+UNION ALL SELECT 'b', 0, period_start, ts, overall_status, log_count FROM fnd WHERE hour(period_start) % 2 = 0""")
+    q["rare_severe"] = _q(assessed(minutes=1440, lines="""
+lines AS (
+  SELECT event_id AS id, ts, CAST(NULL AS VARCHAR) AS host, CASE WHEN event_id % 997 = 0 THEN 2 WHEN event_id % 991 = 1 THEN 1 ELSE 5 END AS severity,
+    CASE WHEN event_id % 997 = 0 THEN 'kernel: hardware error in bank ' || (event_id % 8)
+         WHEN event_id % 991 = 1 THEN 'daemon ' || chr((97 + event_id % 9)::INT) || chr((107 + (event_id // 9) % 10)::INT) || ' gave up'
+         ELSE 'worker ' || chr((97 + event_id % 9)::INT) || chr((107 + (event_id // 9) % 10)::INT) || ' done in ' || (event_id % 50) END AS message
+  FROM events)"""), "SELECT period_start, pos, title, sev_name AS severity, category, occurrences, evidence FROM gi")
+    q["review_as_of"] = _q(FINDINGS, f"""
+SELECT {ts(C.AS_OF)} AS ts, min(f.ts) AS period_start, max(f.ts) AS period_end, count(*) AS finding_count,
+  (SELECT count(DISTINCT title) FROM iss i WHERE i.ts >= {ts(C.AS_OF)} - INTERVAL {WD * 86400} SECOND AND i.ts < {ts(C.AS_OF)}) AS distinct_findings
+FROM fnd f WHERE f.ts >= {ts(C.AS_OF)} - INTERVAL {WD * 86400} SECOND AND f.ts < {ts(C.AS_OF)} HAVING count(*) > 0""")
+    q["validate_weekly"] = _q(REVIEW + """,
+weekly_keys AS (SELECT ['period_status', 'overall_assessment', 'recurring_issues', 'trends', 'watchlist'] AS want),
+props AS (SELECT event_id, CASE WHEN json_valid(props) AND json_type(props) = 'OBJECT' THEN json_keys(props) END AS keys FROM events)""", """
+SELECT ts, CAST(NULL AS BIGINT) AS event_id, 0 AS n_violations FROM wk
+UNION ALL
+SELECT CAST(NULL AS TIMESTAMP), event_id, CAST(CASE WHEN keys IS NULL THEN 1 ELSE len(list_filter(want, lambda k: NOT list_contains(keys, k)))
+  + (CASE WHEN len(list_filter(keys, lambda k: NOT list_contains(want, k))) > 0 THEN 1 ELSE 0 END) + 2 END AS INTEGER)
+FROM props, weekly_keys""")
+    for name, table, cols, text in (("templatize_documents", "documents", "doc_id", "text"), ("templatize_conversations", "conversations", "conv_id, turn", "text")):
+        q[name] = f"SELECT {cols}, {templ_unicode(text)} AS template FROM {table}"
+    q["hard_lines"] = """
+SELECT event_id AS "offset", 0 AS pos, 'gw' AS host, 5 AS severity, 'link aa:bb:cc:dd:ee:ff up ' || event_id AS message, 'link <MAC> up <N>' AS template
+FROM events WHERE event_id % 6 = 0
+UNION ALL SELECT event_id, 0, 'h2', 3, 'at 0xDEAD' || event_id || ' run deadbeefcafe' || event_id || ' ' || chr(65533) || ' x', 'at <HEX> run <HEX> ' || chr(65533) || ' x'
+FROM events WHERE event_id % 6 = 2
+UNION ALL SELECT event_id, p, NULL, NULL, w || ' ' || event_id, w || ' <N>' FROM events, (VALUES (0, 'seq'), (3, 'tail')) v(p, w) WHERE event_id % 6 = 3
+UNION ALL SELECT event_id, 0, 'h4', 7, 'from 2001:db8:0:0:0:0:0:1 to 10.0.0.' || (event_id % 256), 'from <IPV6> to <IP>' FROM events WHERE event_id % 6 = 4"""
+    q["receive_time"] = """
+SELECT severity, count(*) AS n, count(*) AS stamped, CAST(1 AS BIGINT) AS instants FROM (
+  SELECT CASE event_id % 6 WHEN 0 THEN 5 WHEN 2 THEN 3 WHEN 4 THEN 7 END AS severity FROM events WHERE event_id % 6 IN (0, 2, 3, 4)
+  UNION ALL SELECT NULL FROM events WHERE event_id % 6 = 3) GROUP BY severity"""
     return {k: v.strip() for k, v in q.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -51,10 +51,8 @@ def get_spark(master: str | None = None, app: str = "logsift",
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime-settable required settings to an existing session."""
     for k, v in _REQUIRED_CONF.items():
-        try:
+        if spark.conf.isModifiable(k):  # a shared session's static settings stay
             spark.conf.set(k, v)
-        except Exception:  # static conf on a shared session: leave as is
-            pass
     return spark
 
 
@@ -62,13 +60,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints, stream state and written tables.
 
     Taken from ``spark.checkpoint.dir`` (the cluster names a shared folder
-    there). Only when it is unset, as in unit tests, a temporary folder is
-    created and registered.
+    there). Where it is unset, a temporary folder is made for a local master,
+    as in unit tests; on a cluster that would be a folder that other machines
+    don't see, so it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="logsift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
@@ -81,11 +82,3 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     root = checkpoint_root(spark)
     return "/".join([root.rstrip("/"), "logsift", *parts])
 
-
-def local_dir_from_uri(path: str) -> str | None:
-    """Filesystem path for ``file:`` or bare paths; None for remote stores."""
-    if path.startswith("file:"):
-        return path[5:]
-    if "://" in path:
-        return None
-    return path if os.path.isabs(path) else os.path.abspath(path)

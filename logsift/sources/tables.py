@@ -23,9 +23,16 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    _delete_at_end(df.sparkSession, path)
     return path
 
 
+def _delete_at_end(spark, path: str) -> None:
+    """Written tables serve one session: they go when its JVM ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write then read back: the rest of the plan starts from a table scan."""
     return df.sparkSession.read.parquet(write_table(df, name, partition_by))

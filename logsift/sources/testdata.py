@@ -21,15 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a source that arrives in fewer splits than the cluster has cores.
+#: Setting that asks for a round-robin shuffle of each input table to so many partitions.
+SPREAD = "logsift.input.partitions"
 
-    Parsing and masking are CPU-bound per row; a small file with one row group
-    would otherwise be one task. Large inputs already have many splits and are
-    returned unchanged (no shuffle).
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin a table to ``partitions`` (default: the setting ``logsift.input.partitions``;
+    unset: as the scan splits it).
+
+    Parsing and masking are CPU-bound per row, and the driver's tables are files
+    with one row group, which is one task. Tables in many files need no shuffle.
     """
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    n = partitions or int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(n) if n else df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

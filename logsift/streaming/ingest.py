@@ -5,30 +5,29 @@
   receive time when the source has none.
 * :func:`consume_once` is the evaluate-then-consume batch: an
   ``availableNow`` trigger with ``foreachBatch``; the batch is digested,
-  assessed and its findings appended idempotently (keyed by batch id). The
+  assessed and its findings appended idempotently (keyed by query and batch id). The
   source offsets are committed only after the batch function returns, so a
   failing assessment leaves the lines for the next run.
-* :func:`continuous_template_counts` keeps per-period template counts in
-  streaming state (watermark, append mode) and finishes each closed period
-  with the batch top-k in ``foreachBatch``.
+* :func:`run_continuous_counts` appends each micro-batch's template counts per
+  period; :func:`continuous_counts` adds them up, late lines and the open period
+  included.
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.order import seen_key
 from ..functions.parse import decode_utf8, frame_lines, parse_lines
-from ..functions.severity import is_elevated
-from ..functions.template import templatize
 from ..operators import assess as A
 from ..operators import digest as D
 from ..operators import findings as FS
 from ..session import scratch_path
+from ..sources.tables import materialize
 
 
 def lines_stream(spark: SparkSession, path: str, fmt: str = "text",
@@ -36,62 +35,71 @@ def lines_stream(spark: SparkSession, path: str, fmt: str = "text",
     """raw_logs rows from a directory of text files (one line per row).
 
     ``read.text`` already splits on ``\\n``, ``\\r\\n`` and ``\\r``; lines get
-    ``ts`` = receive time and ``id`` = arrival order within the micro-batch.
+    ``ts`` = receive time. They have no ``id`` yet: :func:`consume_once` numbers them.
     """
     src = spark.readStream.format(fmt).load(path)
     return parse_payloads(src.select(F.col(payload_col).alias("raw")))
 
 
+def received(src: DataFrame) -> Column:
+    """Receive time: one instant for a batch table (a literal, equal in all actions on it), the
+    micro-batch's for a stream."""
+    if src.isStreaming:
+        return F.current_timestamp()
+    return F.lit(datetime.datetime.now(datetime.timezone.utc))
+
+
 def parse_payloads(src: DataFrame, raw_col: str = "raw", binary: bool = False) -> DataFrame:
-    """Decode (if binary), frame and parse payload rows; adds receive-time ``ts``."""
+    """Decode (if binary), frame and parse payload rows; adds receive-time ``ts``.
+
+    Other columns (``id``, ``ts``, keys) pass through; lines of one row share them. No id is
+    made up: a number that a recomputed task could change is no identity.
+    """
     raw = decode_utf8(raw_col) if binary else F.col(raw_col)
     keep = [c for c in src.columns if c != raw_col]
     framed = frame_lines(src.withColumn(raw_col, raw), raw_col, keep=keep, line_col="raw", pos_col=None)
     parsed = parse_lines(framed, "raw", keep=keep)
-    if "ts" not in parsed.columns:
-        parsed = parsed.withColumn("ts", F.current_timestamp())
-    if "id" not in parsed.columns:
-        # Streams carry no line number; consume_once(renumber_ids=True)
-        # numbers each micro-batch in arrival order, batch input right away.
-        parsed = parsed.withColumn("id", F.lit(0).cast("long") if parsed.isStreaming
-                                   else F.monotonically_increasing_id())
-    return parsed
-
-
-# Lines framed from one payload record get ids offset * LINE_SLOTS + position.
-LINE_SLOTS = 4096
+    return parsed if "ts" in parsed.columns else parsed.withColumn("ts", received(src))
 
 
 def payload_lines(src: DataFrame, value_col: str = "value", binary: bool = True,
-                  order_col: str | None = "offset", ts_col: str | None = None,
-                  keep: list[str] | None = None) -> DataFrame:
+                  ts_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Payload records (e.g. Kafka ``key, value, partition, offset, timestamp``) -> raw_logs rows.
 
-    Lossy UTF-8 decode, framing (``\r`` as ``\n``, blank pieces dropped),
-    parsing. ``id`` = ``order_col * 4096 + line position`` keeps the arrival
-    order inside a partition stable across replays; ``ts`` is the receive
-    time (``current_timestamp()``) unless ``ts_col`` names a record time.
-    Works on batch and streaming DataFrames alike.
+    Lossy UTF-8 decode, framing (``\\r`` as ``\\n``, blank pieces dropped),
+    parsing. A line is named by (``partition``, ``offset``, ``pos``), its place in its record,
+    which replays repeat; :func:`numbered` turns that into ``id``. ``ts`` is the receive
+    time unless ``ts_col`` names a record time. Works on batch and streaming DataFrames.
     """
-    keep = list(keep or [c for c in ("partition", "topic") if c in src.columns])
+    named = [c for c in ("topic", "partition", "offset") if c in src.columns]
+    keep = list(dict.fromkeys([*(keep or []), *named]))
     raw = decode_utf8(value_col) if binary else F.col(value_col)
     cols = [*keep, raw.alias("_payload")]
-    if order_col:
-        cols.append(F.col(order_col).cast("long").alias("_order"))
     if ts_col:
         cols.append(F.col(ts_col).cast("timestamp").alias("ts"))
     base = src.select(*cols)
     carry = [c for c in base.columns if c != "_payload"]
-    framed = frame_lines(base, "_payload", keep=carry, line_col="raw", pos_col="_pos")
-    if order_col:
-        framed = framed.withColumn("id", F.col("_order") * LINE_SLOTS + F.col("_pos"))
-    framed = framed.drop("_order", "_pos")
+    framed = frame_lines(base, "_payload", keep=carry, line_col="raw", pos_col="pos")
     parsed = parse_lines(framed, "raw", keep=[c for c in framed.columns if c != "raw"])
-    if "ts" not in parsed.columns:
-        parsed = parsed.withColumn("ts", F.current_timestamp())
-    if "id" not in parsed.columns:
-        parsed = parsed.withColumn("id", F.lit(0).cast("long"))
-    return parsed
+    return parsed if "ts" in parsed.columns else parsed.withColumn("ts", received(src))
+
+
+def numbered(lines: DataFrame, start: int = 0) -> DataFrame:
+    """Lines with ``id`` = ``start`` and on, in the order of (topic, partition, offset, pos) where
+    the lines have them. The order is a range shuffle and the numbers are offsets of its
+    partitions, so no task sees all lines; write the result before using it twice."""
+    order = [c for c in ("topic", "partition", "offset", "pos") if c in lines.columns]
+    rows = lines.repartitionByRange(*order).sortWithinPartitions(*order) if order else lines
+    rows = materialize(rows.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "numbered")
+    # rows of a partition before it: one row per partition
+    counts = {r["_p"]: r["n"] for r in rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = {}, start
+    for p in sorted(counts):
+        before[p], total = total, total + counts[p]
+    # the written number holds the place in its partition in its lower 33 bits
+    base = F.create_map(*[F.lit(x) for p, n in before.items() for x in (p, n)]) if before else F.create_map(F.lit(0), F.lit(0))
+    place = F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("id", (F.try_element_at(base, F.col("_p")) + place).cast("long")).drop("_p", "_i")
 
 
 def kafka_lines_stream(spark: SparkSession, ts_col: str | None = None, **options: str) -> DataFrame:
@@ -101,89 +109,109 @@ def kafka_lines_stream(spark: SparkSession, ts_col: str | None = None, **options
     source fails to load with Spark's own "Failed to find data source" error.
     """
     src = spark.readStream.format("kafka").options(**options).load()
-    return payload_lines(src, "value", binary=True, order_col="offset", ts_col=ts_col)
+    return payload_lines(src, "value", binary=True, ts_col=ts_col)
 
 
-def _batch_findings(batch: DataFrame, batch_id: int, keys: Sequence[str],
-                    k_templates: int, k_samples: int, k_hosts: int) -> DataFrame:
-    """One finding per key for the whole micro-batch (the batch is the period)."""
+def evaluate_all(lines: DataFrame, keys: Sequence[str] = (), k_templates: int = D.K_TEMPLATES,
+                 k_samples: int = D.K_SAMPLES, k_hosts: int = D.K_HOSTS) -> DataFrame:
+    """One finding per key for all given lines as one period, bounded by the key's first and last
+    ``ts`` ("evaluate now", e.g. after :func:`findings.logs_until`). No lines: no finding."""
     keys = list(keys)
-    # The batch is the period: its bounds are one aggregate row (two values).
-    lo, hi = batch.agg(F.min("ts"), F.max("ts")).first()
-    lines = batch.withColumn("period_start", F.lit(lo).cast("timestamp")) \
-                 .withColumn("period_end", F.lit(hi).cast("timestamp"))
+    if keys:
+        bounds = lines.groupBy(*keys).agg(F.min("ts").alias("period_start"), F.max("ts").alias("period_end"))
+        same = [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys]
+        lines = lines.join(bounds.select(*[F.col(k).alias("_" + k) for k in keys], "period_start", "period_end"), on=same).drop(*["_" + k for k in keys])
+    else:
+        lo, hi = lines.agg(F.min("ts"), F.max("ts")).first()
+        lines = lines.withColumn("period_start", F.lit(lo).cast("timestamp")).withColumn("period_end", F.lit(hi).cast("timestamp"))
     parts = D.digest_parts(lines, keys, k_templates=k_templates, k_hosts=k_hosts, k_samples=k_samples)
-    return A.assess_rules(parts, keys).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    return A.assess_rules(parts, keys)
+
+
+def _query_id(batch: DataFrame) -> str:
+    """Id of the running streaming query: kept in its checkpoint, new with a new checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+
+
+def _landed(batch: DataFrame, query: str, batch_id: int, number: bool) -> DataFrame:
+    """The micro-batch as a table in the shared folder, written once: a replay after a failure
+    reads the same lines with the same times and ids. The batch before it is committed by
+    now, so its table goes."""
+    spark = batch.sparkSession
+    root = scratch_path(spark, "landed", query)
+    path, old = f"{root}/{batch_id}", f"{root}/{batch_id - 1}"
+    if not FS.path_exists(spark, f"{path}/_SUCCESS"):
+        (numbered(batch) if number else batch).write.mode("overwrite").parquet(path)
+    if FS.path_exists(spark, old):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return spark.read.schema(_with_id(batch, number)).parquet(path)
+
+
+def _with_id(batch: DataFrame, number: bool) -> T.StructType:
+    fields = [f for f in batch.schema.fields if not (number and f.name == "id")]
+    return T.StructType([*fields, T.StructField("id", T.LongType())] if number else fields)
 
 
 def consume_once(stream: DataFrame, findings_path: str, checkpoint: str | None = None,
                  keys: Sequence[str] = (), k_templates: int = D.K_TEMPLATES,
                  k_samples: int = D.K_SAMPLES, k_hosts: int = D.K_HOSTS,
-                 assess: Callable[[DataFrame, int], DataFrame] | None = None,
-                 renumber_ids: bool = False) -> None:
+                 assess: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
     """Evaluate everything buffered now, store findings, then commit (= consume).
 
     ``assess(batch, batch_id)`` may replace the rules assessor; if it raises,
     the query fails before the commit and the same lines are evaluated again
-    on the next run. ``renumber_ids`` numbers the lines of each micro-batch in
-    arrival order (for sources without a line id; the file splits of a batch
-    are fixed, so a replayed batch is numbered alike).
+    on the next run. Lines without an ``id`` are numbered when their batch is
+    landed. Findings are stored once per (keys, period, query, batch): another source, or
+    the same one under a new checkpoint, never counts as stored already.
     """
     spark = stream.sparkSession
     checkpoint = checkpoint or scratch_path(spark, "consume_once", "checkpoint")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        # Several actions read the batch (emptiness, bounds, counts, append):
-        # keep it for the duration of this function instead of re-reading the source.
-        cached = batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if batch.isEmpty():
-                return
-            if renumber_ids:
-                batch = batch.withColumn("id", F.monotonically_increasing_id())
-            out = (assess(batch, batch_id) if assess else
-                   _batch_findings(batch, batch_id, keys, k_templates, k_samples, k_hosts))
-            FS.append_new(out, findings_path, list(keys), period_col="batch_id")
-        finally:
-            cached.unpersist()
+        query = _query_id(batch)
+        lines = _landed(batch, query, batch_id, "id" not in batch.columns)
+        if lines.isEmpty():
+            return
+        out = assess(lines, batch_id) if assess else evaluate_all(lines, keys, k_templates, k_samples, k_hosts)
+        out = out.withColumn("source_id", F.lit(query)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        FS.append_new(out, findings_path, list(keys), source=["source_id", "batch_id"])
 
     q = (stream.writeStream.foreachBatch(run).trigger(availableNow=True)
          .option("checkpointLocation", checkpoint).start())
     q.awaitTermination()
 
 
-def continuous_template_counts(stream: DataFrame, keys: Sequence[str] = (), period: str = "60 minutes",
-                               watermark: str = "0 seconds") -> DataFrame:
-    """Streaming per-(keys, period, template) counts, emitted once a period closes."""
-    keys = list(keys)
-    w = F.window("ts", period)
-    return (stream.withColumn("template", templatize("message"))
-            .withWatermark("ts", watermark)
-            .groupBy(*keys, w.alias("w"), "template")
-            .agg(F.count(F.lit(1)).alias("count"), F.min(seen_key()).alias("first_key"),
-                 F.count_if(is_elevated("severity")).alias("elevated"),
-                 F.min("severity").alias("worst_severity"))
-            .select(*keys, F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"),
-                    "template", "count", "first_key", "elevated", "worst_severity"))
-
-
-def run_continuous_top_templates(stream: DataFrame, out_path: str, checkpoint: str | None = None,
-                                 keys: Sequence[str] = (), period: str = "60 minutes",
-                                 watermark: str = "0 seconds", k: int = D.K_TEMPLATES,
-                                 available_now: bool = True) -> None:
-    """Closed periods' top-k templates appended to ``out_path`` (idempotent per period)."""
+def run_continuous_counts(stream: DataFrame, out_path: str, checkpoint: str | None = None,
+                          keys: Sequence[str] = (), period: str = "60 minutes",
+                          available_now: bool = True) -> None:
+    """Append each micro-batch's template counts per (keys, period) to ``out_path``.
+
+    Counts of a period add up (:func:`continuous_counts`), so there is no watermark: a late line
+    corrects its period whenever it comes, and the period that is still open is there as
+    far as it came. A replayed batch replaces its own rows (partition by query and batch).
+    """
     spark = stream.sparkSession
     checkpoint = checkpoint or scratch_path(spark, "continuous", "checkpoint")
-    counts = continuous_template_counts(stream, keys, period, watermark)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        top = D.top_templates(batch, keys, k)
-        FS.append_new(top.withColumn("ts", F.col("period_end")), out_path,
-                      list(keys) + ["template"], period_col="period_start")
+        query = _query_id(batch)
+        lines = _landed(batch, query, batch_id, "id" not in batch.columns)
+        counts = D.template_counts(lines, keys, period).withColumn("source_id", F.lit(query)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        (counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("source_id", "batch_id").parquet(out_path))
 
-    writer = (counts.writeStream.outputMode("append").foreachBatch(run)
-              .option("checkpointLocation", checkpoint))
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
     q = writer.start()
     if available_now:
         q.awaitTermination()
+
+
+def continuous_counts(spark: SparkSession, out_path: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Template counts per (keys, period) over all micro-batches so far."""
+    P = D.pkeys(keys)
+    return (spark.read.parquet(out_path).groupBy(*P, "template")
+            .agg(F.sum("count").cast("long").alias("count"), F.min("first_key").alias("first_key"),
+                 F.sum("elevated").cast("long").alias("elevated"), F.min("worst_severity").alias("worst_severity"),
+                 F.min("first_elevated_key").alias("first_elevated_key")))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import assess as A
 from ..operators import digest as D
-from ..plans.catalog import ntz, stored_lines
+from ..operators import findings as FS
+from ..operators import review as R
+from ..plans.catalog import ntz, stored_findings, stored_lines
 from ..session import scratch_path
 from ..sources import testdata as TD
 from . import ingest as I
@@ -41,18 +43,19 @@ def q_consume_once(spark: SparkSession, sf: str) -> DataFrame:
     lines = I.parse_payloads(TD.syslog_view(_events_stream(spark, sf)), "raw")
     I.consume_once(lines, out, scratch_path(spark, "consume", run, "checkpoint"), k_templates=60)
     f = spark.read.parquet(out)
+    issue = F.explode_outer("payload.findings").alias("i")
     return ntz(f.select("batch_id", "period_start", "ts", "overall_status", "summary", "log_count",
-                        F.size("payload.findings").alias("n_issues")))
+                        F.size("payload.findings").alias("n_issues"), issue)
+               .select("*", "i.title", "i.occurrences", "i.evidence").drop("i"))
 
 
 def q_stream_top_templates(spark: SparkSession, sf: str) -> DataFrame:
-    """Stateful per-hour template counts (watermark, append) + top-3 per closed hour."""
+    """Per-hour template counts kept by a stream, top 3 of every hour."""
     run = uuid.uuid4().hex
-    out = scratch_path(spark, "continuous", run, "top")
+    out = scratch_path(spark, "continuous", run, "counts")
     lines = I.parse_payloads(TD.syslog_view(_events_stream(spark, sf)), "raw")
-    I.run_continuous_top_templates(lines, out, scratch_path(spark, "continuous", run, "checkpoint"),
-                                   k=3, watermark="0 seconds")
-    return ntz(spark.read.parquet(out).select("period_start", "rank", "template", "count"))
+    I.run_continuous_counts(lines, out, scratch_path(spark, "continuous", run, "checkpoint"))
+    return ntz(D.top_templates(I.continuous_counts(spark, out), k=3).select("period_start", "rank", "template", "count"))
 
 
 def q_assess_plugin(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,6 +65,60 @@ def q_assess_plugin(spark: SparkSession, sf: str) -> DataFrame:
     return ntz(out.select("period_start", "period_end", "payload_json", "error"))
 
 
+class _FailsOnOddHours(A.ElevatedCountAssessor):
+    """Stand-in for a client that is down, or answers badly, at times."""
+
+    def assess(self, digest_text: str, stats: dict) -> dict:
+        kind = stats["total_lines"] % 3
+        if kind == 1:
+            raise RuntimeError("no answer")
+        payload = super().assess(digest_text, stats)
+        return {"findings": payload["findings"]} if kind == 2 else payload
+
+
+def _plugin_results(spark: SparkSession, sf: str):
+    d = D.build_digests(stored_lines(spark, sf))
+    return FS.findings_from_payloads(A.assess_with(d, _FailsOnOddHours))
+
+
+def q_plugin_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Plug-in results as findings rows: defaults for missing fields, failures left out."""
+    f, _ = _plugin_results(spark, sf)
+    return ntz(f.select("period_start", "ts", "overall_status", "summary", "log_count", F.size("payload.findings").alias("n_issues")))
+
+
+def q_plugin_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Periods that are kept back for the next run, with their error."""
+    _, back = _plugin_results(spark, sf)
+    return ntz(back.select("period_start", "period_end", "total_lines", "error"))
+
+
+class ReviewCountAssessor(A.Assessor):
+    """Offline stand-in for a review client."""
+
+    def assess(self, digest_text: str, stats: dict) -> dict:
+        errors = stats["status_counts"].get("error", 0)
+        return {"period_status": "action" if errors else "ok", "overall_assessment": f"{errors} of {stats['finding_count']}",
+                "recurring_issues": [], "trends": [], "watchlist": [digest_text.splitlines()[1]]}
+
+
+def q_review_plugin(spark: SparkSession, sf: str) -> DataFrame:
+    """Plug-in assessor over daily reviews."""
+    out = A.assess_reviews_with(R.build_reviews(stored_findings(spark, sf)), ReviewCountAssessor)
+    return ntz(out.select("ts", "finding_count", "distinct_findings", "payload_json", "error", F.size(FS.validate_weekly_json("payload_json")).alias("n_violations")))
+
+
+def q_append_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings appended twice, half of them by another source too, read back."""
+    out = scratch_path(spark, "append", uuid.uuid4().hex)
+    f = stored_findings(spark, sf).withColumn("batch_id", F.lit(0).cast("long"))
+    FS.append_new(f.withColumn("source_id", F.lit("a")), out, source=["source_id", "batch_id"])
+    FS.append_new(f.withColumn("source_id", F.lit("a")), out, source=["source_id", "batch_id"])
+    again = f.filter(F.hour("period_start") % 2 == 0).withColumn("source_id", F.lit("b"))
+    FS.append_new(again, out, source=["source_id", "batch_id"])
+    return ntz(spark.read.parquet(out).select("source_id", "batch_id", "period_start", "ts", "overall_status", "log_count"))
+
+
 def q_templatize_conversations(spark: SparkSession, sf: str) -> DataFrame:
     """Masking over whole conversation texts (checked against Python re in tests)."""
     from ..functions.template import templatize

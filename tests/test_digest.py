@@ -97,14 +97,18 @@ def test_plan_hash_aggregate_and_group_limit(spark):
     assert "Python" not in D.build_digests(df)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_period_must_divide_a_day(spark):
-    import pytest
-    df = spark.createDataFrame(ROWS, SCHEMA)
-    assert D.with_period(df, "180 minutes").count() == 5
-    with pytest.raises(ValueError):
-        D.with_period(df, "5 hours")
-    with pytest.raises(ValueError):
-        D.with_period(df, "7 minutes")
+def test_periods_that_do_not_divide_a_day(spark):
+    """Hours start anew at midnight, minutes at the full hour; the last period is shorter."""
+    import datetime as dt
+    at = [dt.datetime(2024, 1, 2, 0, 3), dt.datetime(2024, 1, 2, 4, 59), dt.datetime(2024, 1, 2, 23, 58)]
+    df = spark.createDataFrame([(i, t, "h", 3, "m") for i, t in enumerate(at)], "id long, ts timestamp, host string, severity int, message string")
+    hours = [(r["period_start"].hour, r["period_end"].hour) for r in D.with_period(df, "5 hours").orderBy("id").collect()]
+    assert hours == [(0, 5), (0, 5), (20, 0)]
+    minutes = [(r["period_start"].minute, r["period_end"].minute) for r in D.with_period(df, "7 minutes").orderBy("id").collect()]
+    assert minutes == [(0, 7), (56, 0), (56, 0)]
+    local = [r["period_start"] for r in D.with_period(df, "5 hours", "America/Chicago").orderBy("id").collect()]
+    assert local[0] == dt.datetime(2024, 1, 2, 2)  # 20:00 on the day before, in Chicago
+
 
 
 def test_periods_align_to_local_clock(spark):

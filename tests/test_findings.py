@@ -76,7 +76,7 @@ def test_validation(spark):
     assert "bad overall_status" in got[1]
     assert "unexpected key" in got[2]
     assert "missing summary" in got[3]
-    assert {"issue missing key", "bad issue severity", "bad occurrences"} <= set(got[4])
+    assert {"findings item missing key", "findings item bad severity", "findings item bad occurrences"} <= set(got[4])
     assert got[5] == ["not a JSON object"]
 
 

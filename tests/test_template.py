@@ -32,6 +32,9 @@ GOLDEN = [
     ("t=٣٤ ok", "t=<N> ok"),
     ("²5 5", "²5 <N>"),                    # "²" (No) is a word character for Python
     ("e\u03015", "e\u0301<N>"),           # a combining mark is not
+    ("\U0001d4005 x 5", "\U0001d4005 x <N>"),  # a letter above U+FFFF before a digit
+    ("\U0002000012 0x1f\U00020000", "\U0002000012 0x1f\U00020000"),
+    ("\U0001f6005", "\U0001f600<N>"),         # no letter
 ]
 
 
