@@ -11,8 +11,8 @@ with at most ``LEAF`` classes is compared exhaustively and branches no more.
 The least tokens of all trees also estimate the similarity of a pair; pairs
 far below the threshold are not confirmed. The others are confirmed on the
 full sets. Nodes that stay large after ``DEPTH`` steps hold large groups of
-near copies: each class is compared with the node's first one, and then only
-classes of components still apart are compared, in chunks.
+near copies: each class is compared with the node's first one, and then classes of
+components still apart are compared on full sets, chunk by chunk.
 
 Recall: a pair at similarity 0.75 is missed by one tree with probability 0.25
 if its nodes are small after one step, and 0.58 after three; by all 16 with
@@ -131,17 +131,43 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _apart(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in two chunks of a node that may be similar."""
-    left, right = rows[rows["side"] != 1], rows[rows["side"] != 0]
-    x, y = (np.frombuffer(b"".join(r["tokens"]), np.uint32).reshape(-1, TREES * DEPTH) for r in (left, right))
-    ka, kb, ca, cb = (np.array(c, object) for c in (left["key"], right["key"], left["component"], right["component"]))
-    out_a, out_b = [], []
-    for i in range(len(x)):
-        hit = np.flatnonzero(((y == x[i]).sum(1) >= AGREE) & (cb != ca[i]) & (kb > ka[i] if rows["i"].iloc[0] == rows["j"].iloc[0] else True))
-        out_a += [ka[i]] * len(hit)
-        out_b += kb[hit].tolist()
-    return pd.DataFrame({"a": out_a, "b": out_b})
+def _apart(size: int, percent: int):
+    """Links between classes of different components in two chunks of a node, by full sets; of
+    these only as many as join the components."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+        unz = zstandard.ZstdDecompressor()
+        texts = [unz.decompress(z, max_output_size=1 << 31) for z in rows["z"]]
+        sets = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), size)
+        keys, side = rows["key"].tolist(), rows["side"].to_numpy()
+        names = {c: k for k, c in enumerate(dict.fromkeys(rows["component"]))}
+        root = list(range(len(names)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        group = [names[c] for c in rows["component"]]
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        first, n = np.cumsum([0, *map(len, sets)]), np.array([len(t) for t in sets])
+        right = np.flatnonzero(side != 0)
+        place, start = np.concatenate([np.arange(first[r], first[r + 1]) for r in right]), np.r_[0, np.cumsum(n[right])[:-1]]
+        tokens, has, out = ids[place], np.zeros(len(ids) + 1, np.int64), []
+        for x in np.flatnonzero(side != 1):
+            own = ids[first[x]:first[x + 1]]
+            has[own] = 1
+            both = np.add.reduceat(has[tokens], start)
+            has[own] = 0
+            for y in right[100 * both >= percent * (n[x] + n[right] - both)].tolist():
+                g, h = find(group[x]), find(group[y])
+                if g != h:
+                    root[g] = h
+                    out.append((keys[x], keys[y]))
+        return pd.DataFrame(out, columns=["a", "b"])
+    return run
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -181,17 +207,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     grouped = components(found)
     member = large.join(grouped.toDF("key", "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     open_ = (member.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("node"))
-    open_ = written(member.join(open_, "node").join(classes.select("key", "tokens"), "key"), "open")
+    open_ = written(member.join(open_, "node"), "open")
     if not open_.isEmpty():
+        texts = rows.select("key", "z").join(open_.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("z").alias("z"))
         n = F.ceil(F.col("size") / CHUNK).cast("int")
-        chunk = open_.withColumn("c", F.pmod(F.xxhash64("key"), n).cast("int"))
+        chunk = open_.join(texts, "key").withColumn("c", F.pmod(F.xxhash64("key"), n).cast("int"))
         spread = chunk.withColumn("d", F.explode(F.sequence(F.lit(0), n - 1))).select(
-            "node", "key", "component", "tokens", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"),
+            "node", "key", "component", "z", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"),
             F.when(F.col("c") == F.col("d"), 2).when(F.col("c") < F.col("d"), 0).otherwise(1).alias("side"))
-        more = spread.groupBy("node", "i", "j").applyInPandas(_apart, "a binary, b binary")
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = found.union(links(more, "links"))
-        grouped = components(found)
+        more = spread.groupBy("node", "i", "j").applyInPandas(_apart(size, percent), "a binary, b binary")
+        grouped = components(written(found.union(more), "links"))
 
     named = classes.select("key", "id").join(grouped.toDF("key", "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
