@@ -110,23 +110,32 @@ def scores(weights: np.ndarray, w, data: np.ndarray, offsets: np.ndarray) -> np.
     return out
 
 
-def fit(texts: pa.Array, y: np.ndarray, steps: int = 120, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, float, float]:
-    """Weights and the two numbers of the calibration, from labelled texts in random order."""
-    data, offsets = buffers(texts)
-    n = len(y)
-    rows, cols, values = [], [], []
+def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct slots of each text and their shares of the text's features of the same family."""
+    n = len(offsets) - 1
+    slots, values = [[] for _ in range(n)], [[] for _ in range(n)]
     for doc, slot in _slots(words(data, offsets), data, offsets):
-        cell, count = np.unique(doc * (FAMILIES * SLOTS) + slot, return_counts=True)
-        d = cell // (FAMILIES * SLOTS)
-        rows.append(d)
-        cols.append(cell % (FAMILIES * SLOTS))
-        values.append(count / np.bincount(d, count, n)[d])
-    row, col, value = map(np.concatenate, (rows, cols, values))
+        cut = np.searchsorted(doc, np.arange(n + 1))
+        for d in range(n):
+            cell, count = np.unique(slot[cut[d]:cut[d + 1]], return_counts=True)
+            slots[d].append(cell.astype(np.int32))
+            values[d].append((count / max(1, count.sum())).astype(np.float32))
+    return [(np.concatenate(x) if x else np.zeros(0, np.int32), np.concatenate(v) if v else np.zeros(0, np.float32)) for x, v in zip(slots, values, strict=True)]
+
+
+def fit(sample: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 120, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, float, float]:
+    """Weights and the two numbers of the calibration, from the features of labelled texts in
+    random order."""
+    n = len(y)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x, _ in sample])
+    col, value = (np.concatenate(c) for c in zip(*sample, strict=True))
     aside = np.arange(n) % 5 == 4
     used = ~aside[row]
-    r, c, v = row[used], col[used], value[used]
-    _, c = np.unique(c, return_inverse=True)
-    names = np.unique(col[used])
+    r, v = row[used], value[used]
+    seen = np.zeros(FAMILIES * SLOTS, bool)
+    seen[col[used]] = True
+    names = np.flatnonzero(seen)
+    c = (np.cumsum(seen) - 1).astype(np.int32)[col[used]]
     weight_of = np.where(y == 1, 0.5 / max(1, (y[~aside] == 1).sum()), 0.5 / max(1, (y[~aside] == 0).sum())) * ~aside
     # features differ widely in how often they occur: each gets a step of its own
     w, b, sq, sb = np.zeros(len(names)), 0.0, np.full(len(names), 1e-12), 1e-12
@@ -152,17 +161,30 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = 120, rate: float = 0.5, dec
     return weights, float(k[0]), float(k[1])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[pa.Array, np.ndarray]:
-    """At most ``per_class`` labelled texts of each quality, in an order set by hashes."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[list, np.ndarray]:
+    """Features of at most ``per_class`` labelled texts of each quality, in an order set by hashes.
+    They are made in tasks; the driver gets some 20 KB of them a text."""
     known = (labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id")
              .agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other"))
     order = Window.partitionBy("quality").orderBy("h", "doc_id")
     chosen = (known.withColumn("h", F.xxhash64("doc_id", F.lit(5))).withColumn("n", F.row_number().over(order))
               .where(F.col("n") <= per_class).select("doc_id", "quality", "h"))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 1 << 19):
+            x = features(*buffers(b.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("h"), b.column("doc_id"), b.column("quality"), pa.array([s.tobytes() for s, _ in x], pa.binary()), pa.array([v.tobytes() for _, v in x], pa.binary())],
+                ["h", "doc_id", "quality", "slots", "shares"])
+
     # a bounded side: per_class rows for each of two classes; repeated documents count once
     found = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-             .groupBy("h", "doc_id", "quality").agg(F.max("text").alias("text")).orderBy("h", "doc_id").limit(2 * per_class).toPandas())
-    return pa.array(found["text"].tolist(), pa.string()).fill_null(""), found["quality"].to_numpy(np.float64)
+             .groupBy("h", "doc_id", "quality").agg(F.max("text").alias("text"))
+             .select("h", "doc_id", F.col("quality").cast("int"), "text")
+             .mapInArrow(described, f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, slots binary, shares binary").toPandas())
+    found = found.sort_values(["h", "doc_id"])
+    sample = [(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for s, v in zip(found["slots"], found["shares"], strict=True)]
+    return sample, found["quality"].to_numpy(np.float64)
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", keep: float = KEEP, per_class: int = SAMPLE,
@@ -170,8 +192,8 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", keep: float =
     """``doc_id``, the base columns, ``base_failed``, ``probability`` of good quality (null
     without a model) and ``kept``, a row per row of ``docs``."""
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    texts, y = labelled_sample(given, labels, per_class)
-    model = fit(texts, y) if min((y == 1).sum(), (y == 0).sum()) >= 10 else None
+    sample, y = labelled_sample(given, labels, per_class)
+    model = fit(sample, y) if min((y == 1).sum(), (y == 0).sum()) >= 10 else None
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
