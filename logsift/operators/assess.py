@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.severity import SEVERITY_LADDER, severity_name, severity_rank
+from ..functions.severity import ladder_name, severity_name, severity_rank
 from .digest import pkeys
 
 # Fixed values [DESIGN]: the rules table. kind, pattern (Java and RE2 syntax,
@@ -127,7 +127,7 @@ def issue_candidates(templates: DataFrame, sample: DataFrame, keys: Sequence[str
         F.min_by("evidence", "rank").alias("evidence"),
         F.min("min_count").alias("min_count"))
     g = g.filter(F.col("occurrences") >= F.col("min_count"))
-    sev_name = F.get(F.array(*[F.lit(s) for s in SEVERITY_LADDER]), F.col("sev_rank"))
+    sev_name = ladder_name("sev_rank")
     detail = F.format_string("%d lines in %d pattern(s); worst syslog severity %s",
                              F.col("occurrences"), F.col("patterns"), severity_name(F.col("worst_syslog")))
     return g.select(*P, "title", "first_rank", "sev_rank", sev_name.alias("severity"), "category",
