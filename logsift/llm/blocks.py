@@ -34,6 +34,12 @@ def unpack(blob: bytes) -> pa.RecordBatch:
         return stream.read_next_batch()
 
 
+def release() -> None:
+    """Give memory that Arrow keeps for later back to the system: a worker lives through many
+    tasks and stages, and its next one may need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
     checkpoint_root(df.sparkSession)

@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks, buckets, unpack
+from .blocks import blocks, buckets, release, unpack
 from .words import buffers, words
 
-#: Larger blocks repeat fewer words.
-BLOCK_BYTES = 6 << 20
+#: Larger blocks repeat fewer words and take more of a worker's memory.
+BLOCK_BYTES = 4 << 20
 _tokenizers = {}
 
 
@@ -88,15 +88,18 @@ def _requests(text: str, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         z = zstandard.ZstdCompressor(3)
+
+        def ask(name: str, blob: bytes) -> pa.RecordBatch:
+            w, h, at, _ = _distinct(unpack(blob), text)
+            asked = [(k, z.compress(b"\n".join(x))) for k, x, _ in _shipped(w.data.tobytes(), w, at, h >> shift)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in asked], pa.int32()), pa.array([name] * len(asked), pa.string()), pa.array([x for _, x in asked], pa.binary())],
+                ["bucket", "block", "sent"])
+
         for b in batches:
-            for name, blob in zip(b.column("block").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                w, h, at, _ = _distinct(unpack(blob), text)
-                if not len(h):
-                    continue
-                to, sent = zip(*((b, z.compress(b"\n".join(x))) for b, x, _ in _shipped(w.data.tobytes(), w, at, h >> shift)), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to, pa.int32()), pa.array([name] * len(sent)), pa.array(sent, pa.binary())],
-                    ["bucket", "block", "sent"])
+            for name, blob in zip(b.column("block"), b.column("blob"), strict=True):
+                yield ask(name.as_py(), blob.as_py())
+                release()
     return run
 
 
@@ -133,33 +136,38 @@ def _join(text: str, n_buckets: int, id_type, pieces_of, names: tuple[str, str])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         unz, pieces = zstandard.ZstdDecompressor(), np.array(pieces_of.value, object)
+
+        def joined(blob: bytes, answered: list[dict]) -> pa.RecordBatch:
+            part = unpack(blob)
+            w, h, at, back = _distinct(part, text)
+            answers = {a["bucket"]: a["ids"] for a in answered}
+            sizes, flats, order = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], []
+            for bucket, sent, numbers in _shipped(w.data.tobytes(), w, at, h >> shift):
+                raw = unz.decompress(answers[bucket], max_output_size=1 << 31)
+                sizes.append(np.frombuffer(raw, np.int32, len(sent)))
+                flats.append(np.frombuffer(raw, id_type, offset=4 * len(sent)).astype(np.int32))
+                order += numbers
+            size, flat, place = np.concatenate(sizes), np.concatenate(flats), np.empty(len(h), np.int64)
+            place[order] = np.arange(len(h))
+            back = place[back]  # from here on, words count in the order they were sent
+            first = np.r_[0, np.cumsum(size)]
+            n = size[back]
+            ids = flat[_ranges(first[:-1][back], n)]
+            edge = np.r_[0, np.cumsum(n)][w.first]
+            # each distinct word is decoded once; a word without ids leaves nothing
+            named = pieces[flat]
+            said = np.array([" ".join(named[a:z].tolist()) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], object)
+            decoded = []
+            for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+                decoded.append(" ".join(said[back[a:z][n[a:z] > 0]].tolist()))
+            cols = [*part.columns, pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids, pa.int32())),
+                    pa.array(decoded, pa.string())]
+            return pa.RecordBatch.from_arrays(cols, [*part.schema.names, *names])
+
         for b in batches:
-            for row in b.to_pylist():
-                part = unpack(row["blob"])
-                w, h, at, back = _distinct(part, text)
-                answers = {a["bucket"]: a["ids"] for a in row["answers"]}
-                sizes, flats, order = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], []
-                for bucket, sent, numbers in _shipped(w.data.tobytes(), w, at, h >> shift):
-                    raw = unz.decompress(answers[bucket], max_output_size=1 << 31)
-                    sizes.append(np.frombuffer(raw, np.int32, len(sent)))
-                    flats.append(np.frombuffer(raw, id_type, offset=4 * len(sent)).astype(np.int32))
-                    order += numbers
-                size, flat, place = np.concatenate(sizes), np.concatenate(flats), np.empty(len(h), np.int64)
-                place[order] = np.arange(len(h))
-                back = place[back]  # from here on, words count in the order they were sent
-                first = np.r_[0, np.cumsum(size)]
-                n = size[back]
-                ids = flat[_ranges(first[:-1][back], n)]
-                edge = np.r_[0, np.cumsum(n)][w.first]
-                # each distinct word is decoded once; a word without ids leaves nothing
-                named = pieces[flat]
-                said = np.array([" ".join(named[a:z].tolist()) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], object)
-                decoded = []
-                for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-                    decoded.append(" ".join(said[back[a:z][n[a:z] > 0]].tolist()))
-                cols = [*part.columns, pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids, pa.int32())),
-                        pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, [*part.schema.names, *names])
+            for blob, answered in zip(b.column("blob"), b.column("answers"), strict=True):
+                yield joined(blob.as_py(), answered.as_py())
+                release()
     return run
 
 

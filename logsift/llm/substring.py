@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks, buckets, unpack
+from .blocks import blocks, buckets, release, unpack
 from .words import buffers, inside, windows, words
 
 WINDOW = 35
@@ -43,8 +43,9 @@ def _requests(text: str, size: int, n_buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, blob in zip(b.column("block").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                h = np.unique(_windows(unpack(blob), text, size)[2])
+            for name, blob in zip(b.column("block").to_pylist(), b.column("blob"), strict=True):
+                h = np.unique(_windows(unpack(blob.as_py()), text, size)[2])
+                release()
                 if not len(h):
                     continue
                 bucket = h >> shift
@@ -83,19 +84,23 @@ def covered(n: int, at: np.ndarray, size: int) -> np.ndarray:
 
 def _remove(text: str, size: int, names: tuple[str, str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(blob: bytes, answers: list[dict]) -> pa.RecordBatch:
+            part = unpack(blob)
+            w, at, h = _windows(part, text, size)
+            gone = np.zeros(len(w.hash), bool)
+            if len(at):
+                distinct, back, count = np.unique(h, return_inverse=True, return_counts=True)
+                known = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]).astype(bool)
+                         for a in sorted(answers, key=lambda a: a["bucket"])]
+                hit = np.concatenate(known) | (count > 1)
+                assert len(hit) == len(distinct)
+                gone = covered(len(w.hash), at[hit[back]], size)
+            return _rows(part, w, gone, names)
+
         for b in batches:
-            for row in b.to_pylist():
-                part = unpack(row["blob"])
-                w, at, h = _windows(part, text, size)
-                gone = np.zeros(len(w.hash), bool)
-                if len(at):
-                    distinct, back, count = np.unique(h, return_inverse=True, return_counts=True)
-                    known = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]).astype(bool)
-                             for a in sorted(row["answers"], key=lambda a: a["bucket"])]
-                    hit = np.concatenate(known) | (count > 1)
-                    assert len(hit) == len(distinct)
-                    gone = covered(len(w.hash), at[hit[back]], size)
-                yield _rows(part, w, gone, names)
+            for blob, answers in zip(b.column("blob"), b.column("answers"), strict=True):
+                yield one(blob.as_py(), answers.as_py())
+                release()
     return run
 
 
