@@ -40,6 +40,13 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts and blocks to Python in batches of some megabytes (a session setting):
+    the default of 10,000 rows holds tens of megabytes of them on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
     checkpoint_root(df.sparkSession)
@@ -51,6 +58,8 @@ def blocks(df: DataFrame, text: str, limit: int = BLOCK_BYTES) -> DataFrame:
     it once and reads the shuffle again. The names of equal blocks differ by task and place,
     and follow from the content, so a recomputed block can't be taken for another."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         task = TaskContext.get().partitionId()

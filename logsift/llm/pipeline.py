@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, mixing, neardup, substring
-from .blocks import written
+from .blocks import small_batches, written
 
 MIN_SCORE = 0.3
 
@@ -46,12 +46,14 @@ def _counted(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     pred, score = _free(docs, "lang_pred", "score")
     judged = langid.identify(docs, names=(pred, score))
     return judged.where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     (key,) = _free(docs, "kept_id")
     kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias(key)).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi").select(*docs.columns)
