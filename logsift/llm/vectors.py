@@ -1,19 +1,13 @@
-"""Near-duplicate embeddings over a robust-pruned flat graph.
+"""Near-duplicate embeddings by comparing shards in full.
 
 Vectors of equal label and length are compared by cosine. Equal vectors form
 a class, and one row per class goes on. Per label, centroids are fitted on a
 bounded sample (at most ``FIT`` classes, ``ROUNDS`` rounds); each class joins the
-shards of its ``OVERLAP`` nearest centroids. A shard's task builds a flat graph:
-the nearest candidates of each vector are pruned robustly (a candidate goes if
-one kept before it is closer to it by the factor ``ALPHA``). A class's adjacency
-lists from all its shards are united. Then each class searches its shards
-from their medoids: greedily with a beam, then expanding every vector found in
-range until none is left. The task audits recall against brute force on every
-16th of its searches and searches again with twice the beam while it is under
-``RECALL``. Found pairs are verified in double precision.
+shards of its ``OVERLAP`` nearest centroids. A shard's task compares all its
+classes by one matrix product. Pairs in range are verified in double precision.
 
-A shard that outgrows ``PART`` is cut into parts by hash; each part gets a graph
-and every class of the shard searches all parts, so no pair is lost to a cap.
+A shard that outgrows ``PART`` is cut into parts by hash
+and every class of the shard is compared with all parts, so no pair is lost to a cap.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and
 rows without a label, link with nothing. Repeated rows are one class; every
@@ -38,9 +32,6 @@ from .components import components
 COSINE = 0.93
 FIT, ROUNDS, SHARD, OVERLAP = 4096, 8, 1024, 2
 PART = 4096
-CANDIDATES, DEGREE, ALPHA, PADDED = 48, 24, 1.2, 64
-BEAM, RECALL = 32, 0.97
-SLACK = 0.02
 #: Centroids up to this many bytes in all are sent to all tasks; beyond, they are joined.
 BROADCAST_BYTES = 32 << 20
 
@@ -105,84 +96,6 @@ def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(shard), pa.int32())], ["label", "dim", "key", "v", "shard"])
 
 
-def robust_prune(x: np.ndarray) -> list[np.ndarray]:
-    """Adjacency (numbers of rows) of a flat graph over unit vectors, with links both ways."""
-    n = len(x)
-    s = (x @ x.T).astype(np.float32)
-    np.fill_diagonal(s, -2)
-    k = min(CANDIDATES, n - 1)
-    if k < 1:
-        return [np.zeros(0, int)] * n
-    cand = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    far = (np.arange(n)[:, None] * 7 + 1 + np.arange(4) * (n // 4 + 1)) % n  # a few long links keep the graph whole
-    cand = np.concatenate([cand, far], 1)
-    order = np.argsort(-np.take_along_axis(s, cand, 1), 1, kind="stable")
-    cand = np.take_along_axis(cand, order, 1)
-    near = 1 - np.take_along_axis(s, cand, 1)
-    alive = cand != np.arange(n)[:, None]
-    out: list[list[int]] = [[] for _ in range(n)]
-    for _ in range(DEGREE):
-        rows = np.flatnonzero(alive.any(1))
-        if not len(rows):
-            break
-        first = alive[rows].argmax(1)
-        pick = cand[rows, first]
-        for r, p in zip(rows.tolist(), pick.tolist(), strict=True):
-            out[r].append(p)
-            out[p].append(r)
-        alive[rows] &= (ALPHA * (1 - s[pick[:, None], cand[rows]]) > near[rows]) & (cand[rows] != pick[:, None])
-    return [np.unique(np.array(o, int)) for o in out]
-
-
-def search(s: np.ndarray, links: np.ndarray, start: int, own: np.ndarray, reach: float, beam: int) -> np.ndarray:
-    """Which index rows each query finds in range. ``s``: similarity (query, index), looked up only
-    along links; ``links``: padded with -1; ``own``: each query's own index row or -1."""
-    q, n = s.shape
-    seen, done = np.zeros((q, n), bool), np.zeros((q, n), bool)
-    seen[:, start] = True
-    best = np.full((q, min(beam, n)), -1)
-    best[:, 0] = start
-    active = np.arange(q)
-    while len(active):  # the beam: expand the best row that isn't yet
-        b = best[active]
-        value = np.where((b >= 0) & ~done[active[:, None], np.maximum(b, 0)], s[active[:, None], np.maximum(b, 0)], -9)
-        at = value.argmax(1)
-        going = value[np.arange(len(active)), at] > -9
-        active, at = active[going], at[going]
-        if not len(active):
-            break
-        b, row = best[active], best[active, at]
-        done[active, row] = True
-        near = links[row]
-        fresh = (near >= 0) & ~seen[active[:, None], np.maximum(near, 0)]
-        a, j = np.nonzero(fresh)
-        seen[active[a], near[a, j]] = True
-        pool = np.concatenate([b, np.where(fresh, near, -1)], 1)
-        value = np.where(pool >= 0, s[active[:, None], np.maximum(pool, 0)], -9)
-        keep = np.argpartition(-value, best.shape[1] - 1, 1)[:, :best.shape[1]]
-        best[active] = np.take_along_axis(pool, keep, 1)
-    close = s >= reach - SLACK
-    active = np.arange(q)
-    while len(active):  # the range: expand whatever was found in it
-        open_ = seen[active] & close[active] & ~done[active]
-        going = open_.any(1)
-        active, row = active[going], open_[going].argmax(1)
-        done[active, row] = True
-        near = links[row]
-        a, j = np.nonzero(near >= 0)
-        seen[active[a], near[a, j]] = True
-    found = seen & (s >= reach - 1e-4)
-    has = np.flatnonzero(own >= 0)
-    found[has, own[has]] = False
-    return found
-
-
-def _graph(rows: pd.DataFrame) -> pd.DataFrame:
-    keys = rows["key"].to_numpy(object)
-    links = robust_prune(_units(rows["v"].tolist()))
-    return pd.DataFrame({"key": keys, "near": [keys[o].tolist() for o in links]})
-
-
 def _find(reach: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         index, query = rows[rows["side"] != 1], rows[rows["side"] != 0]
@@ -191,26 +104,10 @@ def _find(reach: float):
         ik, qk = index["key"].tolist(), query["key"].tolist()
         place = {k: i for i, k in enumerate(ik)}
         x, y = _units(index["v"].tolist()), _units(query["v"].tolist())
-        s = (y @ x.T).astype(np.float32)
-        near = [[place[k] for k in (o if o is not None else []) if k in place] for o in index["near"]]
-        mean = x.mean(0)
-        start = int((x @ mean).argmax())
+        found = (y @ x.T).astype(np.float32) >= reach - 1e-4
         own = np.array([place.get(k, -1) for k in qk])
-        links = np.full((len(ik), max(1, min(PADDED, max(map(len, near), default=1)))), -1)
-        for i, o in enumerate(near):
-            if len(o) > PADDED:  # the nearest half, and others evenly
-                o = np.array(o)[np.argsort(-(x[o] @ x[i]), kind="stable")]
-                o = np.r_[o[:PADDED // 2], o[PADDED // 2:][np.linspace(0, len(o) - PADDED // 2 - 1, PADDED - PADDED // 2).astype(int)]]
-            links[i, :len(o)] = o
-        beam, audit = BEAM, np.arange(0, len(qk), 16)
-        truth = s[audit] >= reach - 1e-4
-        has = own[audit] >= 0
-        truth[np.flatnonzero(has), own[audit][has]] = False
-        while True:
-            found = search(s, links, start, own, reach, beam)
-            if beam >= len(ik) or (found[audit] & truth).sum() >= RECALL * truth.sum():
-                break
-            beam *= 2
+        has = np.flatnonzero(own >= 0)
+        found[has, own[has]] = False
         i, j = np.nonzero(found)
         exact = np.concatenate([(y[i[k:k + 65536]] * x[j[k:k + 65536]]).sum(1) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
         ok = exact >= reach
@@ -237,12 +134,10 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     shard = ["label", "dim", "shard"]
     parts = members.groupBy(*shard).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     members = written(members.join(parts, shard).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int")), "members")
-    graph = members.groupBy(*shard, "part").applyInPandas(_graph, "key binary, near array<binary>")
-    united = graph.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    members = members.join(united, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     same = F.col("part") == F.col("other")
-    tasks = members.select(*shard, "key", "v", "near", F.col("part").alias("i"), F.col("other").alias("q"), F.when(same, 2).otherwise(0).alias("side")).union(
-        members.where(~same).select(*shard, "key", "v", F.lit(None).cast("array<binary>"), F.col("other"), F.col("part"), F.lit(1)))
+    tasks = members.select(*shard, "key", "v", F.col("part").alias("i"), F.col("other").alias("q"), F.when(same, 2).otherwise(0).alias("side")).union(
+        members.where(~same).select(*shard, "key", "v", F.col("other"), F.col("part"), F.lit(1)))
     pairs = written(tasks.groupBy(*shard, "i", "q").applyInPandas(_find(cosine), "a binary, b binary").distinct(), "pairs")
 
     both = pairs.union(pairs.select(F.col("b"), F.col("a")))

@@ -226,6 +226,17 @@ def test_near_vectors_in_parts(spark, monkeypatch):
     assert all(got[i].n_links <= want[i][1] for i in got) and sum(r.n_links for r in got.values()) >= 0.9 * total
 
 
+def test_near_vectors_keep_all_links_of_a_shard(spark):
+    """Links inside and at the edge of groups in one shard, all of which its task has computed."""
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=(20, 16))
+    x = (base[np.arange(1000) % 20] + rng.normal(0, 0.25, (1000, 16))).astype(np.float32).astype(float)
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    want = (u @ u.T >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    assert {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()} == dict(enumerate(want.tolist()))
+
+
 def test_components(spark):
     rng = np.random.default_rng(8)
     edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100, int(x)) for x in rng.integers(101, 200, 80)] + [(5, 5), (None, 3), (7, None), (8, 9), (8, 9)]
