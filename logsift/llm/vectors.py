@@ -1,13 +1,17 @@
-"""Near-duplicate embeddings by comparing shards in full.
+"""Near-duplicate embeddings by comparing all shards that an exact bound can't tell apart.
 
 Vectors of equal label and length are compared by cosine. Equal vectors form
 a class, and one row per class goes on. Per label, centroids are fitted on a
-bounded sample (at most ``FIT`` classes, ``ROUNDS`` rounds); each class joins the
-shards of its ``OVERLAP`` nearest centroids. A shard's task compares all its
-classes by one matrix product. Pairs in range are verified in double precision.
+bounded sample (at most ``FIT`` classes, ``ROUNDS`` rounds); each class lives in the
+shard of its nearest centroid c and visits each later shard, of centroid d, that
+can hold a partner. A partner y there has (c - d)y <= 0, so a class x with
+(c - d)x over |c - d| times the chord of the threshold has none. Where data has no
+clusters, the bound rules nothing out and all shards of a label are compared.
 
-A shard that outgrows ``PART`` is cut into parts by hash
-and every class of the shard is compared with all parts, so no pair is lost to a cap.
+Shards are cut into parts by hash, of at most ``PART`` classes and ``PART_BYTES``. A
+task compares two parts in full by matrix products, and pairs in range are
+verified in double precision. Each pair meets in one task, so a task gives
+counts per class, and only those links that join components.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and
 rows without a label, link with nothing. Repeated rows are one class; every
@@ -26,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import written
+from .blocks import small_batches, written
 from .components import components
 
 COSINE = 0.93
-FIT, ROUNDS, SHARD, OVERLAP = 4096, 8, 1024, 2
-PART = 4096
+FIT, ROUNDS, SHARD = 4096, 8, 8192
+PART, PART_BYTES = 16384, 8 << 20
+CHUNK = 256
 #: Centroids up to this many bytes in all are sent to all tasks; beyond, they are joined.
 BROADCAST_BYTES = 32 << 20
+SLACK = 1e-6
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,42 +88,84 @@ def _centroids(sample: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"label": sample["label"].iloc[:1].to_numpy(), "dim": sample["dim"].iloc[:1].to_numpy(), "c": [c.tobytes()]})
 
 
-def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per class and shard that it joins."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        shard = []
-        for raw, c, dim in zip(b.column("v").to_pylist(), b.column("c").to_pylist(), b.column("dim").to_pylist(), strict=True):
-            c = np.frombuffer(c, np.float64).reshape(-1, dim)
-            shard.append(np.argsort(-(c @ _units([raw])[0]), kind="stable")[:OVERLAP])
-        take = pa.array(np.repeat(np.arange(b.num_rows), [len(s) for s in shard]))
-        cols = [b.column(k).take(take) for k in ("label", "dim", "key", "v")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(shard), pa.int32())], ["label", "dim", "key", "v", "shard"])
+def _assign(reach: float):
+    """Each class's shard, and the later shards that can hold a vector in range of it."""
+    chord = np.sqrt(max(0.0, 2 - 2 * reach))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            home, visits = [], []
+            for raw, c, dim in zip(b.column("v").to_pylist(), b.column("c").to_pylist(), b.column("dim").to_pylist(), strict=True):
+                c = np.frombuffer(c, np.float64).reshape(-1, dim)
+                s = c @ _units([raw])[0]
+                at = int(s.argmax())
+                apart = np.sqrt(((c[at + 1:] - c[at]) ** 2).sum(1))
+                home.append(at)
+                visits.append((np.flatnonzero(s[at] - s[at + 1:] <= chord * apart + SLACK) + at + 1).tolist())
+            cols = [b.column(k) for k in ("label", "dim", "key", "m", "v")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(home, pa.int32()), pa.array(visits, pa.list_(pa.int32()))],
+                                             ["label", "dim", "key", "m", "v", "shard", "visits"])
+    return run
+
+
+def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Components after the links (i, j), as the root of each row, and the links that made them."""
+    links: list[tuple[int, int]] = []
+    first = np.unique(np.concatenate([np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1]]))
+    for some in (first, slice(None)):  # one link of each row first: after it few others join anything
+        a, b = i[some], j[some]
+        open_ = root[a] != root[b]
+        up = root.tolist()
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for x, y in zip(a[open_].tolist(), b[open_].tolist(), strict=True):
+            g, h = find(x), find(y)
+            if g != h:
+                up[g] = h
+                links.append((x, y))
+        root = np.array(up)
+        while (root[root] != root).any():
+            root = root[root]
+    return root, links
 
 
 def _find(reach: float):
+    """Counts (a, others) and joining links (a, b) of the rows of two parts, or of one with itself."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        index, query = rows[rows["side"] != 1], rows[rows["side"] != 0]
+        side, keys = rows["side"].to_numpy(), rows["key"].to_numpy(object)
+        index, query = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(index) or not len(query):
-            return pd.DataFrame({"a": [], "b": []})
-        ik, qk = index["key"].tolist(), query["key"].tolist()
-        place = {k: i for i, k in enumerate(ik)}
-        x, y = _units(index["v"].tolist()), _units(query["v"].tolist())
-        found = (y @ x.T).astype(np.float32) >= reach - 1e-4
-        own = np.array([place.get(k, -1) for k in qk])
-        has = np.flatnonzero(own >= 0)
-        found[has, own[has]] = False
-        i, j = np.nonzero(found)
-        exact = np.concatenate([(y[i[k:k + 65536]] * x[j[k:k + 65536]]).sum(1) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
-        ok = exact >= reach
-        a, b = [qk[k] for k in i[ok]], [ik[k] for k in j[ok]]
-        return pd.DataFrame({"a": [min(p) for p in zip(a, b, strict=True)], "b": [max(p) for p in zip(a, b, strict=True)]}).drop_duplicates()
+            return pd.DataFrame({"a": [], "b": [], "others": []})
+        x, m = _units(rows["v"].tolist()), rows["m"].to_numpy(np.float64)
+        single = x.astype(np.float32)
+        right = np.ascontiguousarray(single[index].T)
+        least = reach - (x.shape[1] + 8) * 1.2e-7  # what rounding can take from a product in single precision
+        others, root, links = np.zeros(len(x)), np.arange(len(x)), []
+        for k in range(0, len(query), CHUNK):
+            i, j = np.nonzero(single[query[k:k + CHUNK]] @ right >= least)
+            i, j = query[k + i], index[j]
+            if side[0] == 2:
+                i, j = i[i < j], j[i < j]
+            ok = np.concatenate([(x[i[n:n + 65536]] * x[j[n:n + 65536]]).sum(1) >= reach for n in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
+            i, j = i[ok], j[ok]
+            others += np.bincount(i, m[j], len(x)) + np.bincount(j, m[i], len(x))
+            root, more = _join(root, i, j)
+            links += more
+        some = np.flatnonzero(others)
+        return pd.DataFrame({"a": [*keys[some], *(keys[a] for a, _ in links)], "b": [*[None] * len(some), *(keys[b] for _, b in links)],
+                             "others": [*others[some].astype(int).tolist(), *[0] * len(links)]})
     return run
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
     """One row per row of ``vectors``: ``vec_id``, ``n_links``, ``component_id``, ``kept``."""
+    small_batches(vectors.sparkSession)
     rows = written(vectors.select(F.col(vec_id).alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).alias("v"))
                    .mapInArrow(_classes, f"id {vectors.schema[vec_id].dataType.simpleString()}, label string, key binary, v binary, dim int"), "vectors")
     classes = written(rows.where("key is not null").groupBy("key").agg(
@@ -129,20 +177,27 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     centroids = written(sample.join(sizes, ["label", "dim"]).groupBy("label", "dim").applyInPandas(_centroids, "label string, dim int, c binary"), "centroids")
     total = centroids.agg(F.coalesce(F.sum(F.length("c")), F.lit(0))).first()[0]
     side = F.broadcast(centroids) if total <= BROADCAST_BYTES else centroids
-    members = classes.join(side, ["label", "dim"]).select("label", "dim", "key", "v", "c").mapInArrow(
-        _assign, "label string, dim int, key binary, v binary, shard int")
-    shard = ["label", "dim", "shard"]
-    parts = members.groupBy(*shard).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    members = written(members.join(parts, shard).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int")), "members")
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    same = F.col("part") == F.col("other")
-    tasks = members.select(*shard, "key", "v", F.col("part").alias("i"), F.col("other").alias("q"), F.when(same, 2).otherwise(0).alias("side")).union(
-        members.where(~same).select(*shard, "key", "v", F.col("other"), F.col("part"), F.lit(1)))
-    pairs = written(tasks.groupBy(*shard, "i", "q").applyInPandas(_find(cosine), "a binary, b binary").distinct(), "pairs")
-
-    both = pairs.union(pairs.select(F.col("b"), F.col("a")))
-    count = classes.select(F.col("key").alias("b"), F.col("m").alias("other"))
-    linked = both.join(count, "b").groupBy("a").agg(F.sum("other").alias("others")).withColumnRenamed("a", "key")
+    members = classes.join(side, ["label", "dim"]).select("label", "dim", "key", "m", "v", "c").mapInArrow(
+        _assign(cosine), "label string, dim int, key binary, m long, v binary, shard int, visits array<int>")
+    members = written(members, "members")
+    shard, data = ["label", "dim", "shard"], ["key", "m", "v"]
+    limit = F.least(F.lit(PART), F.greatest(F.lit(1), F.floor(F.lit(PART_BYTES) / (8 * F.col("dim")))))
+    parts = written(members.groupBy(*shard).agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / limit).cast("int")).drop("n"), "parts")
+    members = members.join(F.broadcast(parts), shard).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+
+    # a task: the index's shard and part, the queries' shard and part
+    task = [*shard, "part", "from_shard", "from_part"]
+    visitors = (members.select("label", "dim", *data, F.col("shard").alias("from_shard"), F.col("part").alias("from_part"), F.explode("visits").alias("shard"))
+                .join(F.broadcast(parts), shard).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    visited = members.select(*shard, "part", *data).join(visitors.select(*task).distinct(), [*shard, "part"])
+    own = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = own.select("label", "dim", "shard", F.greatest("part", "other").alias("part"), F.col("shard").alias("from_shard"), F.least("part", "other").alias("from_part"),
+                     *data, F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 1).otherwise(0).alias("side"))
+    tasks = (own.unionByName(visitors.select(*task, *data, F.lit(1).alias("side"))).unionByName(visited.select(*task, *data, F.lit(0).alias("side"))))
+    found = written(tasks.groupBy(*task).applyInPandas(_find(cosine), "a binary, b binary, others long"), "found")
+
+    linked = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("others").alias("others"))
+    pairs = found.where("b is not null").select("a", "b")
     named = (classes.select("key", "id", "m").join(components(pairs).toDF("key", "component"), "key", "left")
              .withColumn("component", F.coalesce("component", "key")).join(linked, "key", "left"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -237,6 +237,34 @@ def test_near_vectors_keep_all_links_of_a_shard(spark):
     assert {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()} == dict(enumerate(want.tolist()))
 
 
+def test_near_vectors_between_shards(spark, monkeypatch):
+    """Pairs with their ends in different shards, in data that has no clusters, and parts of shards."""
+    monkeypatch.setattr(vectors, "SHARD", 60)
+    monkeypatch.setattr(vectors, "PART", 50)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2600, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    c, y = rng.uniform(0.931, 0.94, (400, 1)), rng.normal(size=(400, 64))
+    y -= (y * x[:400]).sum(1, keepdims=True) * x[:400]
+    y /= np.sqrt((y * y).sum(1, keepdims=True))
+    x = np.concatenate([x, c * x[:400] + np.sqrt(1 - c * c) * y]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()}
+    assert got == {k: (int(k < 400 or k >= 2600), k - 2600 if k >= 2600 else k) for k in range(3000)}
+
+
+def test_near_vectors_by_shard(spark, monkeypatch):
+    """Clustered data in many shards and parts: all links and components as by brute force."""
+    monkeypatch.setattr(vectors, "SHARD", 20)
+    monkeypatch.setattr(vectors, "PART", 15)
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(25, 6))
+    rows = [(i, (base[i % 25] + rng.normal(0, 0.25, 6)).tolist(), int(i % 2)) for i in range(500)]
+    rows += [(500 + i, rows[i][1], rows[i][2]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert Counter(map(tuple, vectors.near_vectors(df).collect())) == brute_vectors(rows)
+
+
 def test_components(spark):
     rng = np.random.default_rng(8)
     edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100, int(x)) for x in rng.integers(101, 200, 80)] + [(5, 5), (None, 3), (7, None), (8, 9), (8, 9)]
