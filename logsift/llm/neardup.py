@@ -14,9 +14,16 @@ full sets. Nodes that stay large after ``DEPTH`` steps hold large groups of
 near copies: each class is compared with the node's first one, and then classes of
 components still apart are compared on full sets, chunk by chunk.
 
+Classes that were in a node of more than ``LEAF`` after two steps or later go
+through ``MORE`` further trees in the same way, where only nodes and pairs of
+different components count.
+
 Recall: a pair at similarity 0.75 is missed by one tree with probability 0.25
 if its nodes are small after one step, and 0.58 after three; by all 16 with
-2e-10 and 2e-4. The estimate loses a pair at the threshold with 1e-8.
+2e-10 and 2e-4. If its nodes are still large after two steps, both go through
+all 48 trees (but for 2e-6), and the pair is together after four, five or six steps
+in none of them with 1e-8, 2e-6 or 8e-5. The estimate loses a pair at the threshold
+with 1e-8.
 
 Null and empty texts have an empty set and link with nothing. Repeated rows
 fall into one class. Rows with a null id belong to their class but name no
@@ -40,12 +47,14 @@ from .words import LOWER, buffers, inside, mix, slices, windows, words
 
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, LEAF = 16, 6, 12
+MORE = 32
 #: Of TREES * DEPTH least tokens, so many must agree before the full sets are compared.
 AGREE = TREES * DEPTH // 2
 CHUNK = 256
 
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
+_MORE_FACTORS = _rng.integers(0, 1 << 63, MORE * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -65,11 +74,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     return out
 
 
-def least_tokens(s: np.ndarray) -> np.ndarray:
-    """The least token under each of TREES * DEPTH hashes, as 32 bits."""
-    best = np.full(len(_FACTORS), (1 << 64) - 1, np.uint64)
+def least_tokens(s: np.ndarray, factors: np.ndarray = _FACTORS) -> np.ndarray:
+    """The least token under each hash (TREES * DEPTH of them), as 32 bits."""
+    best = np.full(len(factors), (1 << 64) - 1, np.uint64)
     for i in range(0, len(s), 2048):
-        np.minimum(best, (s[i:i + 2048] * _FACTORS[:, None]).min(1), out=best)
+        np.minimum(best, (s[i:i + 2048] * factors[:, None]).min(1), out=best)
     return (mix(best) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -92,20 +101,57 @@ def _describe(text: str, size: int):
     return run
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _more_tokens(size: int):
+    """The least tokens of the further trees, for few classes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        unz = zstandard.ZstdDecompressor()
+        for b in batches:
+            tokens = []
+            for z in b.column("z"):
+                x = unz.decompress(z.as_py(), max_output_size=1 << 31)
+                tokens.append(least_tokens(shingle_sets(np.frombuffer(x, np.uint8), np.array([0, len(x)]), size)[0], _MORE_FACTORS).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("c"), pa.array(tokens, pa.binary())], ["key", "c", "tokens"])
+    return run
+
+
+def _paths(first: int, trees: int):
     """A row per class and tree: the nodes that the class passes, from the root's child on."""
-    for b in batches:
-        t = np.frombuffer(b"".join(b.column("tokens").to_pylist()), np.uint32).reshape(-1, TREES, DEPTH).astype(np.uint64)
-        node = np.broadcast_to(np.arange(TREES, dtype=np.uint64) << np.uint64(40), t.shape[:2])
-        path = np.empty(t.shape, np.int64)
-        for d in range(DEPTH):
-            node = mix(node * np.uint64(0x9E3779B97F4A7C15) + t[:, :, d] + np.uint64(d + 1))
-            path[:, :, d] = node.view(np.int64)
-        n = len(t) * TREES
-        yield pa.RecordBatch.from_arrays(
-            [b.column("key").take(pa.array(np.repeat(np.arange(len(t)), TREES))), pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(t))),
-             pa.array(path[:, :, 0].ravel()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * DEPTH), pa.array(path.ravel()))],
-            ["key", "tree", "first", "path"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = np.frombuffer(b"".join(b.column("tokens").to_pylist()), np.uint32).reshape(-1, trees, DEPTH).astype(np.uint64)
+            node = np.broadcast_to(np.arange(first, first + trees, dtype=np.uint64) << np.uint64(40), t.shape[:2])
+            path = np.empty(t.shape, np.int64)
+            for d in range(DEPTH):
+                node = mix(node * np.uint64(0x9E3779B97F4A7C15) + t[:, :, d] + np.uint64(d + 1))
+                path[:, :, d] = node.view(np.int64)
+            n, own = len(t) * trees, [c for c in b.schema.names if c != "tokens"]
+            at = pa.array(np.repeat(np.arange(len(t)), trees))
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).take(at) for c in own), pa.array(np.tile(np.arange(first, first + trees, dtype=np.int32), len(t))),
+                 pa.array(path[:, :, 0].ravel()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * DEPTH), pa.array(path.ravel()))],
+                [*own, "tree", "first", "path"])
+    return run
+
+
+def _nodes(classes: DataFrame, first: int, trees: int) -> DataFrame:
+    """``classes``: (key, tokens), or (key, c, tokens) with a number ``c`` of the component. The node
+    in which each class ends in each tree, its size, whether it holds ``several`` classes (components),
+    and whether the class was in a large node (``crowded``) after two steps or later."""
+    own = [c for c in classes.columns if c != "tokens"]
+    several = (F.min("c") != F.max("c")) if "c" in own else F.count(F.lit(1)) > 1
+    kinds = ", ".join(f"{c} {classes.schema[c].dataType.simpleString()}" for c in own)
+    # the first step leaves most classes alone in their nodes; they go no further
+    paths = classes.mapInArrow(_paths(first, trees), f"{kinds}, tree int, first long, path array<long>")
+    shared = paths.groupBy("first").agg(several.alias("several")).where("several").select("first")
+    paths = written(paths.join(shared, "first").select(*own, "tree", "path"), "paths")
+    steps = paths.select(*own, "tree", F.posexplode("path").alias("depth", "node"))
+    sizes = steps.groupBy("node").agg(F.count(F.lit(1)).alias("size"), several.alias("several"))
+    last = F.struct("depth", "node", "size", "several")
+    ends = steps.join(sizes, "node").groupBy(*own, "tree").agg(
+        F.coalesce(F.min(F.when((F.col("size") <= LEAF) | ~F.col("several"), last)), F.max(last)).alias("l"),
+        F.max((F.col("depth") >= 1) & (F.col("size") > LEAF)).alias("crowded"))
+    return written(ends.where("l.several or crowded").select(*own, "l.node", "l.size", "l.several", "crowded"), "nodes")
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,17 +223,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                    .mapInArrow(_describe("text", size), f"id {docs.schema[doc_id].dataType.simpleString()}, n long, key binary, tokens binary, z binary"), "sets")
     classes = written(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("tokens").alias("tokens")), "classes")
 
-    # the first step leaves most classes alone in their nodes; they go no further
-    paths = classes.select("key", "tokens").mapInArrow(_paths, "key binary, tree int, first long, path array<long>")
-    shared = paths.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first")
-    paths = written(paths.join(shared, "first").select("key", "tree", "path"), "paths")
-    steps = paths.select("key", "tree", F.posexplode("path").alias("depth", "node"))
-    sizes = steps.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
-    last = F.struct("depth", "node", "size")
-    nodes = written(steps.join(sizes, "node").groupBy("key", "tree")
-                    .agg(F.coalesce(F.min(F.when(F.col("size") <= LEAF, last)), F.max(last)).alias("l"))
-                    .where("l.size > 1").select("key", "l.node", "l.size"), "nodes")
-
+    nodes = _nodes(classes.select("key", "tokens"), 0, TREES)
+    crowded = nodes.where("crowded").select("key").distinct()
+    nodes = nodes.where("several").select("key", "node", "size")
     small = nodes.where(F.col("size") <= LEAF).groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("k"))
     pairs = small.select(F.explode(F.expr(
         "flatten(transform(k, (x, i) -> transform(slice(k, i + 2, size(k)), y -> named_struct('a', x, 'b', y))))")).alias("p")).select("p.*")
@@ -205,8 +243,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     found = links(pairs, "links")
     grouped = components(found)
+    if not crowded.isEmpty():
+        texts = rows.select("key", "z").join(crowded, "key", "left_semi").groupBy("key").agg(F.max("z").alias("z"))
+        tokens = (texts.join(grouped.toDF("key", "component"), "key", "left").select("key", F.xxhash64(F.coalesce("component", "key")).alias("c"), "z")
+                  .mapInArrow(_more_tokens(size), "key binary, c long, tokens binary"))
+        nodes = _nodes(written(tokens, "tokens"), TREES, MORE).where("several")
+        small = nodes.where(F.col("size") <= LEAF).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "c"))).alias("k"))
+        pairs = small.select(F.explode(F.expr(
+            "flatten(transform(k, (x, i) -> transform(filter(slice(k, i + 2, size(k)), y -> y.c != x.c), y -> named_struct('a', x.key, 'b', y.key))))")).alias("p")).select("p.*")
+        more = nodes.where(F.col("size") > LEAF)
+        head = more.groupBy("node").agg(F.min(F.struct("key", "c")).alias("h"))
+        pairs = pairs.union(more.join(head, "node").where("h.c != c").select("h.key", "key")).distinct()
+        found = found.union(links(pairs, "links"))
+        grouped = components(found)
+        large = large.union(more.select("key", "node", "size"))
     member = large.join(grouped.toDF("key", "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    open_ = (member.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("node"))
+    # nodes of equal classes in several trees are compared once
+    open_ = (member.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"),
+                                        F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x"))
+             .where("lo != hi").groupBy("n", "s", "x").agg(F.min("node").alias("node")).select("node"))
     open_ = written(member.join(open_, "node"), "open")
     if not open_.isEmpty():
         texts = rows.select("key", "z").join(open_.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("z").alias("z"))

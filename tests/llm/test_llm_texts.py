@@ -158,6 +158,18 @@ def test_near_duplicates_large_groups(spark, monkeypatch):
     assert Counter(map(tuple, neardup.near_duplicates(df).collect())) == brute_components(rows)
 
 
+def test_near_duplicates_of_a_large_group(spark):
+    """Hundreds of copies that differ in the tail only, and documents at 0.75 to 0.80 from all of them."""
+    rows = []
+    for g in range(3):
+        base = [f"w{g}_{i}" for i in range(200)]
+        rows += [(1000 * g + i, " ".join([*base, f"serial{g}_{i}"])) for i in range(200)]
+        for at in range(4, 174, 4):  # no link among these
+            rows.append((1000 * g + 500 + at, " ".join([*base[:at], *(f"n{g}_{at}_{k}" for k in range(23)), *base[at + 23:]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, neardup.near_duplicates(df).collect())) == brute_components(rows)
+
+
 def test_quality_base(spark, hard):
     rows, df = hard
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
