@@ -9,10 +9,10 @@ URLs under no rule are judged by templates. A path's segments are generalised
 (runs of digits and long hexadecimal runs become ``*``, overlong segments too,
 segments beyond ``DEPTH`` become one ``**``), and the distinct generalised paths
 of each host, with their numbers of rows and of labelled rows, form a tree.
-Level by level, children of a node with many children become ``*`` if each
-holds a small share of the node's rows, and children whose labels don't differ
-significantly from those of their siblings (two-proportion z test) are merged
-into one branch ``~``. A template's purity is its share of good labels, smoothed
+Level by level, children whose labels differ significantly from those of their
+siblings (two-proportion z test) stay on their own, however few rows they hold.
+Of the others, those with a small share of the rows of a node with many children
+become ``*``, and the rest are merged into one branch ``~``. A template's purity is its share of good labels, smoothed
 by its parent's purity with the weight of ``SMOOTH`` labels, from the share over
 all hosts down. Templates under ``PURITY`` are rejected.
 
@@ -87,7 +87,7 @@ def template_tree(paths: DataFrame) -> DataFrame:
         apart = F.abs(F.col("g") / mine - (F.col("all_g") - F.col("g")) / rest) / F.sqrt(share * (1 - share) * (1 / mine + 1 / rest))
         differs = F.when((mine > 0) & (rest > 0) & (share > 0) & (share < 1), apart > Z).otherwise(False)
         name = (F.when(F.col("segment").isin("", "**"), F.col("segment"))
-                .when((F.col("children") > MAX_CHILDREN) & (F.col("n") < SMALL_SHARE * F.col("all_n")), "*")
+                .when((F.col("children") > MAX_CHILDREN) & (F.col("n") < SMALL_SHARE * F.col("all_n")) & ~differs, "*")
                 .when((F.col("children") > 1) & ~differs & (F.col("segment") != "*"), "~").otherwise(F.col("segment")))
         child = child.withColumn("branch", name)
         branch = child.groupBy("host", "template", "branch").agg(F.sum("g").alias("g"), F.sum("b").alias("b"), F.min("parent").alias("parent"))

@@ -148,6 +148,15 @@ def test_url_templates(spark):
     assert urls.judge(pages, labelled=labelled).where("path like '/user%'").select("template").distinct().count() == 1
 
 
+def test_url_small_bad_section(spark):
+    """A bad section with 4 % of a host's rows among 25 sections is not judged with the good ones."""
+    kinds = [f"section{c}" for c in "abcdefghijklmnopqrstuvwxy"]
+    pages = spark.createDataFrame([(i, f"http://h.net/{kind}/{i}") for i in range(20) for kind in kinds], "page_id int, url string")
+    labelled = spark.createDataFrame([(f"http://h.net/{kind}/{i}", kind != "sectionc") for i in range(30) for kind in kinds], "url string, good boolean")
+    got = urls.judge(pages, labelled=labelled).groupBy(F.split("path", "/")[1].alias("kind"), "verdict").count().collect()
+    assert {(r.kind, r.verdict) for r in got} == {(k, "block" if k == "sectionc" else "allow") for k in kinds}
+
+
 def test_archives(spark):
     rows = [(5, "http://a/ b\n", "same"), (3, None, "same"), (9, "http://é/", None), (8, "", ""), (7, "u", "body\r\n\r\nWARC/1.1\r\n\r\nfiledesc://x 1\n"), (7, "u", "body\r\n\r\nWARC/1.1\r\n\r\nfiledesc://x 1\n"),
             (None, "n", "same"), (None, "n", "only null"), (6, "long", "ü" * 700_000)]
