@@ -8,6 +8,7 @@ offset buffers of an Arrow string column, without a Python object per word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _powers = {}
 
 
@@ -81,13 +81,30 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _runs(start: np.ndarray, end: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
-    """Runs of words over about ``size`` bytes (one word at least): hashing takes 8 bytes a byte."""
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + size, "right")))
-        yield i, j
-        i = j
+#: Words up to this many bytes are hashed eight bytes a round, all words at once; longer ones singly.
+SHORT = 64
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each word. A round mixes the next eight bytes into the word's state by a bijection, so
+    equal-length words up to eight bytes never collide, and words that share structure but not bytes
+    (such as a word over two letters and its complement) collide no more often than any others."""
+    size = end - start
+    h = mix(size.astype(_U) + _U(0x9E3779B97F4A7C15))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    open_ = np.flatnonzero(size <= SHORT)
+    for at in range(0, SHORT, 8):
+        open_ = open_[size[open_] > at]
+        if not len(open_):
+            break
+        left = np.minimum(size[open_] - at, 8).astype(_U)
+        chunk = eight[start[open_] + at] & (_U(0xFFFFFFFFFFFFFFFF) >> (_U(64) - _U(8) * left))
+        h[open_] = mix((h[open_] ^ chunk) + _U(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
@@ -108,18 +125,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     begins[edge] = solid[edge]
     ends[edge] |= solid[edge - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    h = np.empty(len(start), _U)
-    for i, j in _runs(start, end):
-        at = start[i]
-        total = np.zeros(end[j - 1] - at + 1, _U)
-        x = total[1:]
-        x[:] = data[at:end[j - 1]]
-        x += _U(1)
-        x *= powers(_BASE, len(x))[:len(x)]
-        np.cumsum(x, out=x)
-        h[i:j] = (total[end[i:j] - at] - total[start[i:j] - at]) * powers(inverse(_BASE), len(x))[start[i:j] - at]
-    h = mix(h + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
-    return Words(data, start, end, np.searchsorted(start, offsets), h)
+    return Words(data, start, end, np.searchsorted(start, offsets), _hashes(data, start, end))
 
 
 def windows(w: np.ndarray, size: int, base: int = 0xA0761D6478BD642F) -> np.ndarray:

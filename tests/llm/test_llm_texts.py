@@ -249,3 +249,39 @@ def test_language_id_held_out_accuracy(spark, sf):
     got = langid.query(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id")
     n, right = got.where("held_out and lang is not null").agg(F.count("*"), F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()
     assert n > 50 and right > 0.95
+
+
+def thue_morse(bits):
+    s = "a"
+    for _ in range(bits):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("bits", [5, 6, 10, 12])
+def test_words_of_like_structure(spark, bits):
+    """A word over two letters and its complement, which collide under hashes that are polynomials
+    modulo a power of two, are two words to all operators."""
+    x, y = thue_morse(bits)
+    shared = [f"s{i}" for i in range(36)]
+    texts = {1: " ".join(shared[:18] + [x] + shared[18:]), 2: " ".join(shared[:18] + [y] + shared[18:]), 3: f"{x} b c d {y} b c e"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    near = {r.doc_id: r for r in neardup.near_duplicates(df).collect()}
+    assert near[1].component_id == 1 and near[2].component_id == 2
+    assert {r.doc_id: r.n_removed for r in substring.substring_dedup(df).collect()} == {1: 0, 2: 0, 3: 0}
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(bpe.default_path())
+    for r in bpe.encode_decode(df).collect():
+        assert r.ids == t.encode(texts[r.doc_id], add_special_tokens=False).ids
+    w = words.words(*words.buffers(pa.array([texts[3]])))
+    assert len(set(w.hash.tolist())) == 6 and quality._repeated(words.windows(w.hash, 3), len(w.hash)) == 0
+
+
+def test_equal_hashes_are_compared_by_bytes(monkeypatch):
+    """With a hash that knows lengths only, distinct words stay apart."""
+    monkeypatch.setattr(words, "_hashes", lambda data, start, end: (end - start).astype(np.uint64))
+    batch = pa.RecordBatch.from_arrays([pa.array(["bb aa bb c", "aa dd c"])], ["text"])
+    w, h, at, back = bpe._distinct(batch, "text")
+    raw = w.data.tobytes()
+    every = [raw[s:e] for s, e in zip(w.start, w.end, strict=True)]
+    assert [every[at[k]] for k in back] == every and len(at) == 4 and (np.diff(h.astype(int)) >= 0).all()
