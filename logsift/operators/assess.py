@@ -2,11 +2,12 @@
 
 Two surfaces:
 
-* :func:`assess_rules`, a deterministic rules assessor: a fixed rules table is
-  matched against the digest's top templates (masked text, so numbers read
+* :func:`assess_rules`, a deterministic rules assessor: rules are matched
+  against all templates of a period (masked text, so numbers read
   ``<N>``), benign noise is dropped, escalation rules and a default rule
-  (elevated templates) become issues. Pure Column expressions: the rules
-  are one ``coalesce(when(rlike ...))`` chain, no join.
+  (elevated templates) become issues. The built-in rules are one
+  ``coalesce(when(rlike ...))`` chain, no join; a table of rules is matched
+  through an index of literals (:mod:`.rules`).
 * :func:`assess_with`, a plug-in point: any object with
   ``assess(digest_text, stats) -> dict`` runs once per digest row inside
   ``mapInPandas`` (one client per task), e.g. a model client.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.severity import ladder_name, severity_name, severity_rank
 from .digest import pkeys
+from .rules import COLUMNS, first_rules
 
 # Fixed values [DESIGN]: the rules table. kind, pattern (Java and RE2 syntax,
 # matched on masked templates), category, title, severity, min_count,
@@ -80,8 +82,31 @@ def default_severity(worst_syslog: Column) -> Column:
             .when(worst_syslog == 4, "warning"))
 
 
+def rules_table(spark) -> DataFrame:
+    """The built-in rules as a table for ``rules`` of :func:`assess_rules`, to be added to."""
+    rows = [(i, kind, pattern, title, category, severity, n, advice) for i, (kind, pattern, category, title, severity, n, advice) in enumerate(RULES)]
+    return spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in COLUMNS.items()))
+
+
+def with_rule(templates: DataFrame, keys: Sequence[str] = (), rules: DataFrame | None = None) -> DataFrame:
+    """``templates`` with ``rule``, a struct of the first matching rule's columns or null."""
+    if rules is None:
+        i = F.col("_i")
+        at = {"position": i, "kind": _rule_attr(i, 0), "pattern": _rule_attr(i, 1), "title": _rule_attr(i, 3), "category": _rule_attr(i, 2),
+              "severity": _rule_attr(i, 4), "min_count": _rule_attr(i, 5, "int"), "recommendation": _rule_attr(i, 6)}
+        # The rule index is computed once; rows a rule does not keep contribute
+        # nulls instead of being filtered, so no predicate on the regex-derived
+        # columns exists to be pushed below (and re-evaluated under) this step.
+        t = templates.withColumn("_i", rule_index(F.col("template")))
+        return t.withColumn("rule", F.when(i.isNotNull(), F.struct(*[v.alias(k) for k, v in at.items()]))).drop("_i")
+    own = [k for k in keys if k in rules.columns]
+    found = first_rules(templates, rules, keys).select(*[F.col(k).alias("_" + k) for k in [*own, "template"]], F.col("_rule").alias("rule"))
+    same = [F.col(k).eqNullSafe(F.col("_" + k)) for k in [*own, "template"]]
+    return templates.join(found, on=same, how="left").drop(*["_" + k for k in [*own, "template"]])
+
+
 def issue_candidates(templates: DataFrame, sample: DataFrame, keys: Sequence[str] = (),
-                     min_count: int = DEFAULT_MIN_COUNT) -> DataFrame:
+                     min_count: int = DEFAULT_MIN_COUNT, rules: DataFrame | None = None) -> DataFrame:
     """Issue rows per (P, title) from all template counts of a period.
 
     ``templates``: P, template, count, first_key, elevated, worst_severity,
@@ -98,22 +123,19 @@ def issue_candidates(templates: DataFrame, sample: DataFrame, keys: Sequence[str
     # templates in the order of the digest: most lines, then earliest first sighting
     templates = templates.withColumn("rank", F.struct((-F.col("count")).alias("c"), F.col("first_key").alias("k"), F.col("template").alias("t")))
     t = templates.join(ev, on=P + ["first_elevated_key"], how="left")
-    # The rule index is computed once; rows a rule does not keep contribute
-    # nulls instead of being filtered, so no predicate on the regex-derived
-    # columns exists to be pushed below (and re-evaluated under) this step.
-    t = t.withColumn("rule", rule_index(F.col("template")))
-    is_rule = F.col("rule").isNotNull()
-    keep = F.when(is_rule, _rule_attr(F.col("rule"), 0) != "benign").otherwise(F.col("elevated") > 0)
-    title = F.when(is_rule, _rule_attr(F.col("rule"), 3)).otherwise(F.col("template"))
-    sev = F.when(is_rule, _rule_attr(F.col("rule"), 4)).otherwise(default_severity(F.col("worst_severity")))
+    t = with_rule(t, keys, rules)
+    rule, is_rule = F.col("rule"), F.col("rule").isNotNull()
+    keep = F.when(is_rule, rule["kind"] != "benign").otherwise(F.col("elevated") > 0)
+    title = F.when(is_rule, rule["title"]).otherwise(F.col("template"))
+    sev = F.when(is_rule, rule["severity"]).otherwise(default_severity(F.col("worst_severity")))
     t = t.select(
         *P, F.when(keep, title).alias("title"), F.col("rank"),
         F.when(keep, F.col("count")).alias("count"), F.col("worst_severity"),
-        F.when(is_rule, _rule_attr(F.col("rule"), 2)).otherwise(F.lit(DEFAULT_CATEGORY)).alias("category"),
+        F.when(is_rule, rule["category"]).otherwise(F.lit(DEFAULT_CATEGORY)).alias("category"),
         sev.alias("severity"),
-        F.when(is_rule, _rule_attr(F.col("rule"), 5, "int"))
+        F.when(is_rule, rule["min_count"])
          .otherwise(F.when(F.col("worst_severity") <= SEVERE, F.least(F.lit(1), F.lit(min_count))).otherwise(F.lit(min_count))).alias("min_count"),
-        F.when(is_rule, _rule_attr(F.col("rule"), 6)).otherwise(F.lit(DEFAULT_RECOMMENDATION))
+        F.when(is_rule, rule["recommendation"]).otherwise(F.lit(DEFAULT_RECOMMENDATION))
          .alias("recommendation"),
         F.coalesce(F.col("evidence"), F.col("template")).alias("evidence"))
     g = t.groupBy(*P, "title").agg(
@@ -135,10 +157,13 @@ def issue_candidates(templates: DataFrame, sample: DataFrame, keys: Sequence[str
 
 
 def assess_rules(parts: dict[str, DataFrame], keys: Sequence[str] = (),
-                 min_count: int = DEFAULT_MIN_COUNT) -> DataFrame:
-    """Digest parts -> findings rows (one per period, also when it has no issue)."""
+                 min_count: int = DEFAULT_MIN_COUNT, rules: DataFrame | None = None) -> DataFrame:
+    """Digest parts -> findings rows (one per period, also when it has no issue).
+
+    ``rules``: a table of rules (:mod:`.rules`) instead of the built-in ones, for all sources or per
+    source if it has key columns."""
     P = pkeys(keys)
-    iss = issue_candidates(parts["counts"], parts["sample"], keys, min_count)
+    iss = issue_candidates(parts["counts"], parts["sample"], keys, min_count, rules)
     issue = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.ISSUE.fields])
     # Order: severity desc, occurrences desc, first template rank.
     ordered = F.struct((-F.col("sev_rank")).alias("a"), (-F.col("occurrences")).alias("b"),

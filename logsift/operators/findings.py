@@ -205,6 +205,8 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str] = (),
     spark = df.sparkSession
     key_cols = [*keys, period_col, *source, "period_date"]
     staged = materialize(df.withColumn("period_date", F.to_date("ts")), "staged")
+    if staged.isEmpty():  # a partitioned write of no rows leaves a folder without a schema
+        return staged
     out = staged
     if path_exists(spark, path):
         days = [r[0] for r in staged.select("period_date").distinct().collect()]

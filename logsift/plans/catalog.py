@@ -258,6 +258,32 @@ def q_rare_severe(spark, sf):
     return ntz(x.select("period_start", "pos", "i.title", "i.severity", "i.category", "i.occurrences", "i.evidence"))
 
 
+def customer_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule per customer, for one of four sites or (nation 4, 9, ..) for all; every pattern needs other literals."""
+    k = F.col("c_custkey")
+    pair = F.concat(F.chr(97 + k % 9), F.chr(107 + F.floor(k / 9) % 10))
+    other = F.concat(F.chr(97 + F.floor(k / 5) % 9), F.chr(107 + k % 10))
+    pattern = (F.when(k % 5 == 0, F.concat(F.lit("(?i)WORKER "), pair, F.lit(" done")))
+               .when(k % 5 == 1, F.concat(F.lit("daemon ("), pair, F.lit("|"), other, F.lit(") gave")))
+               .when(k % 5 == 2, F.concat(F.lit("er "), other, F.lit(".* in <N>$")))
+               .when(k % 5 == 3, F.concat(F.lit("bank +<N>|nothing like customer "), k.cast("string")))
+               .otherwise(F.concat(F.lit("^w\\w+ "), pair, F.lit(" "))))
+    site = F.col("c_nationkey") % 5
+    return TD.table(spark, sf, "customer").select(
+        F.when(site < 4, site).cast("int").alias("site"), (k % 97).cast("int").alias("position"),
+        F.when(k % 3 == 0, "benign").otherwise("escalate").alias("kind"), pattern.alias("pattern"), F.concat(F.lit("rule "), (k % 11).cast("string")).alias("title"),
+        F.lit("customer").alias("category"), F.when(k % 2 == 0, "warning").otherwise("error").alias("severity"), (k % 4).cast("int").alias("min_count"),
+        F.concat(F.lit("ask "), F.col("c_name")).alias("recommendation"))
+
+
+def q_assess_rule_table(spark, sf):
+    """Daily findings of four sites, judged by a table of rules."""
+    lines = rare_lines(spark, sf).withColumn("site", (F.col("id") % 4).cast("int"))
+    f = A.assess_rules(D.digest_parts(lines, ["site"], period="1 day"), ["site"], rules=customer_rules(spark, sf))
+    x = f.select("site", "period_start", F.posexplode("payload.findings").alias("pos", "i"))
+    return ntz(x.select("site", "period_start", "pos", "i.title", "i.severity", "i.category", "i.occurrences", "i.recommendation"))
+
+
 def q_findings_build(spark, sf):
     f = assessed(spark, sf)
     return ntz(f.select("period_start", "ts", "overall_status", "summary", "log_count",

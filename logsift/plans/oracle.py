@@ -608,4 +608,63 @@ UNION ALL SELECT event_id, 0, 'h4', 7, 'from 2001:db8:0:0:0:0:0:1 to 10.0.0.' ||
 SELECT severity, count(*) AS n, count(*) AS stamped, CAST(1 AS BIGINT) AS instants FROM (
   SELECT CASE event_id % 6 WHEN 0 THEN 5 WHEN 2 THEN 3 WHEN 4 THEN 7 END AS severity FROM events WHERE event_id % 6 IN (0, 2, 3, 4)
   UNION ALL SELECT NULL FROM events WHERE event_id % 6 = 3) GROUP BY severity"""
+    q["consume_batch"] = _q(PARSED, """
+SELECT CAST(CASE WHEN ts <= TIMESTAMP '2024-01-08 03:30:00' THEN 0 WHEN ts <= TIMESTAMP '2024-01-16 12:00:00' THEN 1 ELSE 2 END AS BIGINT) AS run,
+  CAST(id % 2 AS INTEGER) AS site, min(ts) AS period_start, max(ts) AS ts, count(*) AS log_count
+FROM lines WHERE ts <= TIMESTAMP '2024-02-15 00:00:00' GROUP BY 1, 2""")
+    q["closed_periods"] = _q(with_period() + """,
+arrived AS (
+  SELECT period_start, period_end, template, severity, ts,
+    date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 5 + CASE WHEN id % 50 = 0 THEN 1 ELSE 0 END AS file FROM t),
+batches AS (
+  SELECT file, row_number() OVER (ORDER BY file) AS batch, max(max(ts)) OVER (ORDER BY file) AS newest FROM arrived GROUP BY file),
+closing AS (
+  SELECT p.period_start, min(b.batch) AS batch FROM (SELECT DISTINCT period_start, period_end FROM arrived) p
+  JOIN batches b ON p.period_end + INTERVAL 1 HOUR <= b.newest GROUP BY p.period_start)""", """
+SELECT a.period_start, a.period_end, a.template, count(*) AS count, count(*) FILTER (WHERE severity <= 4) AS elevated,
+  min(severity) AS worst_severity, nullif(count(*) FILTER (WHERE b.batch <= c.batch), 0) AS count_at_close,
+  count(DISTINCT CASE WHEN b.batch > c.batch THEN b.batch END) AS corrections
+FROM arrived a JOIN batches b ON b.file = a.file JOIN closing c ON c.period_start = a.period_start
+GROUP BY a.period_start, a.period_end, a.template""")
+    q["assess_rule_table"] = f"""
+WITH lines AS (
+  SELECT event_id AS id, ts, CAST(event_id % 4 AS INTEGER) AS site, CASE WHEN event_id % 997 = 0 THEN 2 WHEN event_id % 991 = 1 THEN 1 ELSE 5 END AS severity,
+    CASE WHEN event_id % 997 = 0 THEN 'kernel: hardware error in bank ' || (event_id % 8)
+         WHEN event_id % 991 = 1 THEN 'daemon ' || chr((97 + event_id % 9)::INT) || chr((107 + (event_id // 9) % 10)::INT) || ' gave up'
+         ELSE 'worker ' || chr((97 + event_id % 9)::INT) || chr((107 + (event_id // 9) % 10)::INT) || ' done in ' || (event_id % 50) END AS message
+  FROM events),
+counted AS (
+  SELECT site, date_trunc('day', ts) AS period_start, {templ('message')} AS template, count(*) AS count, min({{'t': ts, 'i': id}}) AS first,
+    count(*) FILTER (WHERE severity <= 4) AS elevated, min(severity) AS worst
+  FROM lines GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY site, period_start ORDER BY count DESC, first, template) AS rank FROM counted),
+keyed AS (
+  SELECT c_custkey AS k, c_name, c_nationkey % 5 AS nation, chr((97 + c_custkey % 9)::INT) || chr((107 + (c_custkey // 9) % 10)::INT) AS pair,
+    chr((97 + (c_custkey // 5) % 9)::INT) || chr((107 + c_custkey % 10)::INT) AS other FROM customer),
+rules AS (
+  SELECT CASE WHEN nation < 4 THEN nation END AS site, k % 97 AS position, CASE WHEN k % 3 = 0 THEN 'benign' ELSE 'escalate' END AS kind,
+    CASE k % 5 WHEN 0 THEN '(?i)WORKER ' || pair || ' done' WHEN 1 THEN 'daemon (' || pair || '|' || other || ') gave'
+      WHEN 2 THEN 'er ' || other || '.* in <N>$' WHEN 3 THEN 'bank +<N>|nothing like customer ' || k ELSE '^w\\w+ ' || pair || ' ' END AS pattern,
+    'rule ' || (k % 11) AS title, CASE WHEN k % 2 = 0 THEN 'warning' ELSE 'error' END AS severity, k % 4 AS min_count, 'ask ' || c_name AS recommendation
+  FROM keyed),
+texts AS (SELECT DISTINCT site, template FROM counted),
+matched AS (
+  SELECT t.site, t.template, r.* EXCLUDE (site) FROM texts t JOIN rules r
+    ON (r.site IS NULL OR r.site = t.site) AND regexp_matches(t.template, r.pattern)
+  QUALIFY row_number() OVER (PARTITION BY t.site, t.template ORDER BY position, pattern, title, kind, severity, min_count, recommendation) = 1),
+kept AS (
+  SELECT r.site, r.period_start, rank, count, worst, coalesce(m.title, r.template) AS title,
+    CASE WHEN m.title IS NOT NULL THEN 'customer' ELSE 'syslog' END AS category,
+    coalesce(m.severity, CASE WHEN worst <= 2 THEN 'critical' WHEN worst = 3 THEN 'error' ELSE 'warning' END) AS severity,
+    coalesce(m.min_count, CASE WHEN worst <= 3 THEN 1 ELSE 2 END) AS min_count,
+    coalesce(m.recommendation, 'Review the source of these messages') AS recommendation
+  FROM ranked r LEFT JOIN matched m ON m.site = r.site AND m.template = r.template
+  WHERE CASE WHEN m.title IS NOT NULL THEN m.kind <> 'benign' ELSE elevated > 0 END),
+issues AS (
+  SELECT site, period_start, title, CAST(sum(count) AS BIGINT) AS occurrences, min(rank) AS first_rank, max({LADDER.format('severity')}) AS sev,
+    arg_min(category, rank) AS category, arg_min(recommendation, rank) AS recommendation
+  FROM kept GROUP BY site, period_start, title HAVING sum(count) >= min(min_count))
+SELECT site, period_start, CAST(row_number() OVER (PARTITION BY site, period_start ORDER BY sev DESC, occurrences DESC, first_rank, title) - 1 AS INTEGER) AS pos,
+  title, ['info', 'warning', 'error', 'critical'][sev + 1] AS severity, category, occurrences, recommendation
+FROM issues"""
     return {k: v.strip() for k, v in q.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assess as A
+from ..operators import consume as CO
 from ..operators import digest as D
 from ..operators import findings as FS
 from ..operators import review as R
@@ -15,6 +16,7 @@ from ..plans.catalog import ntz, stored_findings, stored_lines
 from ..session import scratch_path
 from ..sources import testdata as TD
 from . import ingest as I
+from . import periods as P
 
 
 def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,4 +128,59 @@ def q_templatize_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", templatize("text").alias("template"))
 
 
+#: Cutoffs of the batch consumer's runs; the second run stops after it stored its finding.
+CONSUME_CUTOFFS = ["2024-01-08 03:30:00", "2024-01-16 12:00:00", "2024-02-15 00:00:00"]
+
+
+class _Stopped(Exception):
+    pass
+
+
+def q_consume_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Three runs over the stored buffer, two sources; the second run is lost after its append and
+    finished by the third, which then evaluates what came later."""
+    root = scratch_path(spark, "consume_batch", uuid.uuid4().hex)
+    lines = stored_lines(spark, sf).drop("log_date").withColumn("site", (F.col("id") % 2).cast("int"))
+    CO.buffer_lines(lines, f"{root}/buffer")
+
+    def stop(name: str) -> None:
+        if name == "appended":
+            raise _Stopped
+
+    for k, cutoff in enumerate(CONSUME_CUTOFFS):
+        try:
+            CO.consume(spark, f"{root}/buffer", f"{root}/findings", f"{root}/state", cutoff, ["site"], step=stop if k == 1 else lambda name: None)
+        except _Stopped:
+            pass
+    f = spark.read.parquet(f"{root}/findings")
+    return ntz(f.select("run", "site", "period_start", "ts", "log_count"))
+
+
+#: Days of one arriving file, and the share of lines that come a file late.
+ARRIVAL_DAYS, LATE_EVERY = 5, 50
+
+
+def arrivals(spark: SparkSession, sf: str, root: str) -> int:
+    """Parsed lines of ``events`` as files in the order they arrive; every ``LATE_EVERY``-th line comes
+    with the next file. Returns the number of files."""
+    lines = stored_lines(spark, sf).drop("log_date")
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    lines = lines.withColumn("arrival", F.floor(day / ARRIVAL_DAYS).cast("int") + F.when(F.col("id") % LATE_EVERY == 0, 1).otherwise(0))
+    files = [r[0] for r in lines.select("arrival").distinct().orderBy("arrival").collect()]
+    for n in files:  # one after the other, so that their times tell their order
+        lines.filter(F.col("arrival") == n).drop("arrival").coalesce(1).write.mode("append").parquet(root)
+    return len(files)
+
+
+def q_closed_periods(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly template counts emitted as hours close, corrected by late lines, read back."""
+    root = scratch_path(spark, "periods", uuid.uuid4().hex)
+    arrivals(spark, sf, f"{root}/in")
+    schema = spark.read.parquet(f"{root}/in").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    P.close_periods(stream, f"{root}/out", f"{root}/checkpoint", horizon="12 days")
+    c = P.closed_counts(spark, f"{root}/out")
+    return ntz(c.select("period_start", "period_end", "template", "count", "elevated", "worst_severity", "count_at_close", "corrections"))
+
+
 STREAM_QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_")}
