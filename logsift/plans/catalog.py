@@ -7,6 +7,7 @@ as UTC wall clock (``timestamp_ntz``) so they compare equal across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,10 @@ from ..operators import alerts as AL
 from ..operators import assess as A
 from ..operators import digest as D
 from ..operators import findings as FS
+from ..operators import recurrence as RC
 from ..operators import review as R
+from ..operators import sketches as SK
+from ..session import scratch_path
 from ..sources import testdata as TD
 from ..sources.tables import write_table
 
@@ -207,6 +211,39 @@ def q_top_templates(spark, sf):
                .select("period_start", "rank", "template", "count"))
 
 
+def noisy_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of ``events``: a few frequent templates, and every third line unlike all others; on two days in
+    five all lines are."""
+    e = F.col("event_id")
+    digits = F.translate(e.cast("string"), "0123456789", "klmnopqrst")
+    unique = (e % 3 == 0) | (F.dayofmonth("ts") % 5 < 2)
+    message = F.when(unique, F.concat(F.lit("lone "), digits)).otherwise(F.concat(F.lit("often "), F.chr(97 + F.least(e % 64, F.lit(7) + e % 2))))
+    return TD.events(spark, sf).select(e.alias("id"), "ts", F.lit(None).cast("string").alias("host"), F.lit(6).alias("severity"), message.alias("message"))
+
+
+#: Templates that the sketches of the query below track: few, so that days with unlike lines don't settle.
+FEW_TRACKED = 96
+
+
+def q_top_templates_two_pass(spark, sf):
+    """Top templates of each day by sketch, recount, and full counts where the sketch can't settle."""
+    t = SK.top_templates_two_pass(noisy_lines(spark, sf), k=SMALL_K, period="1 day", tracked=FEW_TRACKED)
+    return ntz(t.select("period_start", "rank", "template", "count"))
+
+
+def q_distinct_sketches(spark, sf):
+    """Distinct templates of each day and of all days from stored sketches: within the stated error?"""
+    lines = noisy_lines(spark, sf)
+    sketches = write_table(SK.distinct_sketches(lines, period="1 day"), "sketches")
+    sketches = spark.read.parquet(sketches)
+    exact = D.digest_stats(D.template_counts(lines, period="1 day")).select("period_start", F.col("distinct_patterns").alias("exact"))
+    every = lines.select(templatize("message").alias("t")).agg(F.count_distinct("t").alias("exact")).withColumn("period_start", F.lit(None).cast("timestamp"))
+    est = SK.distinct_templates(sketches, ["period_start"]).unionByName(SK.distinct_templates(sketches).withColumn("period_start", F.lit(None).cast("timestamp")))
+    both = est.withColumnRenamed("period_start", "_p").join(exact.unionByName(every), F.col("period_start").eqNullSafe(F.col("_p")))
+    within = F.abs(F.col("distinct_patterns") - F.col("exact")) <= F.lit(SK.distinct_error()) * F.col("exact") + 0.5
+    return ntz(both.select("period_start", "exact", within.alias("within_error")))
+
+
 def q_elevated_sample(spark, sf):
     return ntz(D.elevated_sample(stored_lines(spark, sf), k=SAMPLE_K)
                .select("period_start", "rank", "id", "host", "severity", "message"))
@@ -404,6 +441,16 @@ def q_rolling_recurrence(spark, sf):
                         "occurrences"))
 
 
+def q_rolling_year(spark, sf):
+    """Daily reviews of the last 365 days, from partials of two appends, one of them replayed."""
+    path = scratch_path(spark, "partials", uuid.uuid4().hex)
+    f = stored_findings(spark, sf)
+    for run in (0, 1, 1):
+        RC.store_partials(RC.partials(f.filter(F.dayofmonth("ts") % 2 == run), window_days=365), path, "a", run)
+    t = RC.rolling(RC.stored_partials(spark, path))
+    return ntz(t.select("review_ts", "rank", "title", "severity", "category", "days", "hours", "occurrences", "first_half", "second_half", "direction"))
+
+
 def q_trend_direction(spark, sf):
     t = R.review_table(stored_findings(spark, sf))
     return ntz(t.select("review_ts", "title", "first_half", "second_half", "direction"))

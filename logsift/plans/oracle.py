@@ -352,7 +352,8 @@ recr AS (
 
 WD = 7
 RH = 6
-REVIEW = FINDINGS + f""",
+def review(WD: int) -> str:
+    return FINDINGS + f""",
 fr AS (
   SELECT f.*, d + INTERVAL {RH} HOUR AS review_ts
   FROM fnd f, unnest(generate_series(CAST(CAST(f.ts AS DATE) - 1 AS TIMESTAMP),
@@ -419,6 +420,9 @@ wk AS (
   FROM rstat s LEFT JOIN rlines l USING (review_ts) JOIN rsum m USING (review_ts))"""
 
 
+REVIEW = review(WD)
+
+
 def _q(cte: str, select: str) -> str:
     return "WITH " + cte.strip() + "\n" + select
 
@@ -667,4 +671,19 @@ issues AS (
 SELECT site, period_start, CAST(row_number() OVER (PARTITION BY site, period_start ORDER BY sev DESC, occurrences DESC, first_rank, title) - 1 AS INTEGER) AS pos,
   title, ['info', 'warning', 'error', 'critical'][sev + 1] AS severity, category, occurrences, recommendation
 FROM issues"""
+    q["rolling_year"] = _q(review(365).split(",\nrstat AS")[0],
+                           "SELECT review_ts, rank, title, severity, category, days, hours, occurrences, first_half, second_half, direction FROM rt")
+    noisy = """
+WITH lines AS (
+  SELECT event_id AS id, ts, date_trunc('day', ts) AS period_start,
+    CASE WHEN event_id % 3 = 0 OR day(ts) % 5 < 2 THEN 'lone ' || translate(CAST(event_id AS VARCHAR), '0123456789', 'klmnopqrst')
+         ELSE 'often ' || chr(CAST(97 + least(event_id % 64, 7 + event_id % 2) AS INTEGER)) END AS template FROM events)"""
+    q["top_templates_two_pass"] = noisy + """
+SELECT period_start, rank, template, count FROM (
+  SELECT period_start, template, count(*) AS count,
+    CAST(row_number() OVER (PARTITION BY period_start ORDER BY count(*) DESC, min({'t': ts, 'i': id}), template) AS INTEGER) AS rank
+  FROM lines GROUP BY period_start, template) WHERE rank <= 3"""
+    q["distinct_sketches"] = noisy + """
+SELECT period_start, count(DISTINCT template) AS exact, TRUE AS within_error FROM lines GROUP BY period_start
+UNION ALL SELECT NULL, count(DISTINCT template), TRUE FROM lines"""
     return {k: v.strip() for k, v in q.items()}
