@@ -161,7 +161,8 @@ def assess_rules(parts: dict[str, DataFrame], keys: Sequence[str] = (),
     """Digest parts -> findings rows (one per period, also when it has no issue).
 
     ``rules``: a table of rules (:mod:`.rules`) instead of the built-in ones, for all sources or per
-    source if it has key columns."""
+    source if it has key columns. The payload holds all issues of a period in one row; where that may
+    be too many, use :func:`issue_rows` and :func:`finding_rows`."""
     P = pkeys(keys)
     iss = issue_candidates(parts["counts"], parts["sample"], keys, min_count, rules)
     issue = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.ISSUE.fields])
@@ -174,9 +175,7 @@ def assess_rules(parts: dict[str, DataFrame], keys: Sequence[str] = (),
                           F.sort_array(F.collect_list("item")).alias("_items"))
     issues = F.transform("_items", lambda x: x["v"])
     worst = F.array_max(F.transform(issues, lambda i: severity_rank(i["severity"])))
-    status = F.when(worst >= 2, "error").when(worst == 1, "warning").otherwise("ok")
-    summary = F.when(F.size(issues) == 0, F.format_string("No issues in %d lines", F.col("log_count"))) \
-        .otherwise(F.format_string("%d issue(s) in %d lines", F.size(issues), F.col("log_count")))
+    status, summary = _status(worst), _summary(F.size(issues), F.col("log_count"))
     return g.select(*keys, "period_start", F.col("period_end").alias("ts"),
                     status.alias("overall_status"), summary.alias("summary"),
                     F.col("log_count").cast("long").alias("log_count"),
@@ -184,6 +183,38 @@ def assess_rules(parts: dict[str, DataFrame], keys: Sequence[str] = (),
                              issues.alias("findings")).alias("payload"))
 
 
+def issue_rows(parts: dict[str, DataFrame], keys: Sequence[str] = (), min_count: int = DEFAULT_MIN_COUNT,
+               rules: DataFrame | None = None) -> DataFrame:
+    """The issues of all periods as a table of rows (keys, period_start, ts, the issue's fields, and
+    ``order``, by which a payload lists them).
+
+    A period may have any number of issues (masking that fails makes an issue of every elevated
+    line), so no row holds a period's issues together. :func:`finding_rows` gives the findings
+    that belong to them, :func:`review.review_table` and :func:`recurrence.partials` take them as ``issues``.
+    """
+    iss = issue_candidates(parts["counts"], parts["sample"], keys, min_count, rules)
+    order = F.struct((-F.col("sev_rank")).alias("severity"), (-F.col("occurrences")).alias("occurrences"), F.col("first_rank").alias("rank"), F.col("title").alias("title"))
+    return iss.select(*keys, "period_start", F.col("period_end").alias("ts"), *[F.col(f.name).cast(f.dataType) for f in schemas.ISSUE.fields], order.alias("order"))
+
+
+def finding_rows(stats: DataFrame, issues: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One finding per period without its issues: status, summary, line and issue counts."""
+    per = issues.groupBy(*keys, "period_start", "ts").agg(F.count(F.lit(1)).alias("n_issues"), F.max(severity_rank("severity")).alias("worst"))
+    u = (stats.select(*keys, "period_start", F.col("period_end").alias("ts"), F.col("total_lines").alias("log_count"), F.lit(None).cast("long").alias("n_issues"), F.lit(None).cast("int").alias("worst"))
+         .unionByName(per.select(*keys, "period_start", "ts", F.lit(None).cast("long").alias("log_count"), "n_issues", F.col("worst").cast("int").alias("worst"))))
+    g = u.groupBy(*keys, "period_start", "ts").agg(F.max("log_count").alias("log_count"), F.coalesce(F.max("n_issues"), F.lit(0)).cast("long").alias("n_issues"), F.max("worst").alias("worst"))
+    status, summary = _status(F.col("worst")), _summary(F.col("n_issues"), F.col("log_count"))
+    return g.select(*keys, "period_start", "ts", status.alias("overall_status"), summary.alias("summary"), F.col("log_count").cast("long").alias("log_count"), "n_issues")
+
+
+def _status(worst: Column) -> Column:
+    return F.when(worst >= 2, "error").when(worst == 1, "warning").otherwise("ok")
+
+
+def _summary(n: Column, log_count: Column) -> Column:
+    return F.when(n == 0, F.format_string("No issues in %d lines", log_count)).otherwise(F.format_string("%d issue(s) in %d lines", n, log_count))
+
+
 def ordered_type() -> str:
     fields = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in schemas.ISSUE.fields)
     return f"struct<a:int,b:bigint,c:struct<c:bigint,k:decimal(38,0),t:string>,d:string,v:struct<{fields}>>"

@@ -50,20 +50,21 @@ def period_minutes(period: str) -> int | None:
     return None
 
 
-def with_period(lines: DataFrame, period: str = "60 minutes", tz: str = "UTC") -> DataFrame:
-    """Tumbling period columns. Periods are aligned in ``tz`` wall clock.
-
-    Periods that divide a day (5, 15, 60 minutes, 2, 3, 6 hours, ...) align on
-    the clock marks (``:00``, ``:15``, midnight) as a wall-clock schedule would.
-    Others start anew with each larger mark, as such a schedule does: whole
-    hours at midnight (5 hours: 0, 5, 10, 15, 20; the last is shorter), minutes
-    under an hour at the full hour (7 minutes: :00, :07, .. :56). Lengths over an
-    hour that aren't whole hours are plain intervals from 1970-01-01.
+def with_period(lines: DataFrame, period: str = "60 minutes", tz: str = "UTC", start=None) -> DataFrame:
+    """Tumbling period columns.
+
+    * Whole hours align on the wall clock of ``tz`` and start anew at midnight (5 hours: 0, 5,
+      10, 15, 20; the last is shorter), as a schedule of every N hours does.
+    * Minutes that divide an hour (5, 15, 30, ...) align on the marks of each hour.
+    * Other minutes (7, 45, 50, 90, ...) can't align: they are plain intervals from ``start``
+      (an instant; default 1970-01-01 UTC). So are lengths of more than a day.
     """
     m = period_minutes(period)
     if m is not None and m <= 0:
         raise ValueError(f"period {period!r} must be positive")
-    if m is not None and 1440 % m != 0 and (m < 60 or m % 60 == 0 and m < 1440):
+    if m is not None and m % 60 and 60 % m:
+        return _plain_period(lines, m * 60, start)
+    if m is not None and 1440 % m and m < 1440:
         return _restarting_period(lines, m, tz)
     if tz.upper() == "UTC":
         w = F.window("ts", period)
@@ -73,13 +74,21 @@ def with_period(lines: DataFrame, period: str = "60 minutes", tz: str = "UTC") -
                  .withColumn("period_end", F.to_utc_timestamp(w.end, tz)))
 
 
+def _plain_period(lines: DataFrame, seconds: int, start) -> DataFrame:
+    """Periods of ``seconds`` counted from ``start``, before it too."""
+    length = F.lit(seconds * 1_000_000)
+    origin = F.lit(0) if start is None else F.unix_micros(F.lit(start).cast("timestamp"))
+    at = F.unix_micros("ts")
+    begin = at - F.pmod(at - origin, length)
+    return lines.withColumn("period_start", F.timestamp_micros(begin)).withColumn("period_end", F.timestamp_micros(begin + length))
+
+
 def _restarting_period(lines: DataFrame, minutes: int, tz: str) -> DataFrame:
-    """Periods of ``minutes`` that start anew at every full hour, or at midnight."""
+    """Periods of whole hours that start anew at midnight."""
     at = F.col("ts") if tz.upper() == "UTC" else local_ts("ts", tz)
-    mark, step = F.date_trunc("hour" if minutes < 60 else "day", at), minutes * 60
-    end_of_mark = 3600 if minutes < 60 else 86400
+    mark, step = F.date_trunc("day", at), minutes * 60
     k = F.floor((F.unix_seconds(at) - F.unix_seconds(mark)) / step).cast("long") * step
-    start, end = (F.timestamp_add("SECOND", x, mark) for x in (k, F.least(k + step, F.lit(end_of_mark))))
+    start, end = (F.timestamp_add("SECOND", x, mark) for x in (k, F.least(k + step, F.lit(86400))))
     if tz.upper() != "UTC":
         start, end = F.to_utc_timestamp(start, tz), F.to_utc_timestamp(end, tz)
     return lines.withColumn("period_start", start).withColumn("period_end", end)

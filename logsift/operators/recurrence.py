@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import seen_key
 from ..functions.text import local_label, local_ts
-from .review import REVIEW_HOUR, WINDOW_DAYS, direction, explode_issues, rank_recurrence
+from .review import REVIEW_HOUR, WINDOW_DAYS, direction, explode_issues, plain_issues, rank_recurrence
 
 DATES = ["enters", "halves", "leaves"]
 COUNTS = ["hours", "occurrences", "first_half", "second_half", "days"]
@@ -47,12 +47,13 @@ def first_review_after(ts: Column, review_hour: int = REVIEW_HOUR, tz: str = "UT
     return F.filter(near, lambda d: review_at(d, review_hour, tz) > ts)[0]
 
 
-def partials(findings: DataFrame, keys: Sequence[str] = (), window_days: int = WINDOW_DAYS, review_hour: int = REVIEW_HOUR, tz: str = "UTC") -> DataFrame:
-    """Partials of some findings: keys, title, severity, category, day, ``DATES``, hours, occurrences, first_key."""
+def partials(findings: DataFrame | None, keys: Sequence[str] = (), window_days: int = WINDOW_DAYS, review_hour: int = REVIEW_HOUR, tz: str = "UTC",
+             issues: DataFrame | None = None) -> DataFrame:
+    """Partials of some findings, or of a table of issues (:func:`assess.issue_rows`): keys, title, severity, category, day, ``DATES``, hours, occurrences, first_key."""
     def later(seconds: int) -> Column:
         return first_review_after(F.timestamp_add("SECOND", F.lit(seconds), F.col("ts")), review_hour, tz)
 
-    issues = explode_issues(findings, keys)
+    issues = explode_issues(findings, keys) if issues is None else plain_issues(issues, keys)
     rows = issues.select(*keys, "title", "severity", "category", local_label("ts", "yyyy-MM-dd", tz).alias("day"),
                          later(0).alias("enters"), later(window_days * 43200).alias("halves"), later(window_days * 86400).alias("leaves"),
                          "occurrences", seen_key("ts", "pos").alias("first_key"))

@@ -47,6 +47,14 @@ def explode_issues(findings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def plain_issues(issues: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Issue rows as :func:`explode_issues` gives them. A title is there once per period, so the
+    place among the period's issues doesn't matter."""
+    return issues.select(*keys, "period_start", "ts", F.lit(0).alias("pos"), F.coalesce("title", F.lit("(untitled)")).alias("title"),
+                         F.coalesce("severity", F.lit("info")).alias("severity"), F.coalesce("category", F.lit("")).alias("category"),
+                         F.coalesce("occurrences", F.lit(0)).cast("long").alias("occurrences"))
+
+
 def recurrence(issues: DataFrame, keys: Sequence[str] = (), tz: str = "UTC",
                split_at: Column | None = None) -> DataFrame:
     """Per (keys, title): hours, occurrences, days, first-sighting severity / category.
@@ -138,12 +146,13 @@ def trends(issues: DataFrame, keys: Sequence[str], window_days: int = WINDOW_DAY
     return t.withColumn("direction", direction())
 
 
-def review_table(findings: DataFrame, keys: Sequence[str] = (), window_days: int = WINDOW_DAYS,
-                 review_hour: int = REVIEW_HOUR, tz: str = "UTC", as_of=None) -> DataFrame:
-    """Ranked recurrence per (keys, review_ts) with trend direction."""
+def review_table(findings: DataFrame | None, keys: Sequence[str] = (), window_days: int = WINDOW_DAYS,
+                 review_hour: int = REVIEW_HOUR, tz: str = "UTC", as_of=None, issues: DataFrame | None = None) -> DataFrame:
+    """Ranked recurrence per (keys, review_ts) with trend direction, of the issues in ``findings`` or of
+    a table of ``issues`` (:func:`assess.issue_rows`)."""
     rk = list(keys) + ["review_ts"]
     # issues are unnested first: narrow rows, not payloads, are copied to their reviews
-    iss = explode_issues(findings, keys)
+    iss = explode_issues(findings, keys) if issues is None else plain_issues(issues, keys)
     iss = (assign_reviews(iss, window_days, review_hour, tz) if as_of is None else reviewed_as_of(iss, as_of, window_days))
     # One aggregation gives the recurrence and the trend halves (no second
     # shuffle, no join back).

@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -264,6 +264,17 @@ def q_tumbling_digest(spark, sf):
                         "elevated_count", F.col("templates")[0]["template"].alias("top_template")))
 
 
+#: Lengths that don't divide a day or an hour, and where the plain intervals start.
+ODD_PERIODS, ODD_START = ["7 minutes", "50 minutes", "300 minutes"], "2024-01-01 00:03:00"
+
+
+def q_odd_periods(spark, sf):
+    base = stored_lines(spark, sf)
+    start = F.lit(ODD_START).cast("timestamp")
+    each = [D.digest_stats(D.template_counts(D.with_period(base, p, start=start))).withColumn("period", F.lit(p)) for p in ODD_PERIODS]
+    return ntz(each[0].unionByName(each[1]).unionByName(each[2]))
+
+
 # ── assessment and findings ─────────────────────────────────────────────────
 
 def assessed(spark, sf) -> DataFrame:
@@ -277,6 +288,22 @@ def q_assess_rules(spark, sf):
                         "i.evidence"))
 
 
+def q_issue_rows(spark, sf):
+    """Findings without payloads and their issues as rows: the same as the payloads hold."""
+    p = parts(spark, sf)
+    issues = A.issue_rows(p)
+    f = A.finding_rows(p["stats"], issues)
+    place = Window.partitionBy("period_start").orderBy("order")
+    x = issues.select("period_start", (F.row_number().over(place) - 1).alias("pos"), "title", "occurrences", "detail")
+    return ntz(f.join(x, "period_start", "left").select("period_start", "ts", "overall_status", "summary", "log_count", "n_issues", "pos", "title", "occurrences", "detail"))
+
+
+def q_issue_recurrence(spark, sf):
+    """Daily reviews of the issues that the rules found, from rows and partials, no payload."""
+    t = RC.rolling(RC.partials(None, issues=A.issue_rows(parts(spark, sf))))
+    return ntz(t.select("review_ts", "title", "severity", "days", "hours", "occurrences", "direction"))
+
+
 def rare_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of ``events`` with 90 noisy templates a day and a few single severe lines."""
     e = F.col("event_id")

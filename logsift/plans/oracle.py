@@ -7,9 +7,21 @@ masked with the word boundaries written out.
 
 from __future__ import annotations
 
-from ..functions.template import MASKS
 from . import catalog as C
 
+# The eight masks in their order, written out here so that a change of the
+# implementation's own list shows.
+MASKS = [
+    (r"\b[0-9A-Fa-f]{2}(:[0-9A-Fa-f]{2}){5}\b", "<MAC>"),
+    (r"\b(?:[0-9A-Fa-f]{1,4}:){2,7}[0-9A-Fa-f]{1,4}\b", "<IPV6>"),
+    (r"\b\d{1,3}(\.\d{1,3}){3}\b", "<IP>"),
+    (r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}\S*", "<TS>"),
+    (r"\b\d{2}:\d{2}:\d{2}\b", "<TIME>"),
+    (r"\b0x[0-9A-Fa-f]+\b", "<HEX>"),
+    (r"\b[0-9A-Fa-f]{12,}\b", "<HEX>"),
+    (r"\b\d+\b", "<N>"),
+]
+
 # Python's whitespace set, spelled out for RE2.
 PYWS = r"[\t\n\x{0b}\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -686,4 +698,27 @@ SELECT period_start, rank, template, count FROM (
     q["distinct_sketches"] = noisy + """
 SELECT period_start, count(DISTINCT template) AS exact, TRUE AS within_error FROM lines GROUP BY period_start
 UNION ALL SELECT NULL, count(DISTINCT template), TRUE FROM lines"""
+    odd = [("7 minutes", "time_bucket(INTERVAL '7 minutes', ts, TIMESTAMP '2024-01-01 00:03:00')", "s + INTERVAL 7 MINUTE"),
+           ("50 minutes", "time_bucket(INTERVAL '50 minutes', ts, TIMESTAMP '2024-01-01 00:03:00')", "s + INTERVAL 50 MINUTE"),
+           ("300 minutes", "date_trunc('day', ts) + INTERVAL 5 HOUR * (hour(ts) // 5)", "least(s + INTERVAL 5 HOUR, date_trunc('day', s) + INTERVAL 1 DAY)")]
+    q["odd_periods"] = _q(PARSED, " UNION ALL ".join(
+        f"SELECT s AS period_start, {end} AS period_end, count(*) AS total_lines, count(DISTINCT template) AS distinct_patterns, "
+        f"count(*) FILTER (WHERE severity <= 4) AS elevated_count, '{name}' AS period FROM (SELECT {start} AS s, {templ('message')} AS template, severity FROM lines) GROUP BY s"
+        for name, start, end in odd))
+    q["issue_rows"] = _q(assessed(), """
+SELECT fb.period_start, fb.ts, fb.overall_status, fb.summary, CAST(fb.log_count AS BIGINT) AS log_count, CAST(fb.n_issues AS BIGINT) AS n_issues,
+  gi.pos, gi.title, gi.occurrences, gi.detail
+FROM fb LEFT JOIN gi ON gi.period_start = fb.period_start""")
+    q["issue_recurrence"] = _q(assessed() + """,
+seen AS (
+  SELECT g.title, g.sev_name AS severity, g.occurrences, g.period_end AS ts, d + INTERVAL 6 HOUR AS review_ts
+  FROM gi g, unnest(generate_series(CAST(CAST(g.period_end AS DATE) - 1 AS TIMESTAMP), CAST(CAST(g.period_end AS DATE) + 8 AS TIMESTAMP), INTERVAL 1 DAY)) AS x(d)
+  WHERE g.period_end < d + INTERVAL 6 HOUR AND g.period_end >= d + INTERVAL 6 HOUR - INTERVAL 7 DAY),
+halves AS (
+  SELECT review_ts, title, arg_min(severity, ts) AS severity, count(DISTINCT CAST(ts AS DATE)) AS days, count(*) AS hours, CAST(sum(occurrences) AS BIGINT) AS occurrences,
+    count(*) FILTER (WHERE ts < review_ts - INTERVAL 84 HOUR) AS a, count(*) FILTER (WHERE ts >= review_ts - INTERVAL 84 HOUR) AS b
+  FROM seen GROUP BY review_ts, title)""", """
+SELECT review_ts, title, severity, days, hours, occurrences,
+  CASE WHEN a = 0 THEN 'new' WHEN b = 0 THEN 'resolved' WHEN b >= a * 1.5 THEN 'increasing' WHEN b * 1.5 <= a THEN 'decreasing' ELSE 'steady' END AS direction
+FROM halves""")
     return {k: v.strip() for k, v in q.items()}

@@ -98,14 +98,17 @@ def test_plan_hash_aggregate_and_group_limit(spark):
 
 
 def test_periods_that_do_not_divide_a_day(spark):
-    """Hours start anew at midnight, minutes at the full hour; the last period is shorter."""
+    """Hours start anew at midnight; minutes that don't divide an hour are plain intervals from a start."""
     import datetime as dt
     at = [dt.datetime(2024, 1, 2, 0, 3), dt.datetime(2024, 1, 2, 4, 59), dt.datetime(2024, 1, 2, 23, 58)]
     df = spark.createDataFrame([(i, t, "h", 3, "m") for i, t in enumerate(at)], "id long, ts timestamp, host string, severity int, message string")
     hours = [(r["period_start"].hour, r["period_end"].hour) for r in D.with_period(df, "5 hours").orderBy("id").collect()]
     assert hours == [(0, 5), (0, 5), (20, 0)]
-    minutes = [(r["period_start"].minute, r["period_end"].minute) for r in D.with_period(df, "7 minutes").orderBy("id").collect()]
-    assert minutes == [(0, 7), (56, 0), (56, 0)]
+    for m, start in ((7, None), (45, None), (50, dt.datetime(2024, 1, 2, 3, 1)), (90, dt.datetime(2024, 1, 1))):
+        origin, step = start or dt.datetime(1970, 1, 1), dt.timedelta(minutes=m)
+        got = [(r["period_start"], r["period_end"]) for r in D.with_period(df, f"{m} minutes", start=start).orderBy("id").collect()]
+        want = [origin + (t - origin) // step * step for t in at]
+        assert got == [(w, w + step) for w in want]
     local = [r["period_start"] for r in D.with_period(df, "5 hours", "America/Chicago").orderBy("id").collect()]
     assert local[0] == dt.datetime(2024, 1, 1, 21)  # 15:00 in Chicago
 
