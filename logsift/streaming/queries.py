@@ -11,7 +11,9 @@ from ..operators import assess as A
 from ..operators import consume as CO
 from ..operators import digest as D
 from ..operators import findings as FS
+from ..operators import ledger as L
 from ..operators import review as R
+from ..operators import stored as ST
 from ..plans.catalog import ntz, stored_findings, stored_lines
 from ..session import scratch_path
 from ..sources import testdata as TD
@@ -156,6 +158,43 @@ def q_consume_batch(spark: SparkSession, sf: str) -> DataFrame:
     return ntz(f.select("run", "site", "period_start", "ts", "log_count"))
 
 
+#: Cutoffs of the ledger's runs; run r fails on hours with more than r lines modulo 4.
+LEDGER_CUTOFFS = ["2024-01-10 00:00:00", "2024-01-20 06:30:00", "2024-01-25 00:00:00"]
+
+
+def _fails_above(r: int):
+    class Fails(A.ElevatedCountAssessor):
+        def assess(self, digest_text: str, stats: dict) -> dict:
+            if stats["total_lines"] % 4 > r:
+                raise RuntimeError(f"no answer in run {r}")
+            return super().assess(digest_text, stats)
+    return Fails
+
+
+def q_ledger_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Three runs with failures: hours that are done, hours still pending, and their findings."""
+    root = scratch_path(spark, "ledger", uuid.uuid4().hex)
+    for r, cutoff in enumerate(LEDGER_CUTOFFS):
+        book = L.run(stored_lines(spark, sf), f"{root}/findings", f"{root}/ledger", _fails_above(r), cutoff)
+    f = spark.read.parquet(f"{root}/findings").select(F.col("period_start").alias("_p"), "log_count")
+    return ntz(book.join(f, F.col("_p") == F.col("period_start"), "left").select("period_start", "period_end", "state", "attempts", "last_error", "log_count"))
+
+
+def q_monitor_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The monitoring row from stored tables: counts from footers, the newest day for the last time."""
+    root = scratch_path(spark, "monitor", uuid.uuid4().hex)
+    CO.buffer_lines(stored_lines(spark, sf).drop("log_date"), f"{root}/raw_logs")
+    FS.append_new(stored_findings(spark, sf), f"{root}/findings")
+    return ntz(ST.monitor_stored(spark, f"{root}/raw_logs", f"{root}/findings"))
+
+
+def q_history_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest 100 findings of a stored table, read from its newest days."""
+    path = scratch_path(spark, "history", uuid.uuid4().hex)
+    FS.append_new(stored_findings(spark, sf), path)
+    return ntz(ST.history_stored(spark, path, 100).select("period_start", "ts", "overall_status"))
+
+
 #: Days of one arriving file, and the share of lines that come a file late.
 ARRIVAL_DAYS, LATE_EVERY = 5, 50
 
