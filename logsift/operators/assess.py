@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.severity import ladder_name, severity_name, severity_rank
+from .calls import Caller, CallPolicy
 from .digest import pkeys
 from .rules import COLUMNS, first_rules
 
@@ -220,6 +221,9 @@ def ordered_type() -> str:
     return f"struct<a:int,b:bigint,c:struct<c:bigint,k:decimal(38,0),t:string>,d:string,v:struct<{fields}>>"
 
 
+#: One call after another, no retry and no limits.
+ONE_BY_ONE = CallPolicy()
+
 # ── plug-in assessors ────────────────────────────────────────────────────────
 
 class Assessor:
@@ -247,28 +251,29 @@ class ElevatedCountAssessor(Assessor):
                 "findings": findings}
 
 
-def assess_with(digests: DataFrame, assessor_factory, keys: Sequence[str] = ()) -> DataFrame:
-    """Run a plug-in assessor over digest rows with ``mapInPandas``.
+def assess_with(digests: DataFrame, assessor_factory, keys: Sequence[str] = (), policy: CallPolicy = ONE_BY_ONE) -> DataFrame:
+    """Run a plug-in assessor over digest rows with ``mapInPandas``; ``policy`` says how many calls a
+    task has in flight, and sets retries, a time limit and a rate.
 
     ``assessor_factory()`` is called once per task (one client per task).
     A digest whose assessment raises gets ``error`` set and no payload, so a
     caller can keep its input for the next run instead of storing a finding.
     """
     return _assess(digests, assessor_factory, pkeys(keys) + ["total_lines"],
-                   ["total_lines", "distinct_patterns", "elevated_count"])
+                   ["total_lines", "distinct_patterns", "elevated_count"], policy)
 
 
-def assess_reviews_with(reviews: DataFrame, assessor_factory, keys: Sequence[str] = ()) -> DataFrame:
+def assess_reviews_with(reviews: DataFrame, assessor_factory, keys: Sequence[str] = (), policy: CallPolicy = ONE_BY_ONE) -> DataFrame:
     """Run a plug-in assessor over review rows (:func:`review.build_reviews`).
 
     Its stats are ``finding_count``, ``distinct_findings`` and ``status_counts`` (a
     dict); failures are marked as in :func:`assess_with`.
     """
     kept = [*keys, "ts", "period_start", "period_end", "window_days", "finding_count", "distinct_findings"]
-    return _assess(reviews, assessor_factory, kept, ["finding_count", "distinct_findings", "status_counts"])
+    return _assess(reviews, assessor_factory, kept, ["finding_count", "distinct_findings", "status_counts"], policy)
 
 
-def _assess(digests: DataFrame, assessor_factory, kept: list[str], stat_cols: list[str]) -> DataFrame:
+def _assess(digests: DataFrame, assessor_factory, kept: list[str], stat_cols: list[str], policy: CallPolicy) -> DataFrame:
     cols = list(dict.fromkeys([*kept, *stat_cols, "digest_text"]))
     out_schema = (", ".join(f"`{c}` {t}" for c, t in _types(digests, kept))
                   + ", payload_json string, error string")
@@ -280,16 +285,11 @@ def _assess(digests: DataFrame, assessor_factory, kept: list[str], stat_cols: li
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         assessor = assessor_factory()
+        # an answer that isn't JSON is the call's failure, too
+        caller = Caller(lambda text, stats: json.dumps(assessor.assess(text, stats)), policy)
         for pdf in batches:
-            payloads, errors = [], []
-            for row in pdf.itertuples(index=False):
-                stats = {c: plain(getattr(row, c)) for c in stat_cols}
-                try:
-                    payloads.append(json.dumps(assessor.assess(row.digest_text, stats)))
-                    errors.append(None)
-                except Exception as exc:  # keep the row, mark it failed
-                    payloads.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc}")
+            answers = caller.all((row.digest_text, {c: plain(getattr(row, c)) for c in stat_cols}) for row in pdf.itertuples(index=False))
+            payloads, errors = [a for a, _ in answers], [e for _, e in answers]  # a failed row is kept and marked
             out = pdf[kept].copy()
             out["payload_json"] = payloads
             out["error"] = errors

@@ -732,4 +732,8 @@ SELECT period_start, period_end, CASE WHEN k <= 2 THEN 'done' ELSE 'pending' END
 FROM runs WHERE r IS NOT NULL""")
     q["monitor_stored"] = q["monitor_snapshot"]
     q["history_stored"] = _q(FINDINGS, "SELECT period_start, ts, overall_status FROM fnd ORDER BY ts DESC LIMIT 100")
+    q["plugin_retries"] = _q(with_period(), """
+SELECT period_start, total_lines, CASE WHEN total_lines % 3 = 2 THEN 'RuntimeError: busy' END AS error,
+  CASE WHEN total_lines % 3 <> 2 THEN elevated_count || ' elevated of ' || total_lines END AS summary FROM stats""")
+    q["stream_counts_compacted"] = q["stream_top_templates"]
     return {k: v.strip() for k, v in q.items()}

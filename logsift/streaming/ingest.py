@@ -28,6 +28,7 @@ from ..operators import digest as D
 from ..operators import findings as FS
 from ..session import scratch_path
 from ..sources.tables import materialize
+from .compact import compact, counts
 
 
 def lines_stream(spark: SparkSession, path: str, fmt: str = "text",
@@ -184,12 +185,13 @@ def consume_once(stream: DataFrame, findings_path: str, checkpoint: str | None =
 
 def run_continuous_counts(stream: DataFrame, out_path: str, checkpoint: str | None = None,
                           keys: Sequence[str] = (), period: str = "60 minutes",
-                          available_now: bool = True) -> None:
+                          available_now: bool = True, compact_every: int | None = None) -> None:
     """Append each micro-batch's template counts per (keys, period) to ``out_path``.
 
     Counts of a period add up (:func:`continuous_counts`), so there is no watermark: a late line
     corrects its period whenever it comes, and the period that is still open is there as
-    far as it came. A replayed batch replaces its own rows (partition by query and batch).
+    far as it came. A replayed batch replaces its own rows (partition by query and batch). With
+    ``compact_every``, committed batches are merged by day after so many (:mod:`.compact`).
     """
     spark = stream.sparkSession
     checkpoint = checkpoint or scratch_path(spark, "continuous", "checkpoint")
@@ -197,9 +199,11 @@ def run_continuous_counts(stream: DataFrame, out_path: str, checkpoint: str | No
     def run(batch: DataFrame, batch_id: int) -> None:
         query = _query_id(batch)
         lines = _landed(batch, query, batch_id, "id" not in batch.columns)
-        counts = D.template_counts(lines, keys, period).withColumn("source_id", F.lit(query)).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        (counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows = D.template_counts(lines, keys, period).withColumn("source_id", F.lit(query)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("source_id", "batch_id").parquet(out_path))
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact(spark, out_path, keys)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
@@ -210,8 +214,4 @@ def run_continuous_counts(stream: DataFrame, out_path: str, checkpoint: str | No
 
 def continuous_counts(spark: SparkSession, out_path: str, keys: Sequence[str] = ()) -> DataFrame:
     """Template counts per (keys, period) over all micro-batches so far."""
-    P = D.pkeys(keys)
-    return (spark.read.parquet(out_path).groupBy(*P, "template")
-            .agg(F.sum("count").cast("long").alias("count"), F.min("first_key").alias("first_key"),
-                 F.sum("elevated").cast("long").alias("elevated"), F.min("worst_severity").alias("worst_severity"),
-                 F.min("first_elevated_key").alias("first_elevated_key")))
+    return counts(spark, out_path, keys)

@@ -14,6 +14,7 @@ from ..operators import findings as FS
 from ..operators import ledger as L
 from ..operators import review as R
 from ..operators import stored as ST
+from ..operators.calls import CallPolicy
 from ..plans.catalog import ntz, stored_findings, stored_lines
 from ..session import scratch_path
 from ..sources import testdata as TD
@@ -80,6 +81,27 @@ class _FailsOnOddHours(A.ElevatedCountAssessor):
         return {"findings": payload["findings"]} if kind == 2 else payload
 
 
+class _AnswersTheSecondTime(A.ElevatedCountAssessor):
+    """Stand-in for a busy client: some digests are refused once, some always."""
+
+    def __init__(self) -> None:
+        self.asked: set[str] = set()
+
+    def assess(self, digest_text: str, stats: dict) -> dict:
+        again = digest_text in self.asked
+        self.asked.add(digest_text)
+        if stats["total_lines"] % 3 == 2 or stats["total_lines"] % 3 == 1 and not again:
+            raise RuntimeError("busy")
+        return super().assess(digest_text, stats)
+
+
+def q_plugin_retries(spark: SparkSession, sf: str) -> DataFrame:
+    """Plug-in calls, four at a time and two attempts each: what is refused twice stays an error."""
+    d = D.build_digests(stored_lines(spark, sf))
+    out = A.assess_with(d, _AnswersTheSecondTime, policy=CallPolicy(width=4, attempts=2, backoff=0.001))
+    return ntz(out.select("period_start", "total_lines", "error", F.get_json_object("payload_json", "$.summary").alias("summary")))
+
+
 def _plugin_results(spark: SparkSession, sf: str):
     d = D.build_digests(stored_lines(spark, sf))
     return FS.findings_from_payloads(A.assess_with(d, _FailsOnOddHours))
@@ -222,4 +244,13 @@ def q_closed_periods(spark: SparkSession, sf: str) -> DataFrame:
     return ntz(c.select("period_start", "period_end", "template", "count", "elevated", "worst_severity", "count_at_close", "corrections"))
 
 
+def q_stream_counts_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-hour template counts of a stream in several micro-batches, merged by day on the way."""
+    root = scratch_path(spark, "compacted", uuid.uuid4().hex)
+    arrivals(spark, sf, f"{root}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    I.run_continuous_counts(stream, f"{root}/counts", f"{root}/checkpoint", compact_every=3)
+    return ntz(D.top_templates(I.continuous_counts(spark, f"{root}/counts"), k=3).select("period_start", "rank", "template", "count"))
+
+
 STREAM_QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_")}
