@@ -6,13 +6,14 @@ an empty host and path. A rule ``host/path`` fits its host and all subdomains
 if the path starts with the rule's; the longest rule wins.
 
 URLs under no rule are judged by templates. A path's segments are generalised
-(runs of digits and long hexadecimal runs become ``*``, overlong segments too,
-segments beyond ``DEPTH`` become one ``**``), and the distinct generalised paths
+(runs of digits and long hexadecimal runs become ``*``), and the distinct generalised paths
 of each host, with their numbers of rows and of labelled rows, form a tree.
 Level by level, children whose labels differ significantly from those of their
 siblings (two-proportion z test) stay on their own, however few rows they hold.
-Of the others, those with a small share of the rows of a node with many children
-become ``*``, and the rest are merged into one branch ``~``. A template's purity is its share of good labels, smoothed
+Of the others, those with under ``SMALL_SHARE`` of their node's rows
+become ``*``, and the rest are merged into one branch ``~``. The tree grows while a node holds
+several paths; a path that is alone in its node keeps its further segments as they are.
+A template's purity is its share of good labels, smoothed
 by its parent's purity with the weight of ``SMOOTH`` labels, from the share over
 all hosts down. Templates under ``PURITY`` are rejected.
 
@@ -33,11 +34,9 @@ from pyspark.sql import functions as F
 from .blocks import written
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-DEPTH = 5
-MAX_CHILDREN, SMALL_SHARE = 20, 0.05
+SMALL_SHARE = 0.05
 Z = 1.96
 SMOOTH, PURITY = 10.0, 0.5
-LONG_SEGMENT = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,9 +61,7 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 def segments(path: Column) -> Column:
     """Generalised segments of a path; what ends in ``/`` ends in an empty segment."""
     parts = F.slice(F.split(path, "/"), 2, 1 << 30)
-    general = F.transform(parts, lambda s: F.when(F.length(s) > LONG_SEGMENT, F.lit("*")).otherwise(
-        F.regexp_replace(F.regexp_replace(s, r"(?i)\b(?=[a-f]*\d)[0-9a-f-]{8,}\b", "*"), r"\d+", "*")))
-    return F.when(F.size(general) > DEPTH, F.concat(F.slice(general, 1, DEPTH), F.array(F.lit("**")))).otherwise(general)
+    return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"(?i)\b(?=[a-f]*\d)[0-9a-f-]{8,}\b", "*"), r"\d+", "*"))
 
 
 def template_tree(paths: DataFrame) -> DataFrame:
@@ -76,27 +73,42 @@ def template_tree(paths: DataFrame) -> DataFrame:
     whole = tree.groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
     whole = whole.select("host", ((F.col("g") + SMOOTH * prior) / (F.col("g") + F.col("b") + SMOOTH)).alias("purity"))
     tree = tree.join(whole, "host")
-    for level in range(DEPTH + 1):
+    kept = ["host", "segments", "template", "purity"]
+    done, level = [], 0
+    while True:
         tree = written(tree.withColumn("segment", F.get("segments", F.lit(level))), "tree")
-        child = tree.where("segment is not null").groupBy("host", "template", "segment").agg(
-            F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"), F.min("purity").alias("parent"))
-        node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), F.sum("g").alias("all_g"), F.sum("b").alias("all_b"))
-        child = child.join(node, ["host", "template"])
+        # paths that end here, or are alone in their node, have their template
+        node = tree.groupBy("host", "template").agg(
+            F.count(F.lit(1)).alias("paths"), F.count_distinct("segment").alias("children"), F.sum(F.when(F.col("segment").isNotNull(), F.col("n"))).alias("all_n"),
+            F.sum(F.when(F.col("segment").isNotNull(), F.col("good"))).alias("all_g"), F.sum(F.when(F.col("segment").isNotNull(), F.col("bad"))).alias("all_b"))
+        at_end = F.col("segment").isNull() | (F.col("paths") == 1)
+        here = tree.join(node, ["host", "template"])
+        rest_of = F.concat_ws("", F.transform(F.slice("segments", level + 1, 1 << 30), lambda s: F.concat(F.lit("/"), s)))
+        done.append(here.where(at_end).withColumn("template", F.concat("template", rest_of)).select(*kept))
+        here = here.where(~at_end)
+        if here.isEmpty():
+            break
+        child = here.groupBy("host", "template", "segment").agg(
+            F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"), F.min("purity").alias("parent"),
+            *[F.min(c).alias(c) for c in ("children", "all_n", "all_g", "all_b")])
         mine, rest = F.col("g") + F.col("b"), F.col("all_g") + F.col("all_b") - F.col("g") - F.col("b")
         share = F.col("all_g") / (F.col("all_g") + F.col("all_b"))
         apart = F.abs(F.col("g") / mine - (F.col("all_g") - F.col("g")) / rest) / F.sqrt(share * (1 - share) * (1 / mine + 1 / rest))
         differs = F.when((mine > 0) & (rest > 0) & (share > 0) & (share < 1), apart > Z).otherwise(False)
-        name = (F.when(F.col("segment").isin("", "**"), F.col("segment"))
-                .when((F.col("children") > MAX_CHILDREN) & (F.col("n") < SMALL_SHARE * F.col("all_n")) & ~differs, "*")
+        name = (F.when(F.col("segment") == "", F.col("segment"))
+                .when((F.col("n") < SMALL_SHARE * F.col("all_n")) & ~differs, "*")
                 .when((F.col("children") > 1) & ~differs & (F.col("segment") != "*"), "~").otherwise(F.col("segment")))
         child = child.withColumn("branch", name)
         branch = child.groupBy("host", "template", "branch").agg(F.sum("g").alias("g"), F.sum("b").alias("b"), F.min("parent").alias("parent"))
         branch = branch.select("host", "template", "branch", ((F.col("g") + SMOOTH * F.col("parent")) / (F.col("g") + F.col("b") + SMOOTH)).alias("below"))
         named = child.select("host", "template", "segment", "branch").join(branch, ["host", "template", "branch"])
-        tree = tree.join(named, ["host", "template", "segment"], "left").select(
-            "host", "segments", "n", "good", "bad", F.concat("template", F.coalesce(F.concat(F.lit("/"), "branch"), F.lit(""))).alias("template"),
-            F.coalesce("below", "purity").alias("purity"))
-    return tree.select("host", "segments", "template", "purity")
+        tree = here.join(named, ["host", "template", "segment"]).select(
+            "host", "segments", "n", "good", "bad", F.concat("template", F.lit("/"), "branch").alias("template"), F.col("below").alias("purity"))
+        level += 1
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None,

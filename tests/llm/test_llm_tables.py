@@ -157,6 +157,22 @@ def test_url_small_bad_section(spark):
     assert {(r.kind, r.verdict) for r in got} == {(k, "block" if k == "sectionc" else "allow") for k in kinds}
 
 
+def test_url_deep_and_long_segments(spark):
+    """A verdict that depends on the eighth segment, one that depends on a long segment's end, and the
+    same verdicts for 20 children as for 21; a very deep path alone in its host needs no levels."""
+    deep = "a/b/c/d/e/f/g"
+    long = "x" * 90
+    pages = [(i, f"http://h.net/{deep}/{kind}/{'pqrs'[i % 4]}") for i in range(40) for kind in ("shop", "news")]
+    pages += [(i, f"http://l.net/{long}{kind}/{'pqrs'[i % 4]}") for i in range(40) for kind in ("shop", "news")]
+    pages += [(0, "http://one.net/" + "z/" * 3000)]
+    pages += [(i, f"http://n{n}.net/{chr(97 + k)}{kind}/v") for n in (20, 21) for k in range(n) for kind in ("shop",) for i in range(4)]
+    df = spark.createDataFrame(pages, "page_id int, url string")
+    labelled = spark.createDataFrame([(u, "news" in u) for _, u in pages if "shop" in u or "news" in u], "url string, good boolean")
+    got = {(r.host, "shop" if "shop" in r.path else "news"): r.verdict for r in urls.judge(df, labelled=labelled).collect()}
+    assert got == {("h.net", "shop"): "block", ("h.net", "news"): "allow", ("l.net", "shop"): "block", ("l.net", "news"): "allow", ("one.net", "news"): "block",  # no label of its own: the share over all hosts
+                   ("n20.net", "shop"): "block", ("n21.net", "shop"): "block"}
+
+
 def test_archives(spark):
     rows = [(5, "http://a/ b\n", "same"), (3, None, "same"), (9, "http://é/", None), (8, "", ""), (7, "u", "body\r\n\r\nWARC/1.1\r\n\r\nfiledesc://x 1\n"), (7, "u", "body\r\n\r\nWARC/1.1\r\n\r\nfiledesc://x 1\n"),
             (None, "n", "same"), (None, "n", "only null"), (6, "long", "ü" * 700_000)]
