@@ -178,7 +178,7 @@ def document_probabilities(p: dict[str, np.ndarray], data: np.ndarray, offsets:
 
 def training_runs(docs: DataFrame, text: str, lang: str, doc_id: str, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """The bounded sample: runs of bytes, language numbers, languages. Only the sampled
-    documents' runs come to the driver."""
+    documents' runs come to the driver; rows that repeat an id and language count as one."""
     d = (docs.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
          .where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
@@ -197,7 +197,8 @@ def training_runs(docs: DataFrame, text: str, lang: str, doc_id: str, per_langua
     # at most per_language rows a language: a bounded side
     found = (d.withColumn("id", F.col("id").cast("long"))
              .join(F.broadcast(chosen.withColumn("id", F.col("id").cast("long")).distinct()), ["id", "lang"])
-             .select("lang", "id", "text").mapInArrow(cut, "lang string, id long, run binary").toPandas())
+             .groupBy("lang", "id").agg(F.max("text").alias("text"))  # repeated rows count once
+             .mapInArrow(cut, "lang string, id long, run binary").toPandas())
     found = found.sort_values(["lang", "id", "run"], kind="stable")
     names = sorted(found["lang"].unique())
     x = np.frombuffer(b"".join(map(bytes, found["run"])), np.uint8).reshape(-1, TRAIN_SPAN)
