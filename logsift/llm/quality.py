@@ -189,11 +189,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE)
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", keep: float = KEEP, per_class: int = SAMPLE,
           doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id``, the base columns, ``base_failed``, ``probability`` of good quality (null
-    without a model) and ``kept``, a row per row of ``docs``."""
+    """``doc_id``, the base columns, ``base_failed``, ``probability`` of good quality (null where
+    not both qualities are labelled: then there is no model) and ``kept``, a row per row of ``docs``."""
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sample, y = labelled_sample(given, labels, per_class)
-    model = fit(sample, y) if min((y == 1).sum(), (y == 0).sum()) >= 10 else None
+    model = fit(sample, y) if len(set(y.tolist())) == 2 else None
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
