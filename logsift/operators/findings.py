@@ -267,7 +267,9 @@ def _ties(df: DataFrame) -> list[Column]:
 
 
 def since(df: DataFrame, since_ts) -> DataFrame:
-    """Rows with ``ts >= since`` oldest first."""
+    """Rows with ``ts >= since`` oldest first. On a stored table the day bound prunes partitions."""
+    if "period_date" in df.columns:
+        df = df.filter(F.col("period_date") >= F.to_date(F.lit(since_ts).cast("timestamp")))
     return df.filter(F.col("ts") >= F.lit(since_ts).cast("timestamp")).orderBy("ts", *_ties(df))
 
 

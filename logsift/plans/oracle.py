@@ -736,4 +736,5 @@ FROM runs WHERE r IS NOT NULL""")
 SELECT period_start, total_lines, CASE WHEN total_lines % 3 = 2 THEN 'RuntimeError: busy' END AS error,
   CASE WHEN total_lines % 3 <> 2 THEN elevated_count || ' elevated of ' || total_lines END AS summary FROM stats""")
     q["stream_counts_compacted"] = q["stream_top_templates"]
+    q["payload_stream"] = f'SELECT "offset", pos, host, severity, message FROM ({q["hard_lines"]})'
     return {k: v.strip() for k, v in q.items()}

@@ -90,6 +90,7 @@ def numbered(lines: DataFrame, start: int = 0) -> DataFrame:
     the lines have them. The order is a range shuffle and the numbers are offsets of its
     partitions, so no task sees all lines; write the result before using it twice."""
     order = [c for c in ("topic", "partition", "offset", "pos") if c in lines.columns]
+    spark = lines.sparkSession
     rows = lines.repartitionByRange(*order).sortWithinPartitions(*order) if order else lines
     rows = materialize(rows.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "numbered")
     # rows of a partition before it: one row per partition
@@ -98,9 +99,9 @@ def numbered(lines: DataFrame, start: int = 0) -> DataFrame:
     for p in sorted(counts):
         before[p], total = total, total + counts[p]
     # the written number holds the place in its partition in its lower 33 bits
-    base = F.create_map(*[F.lit(x) for p, n in before.items() for x in (p, n)]) if before else F.create_map(F.lit(0), F.lit(0))
+    base = spark.createDataFrame(list(before.items()), "_p int, _base long")
     place = F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn("id", (F.try_element_at(base, F.col("_p")) + place).cast("long")).drop("_p", "_i")
+    return rows.join(base, "_p").withColumn("id", (F.col("_base") + place).cast("long")).drop("_p", "_i", "_base")
 
 
 def kafka_lines_stream(spark: SparkSession, ts_col: str | None = None, **options: str) -> DataFrame:

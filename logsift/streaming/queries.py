@@ -15,7 +15,7 @@ from ..operators import ledger as L
 from ..operators import review as R
 from ..operators import stored as ST
 from ..operators.calls import CallPolicy
-from ..plans.catalog import ntz, stored_findings, stored_lines
+from ..plans.catalog import hard_payloads, ntz, stored_findings, stored_lines
 from ..session import scratch_path
 from ..sources import testdata as TD
 from . import ingest as I
@@ -41,6 +41,18 @@ def q_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     return ntz(spark.read.parquet(out).select("id", "ts", "host", "facility", "severity", "message"))
 
 
+def q_payload_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Payload records (key, value, partition, offset, timestamp) as a stream of several micro-batches:
+    decoded, framed, parsed and named by partition, offset and place."""
+    root = scratch_path(spark, "payloads", uuid.uuid4().hex)
+    hard_payloads(spark, sf).repartition(3, "offset").write.parquet(f"{root}/in")
+    src = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    q = (I.payload_lines(src, ts_col="timestamp").writeStream.format("parquet").option("path", f"{root}/lines")
+         .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/lines").select("offset", F.col("pos").cast("int").alias("pos"), "host", "severity", "message")
+
+
 def q_consume_once(spark: SparkSession, sf: str) -> DataFrame:
     """Evaluate all buffered lines once (availableNow + foreachBatch), store findings."""
     run = uuid.uuid4().hex
