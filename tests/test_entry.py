@@ -18,5 +18,5 @@ def test_contract_keys():
     """Every query but those of the optional training-data operators has its SQL."""
     qs, sql = E.queries(), E.oracle_sql()
     own = {q for q in qs if q != "pipeline" and not (q.startswith("op") and q[2].isdigit())}
-    assert len(own) == 60 and all(callable(f) for f in qs.values())
+    assert len(own) == 75 and all(callable(f) for f in qs.values())
     assert set(sql) <= set(qs) and own <= set(sql)
