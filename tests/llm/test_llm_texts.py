@@ -285,3 +285,42 @@ def test_equal_hashes_are_compared_by_bytes(monkeypatch):
     raw = w.data.tobytes()
     every = [raw[s:e] for s, e in zip(w.start, w.end, strict=True)]
     assert [every[at[k]] for k in back] == every and len(at) == 4 and (np.diff(h.astype(int)) >= 0).all()
+
+
+@pytest.mark.parametrize("n,bits", [(40, 3), (4000, 6), (300, 1)])
+def test_subtrees_equal_joins(spark, monkeypatch, n, bits):
+    """Branching in a task and branching by joins end in the same nodes and pairs, whatever the bound between them."""
+    monkeypatch.setattr(neardup, "SAME", 0)
+    rng = np.random.default_rng(n)
+    tokens = rng.integers(0, 1 << bits, (n, neardup.TREES * neardup.DEPTH)).astype(np.uint32)
+    df = spark.createDataFrame([(i.to_bytes(4, "big"), int(i % 5), t.tobytes()) for i, t in enumerate(tokens)], "key binary, c long, tokens binary")
+    for classes in (df.select("key", "tokens"), df):
+        got = []
+        for group, held in ((0, 32_000), (25, 32_000), (25, 7), (100, 60), (1 << 30, 50)):
+            monkeypatch.setattr(neardup, "GROUP", group)
+            monkeypatch.setattr(neardup, "HELD", held)
+            nodes, pairs = neardup._nodes(classes, 0, neardup.TREES)
+            got.append((Counter(map(str, nodes.collect())), {tuple(sorted(p)) for p in pairs.collect()}))
+        assert all(g == got[0] for g in got) and (got[0][0] or got[0][1])
+
+
+@pytest.mark.parametrize("n", [1, 3, 9])
+def test_quality_with_few_labels(spark, n):
+    """A model is fitted as soon as both qualities are labelled."""
+    good = [(i, " ".join(f"calm{(i * 7 + k) % 90} word{k}" for k in range(60))) for i in range(20)]
+    bad = [(100 + i, " ".join(f"spam{(i + k) % 90} buy{k}" for k in range(60))) for i in range(20)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 1, 0) for d, _ in good[:n]] + [(d, 0, 0) for d, _ in bad[:n]], "doc_id long, quality int, toxic int")
+    p = {r.doc_id: r.probability for r in quality.judge(docs, labels).collect()}
+    assert all(x is not None and 0 <= x <= 1 for x in p.values())
+    assert np.mean([p[d] for d, _ in good]) > np.mean([p[d] for d, _ in bad])
+    one = quality.judge(docs, labels.where("quality = 1")).collect()
+    assert all(r.probability is None and r.kept != r.base_failed for r in one)
+
+
+def test_language_sample_counts_repeated_rows_once(spark):
+    rows = [(i, f"the quick text {i} of many words", "en") for i in range(40)] + [(i, f"der schnelle Text {i} mit Worten", "de") for i in range(40, 80)]
+    df = spark.createDataFrame(rows + [rows[3]] * 500, "doc_id long, text string, lang string")
+    x, y, names = langid.training_runs(df, "text", "lang", "doc_id", 1000)
+    alone = langid.training_runs(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id", 1000)
+    assert names == ["de", "en"] and (x == alone[0]).all() and (y == alone[1]).all()
