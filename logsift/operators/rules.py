@@ -108,33 +108,51 @@ def template_grams(templates: DataFrame, gram: int = GRAM) -> DataFrame:
     return templates.select("number", F.explode(F.array_union(runs, F.array(F.lit("")))).alias("gram"))
 
 
-def candidates(templates: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(number, rule)``: pairs of a template and a rule that share a run which the rule requires."""
-    cut = template_grams(templates)
+def _code(gram: Column) -> Column:
+    """An ASCII run as a number that keeps its order; the empty run is 0."""
+    return sum((F.ascii(F.substring(gram, i + 1, 1)).cast("long") * (1 << 7 * (GRAM - 1 - i)) for i in range(GRAM)), F.lit(0).cast("long"))
+
+
+def _decode(code: Column) -> Column:
+    return F.when(code == 0, "").otherwise(F.concat(*[F.chr(F.shiftright(code, 7 * (GRAM - 1 - i)).bitwiseAND(F.lit(127))) for i in range(GRAM)]))
+
+
+def lookups(cut: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(rule, gram)``: each rule under the run of each of its literals that the fewest templates have."""
     wanted = materialize(index(rules), "rule_index")
     # how many templates have each run that a rule could be named by
     held = cut.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
-    named = (wanted.join(held, "gram", "left").groupBy("rule", "literal")
-             .agg(F.min_by("gram", F.struct(F.coalesce("held", F.lit(0)), F.col("gram"))).alias("gram")))
-    return cut.join(named.select("rule", "gram").distinct(), "gram").select("number", "rule").distinct()
+    # number of templates and run as one number: its minimum is a hash aggregation, where a struct's would sort all runs of all rules
+    runs = 1 << 7 * GRAM
+    named = (wanted.join(held, "gram", "left").withColumn("at", F.coalesce("held", F.lit(0)) * F.lit(runs) + _code(F.col("gram")))
+             .groupBy("rule", "literal").agg(F.min("at").alias("at")))
+    return named.select("rule", _decode(F.pmod("at", F.lit(runs))).alias("gram")).distinct()
 
 
 def first_rules(counts: DataFrame, rules: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``(keys, template, rule columns)`` for each distinct (keys of the rules, template) of ``counts`` that a
-    rule matches: the matching rule of the smallest position (then pattern, then title)."""
+    rule matches: the matching rule of the smallest position (then pattern, then title).
+
+    Rules are numbered in that order, so the first is the least number: a hash aggregation of longs, whose
+    memory follows the templates and not the pairs that met. Pairs that met twice are tried twice."""
     own = [k for k in keys if k in rules.columns]
+    theirs = ["_r_" + k for k in own]
+    order = ["position", "pattern", "title", *[c for c in COLUMNS if c not in ("position", "pattern", "title")]]
     rules = materialize(rules.select(*[F.col(k).alias("_r_" + k) for k in own], *[F.col(c).cast(t) for c, t in COLUMNS.items()])
-                        .withColumn("rule", F.monotonically_increasing_id()), "rules")
+                        .orderBy(*order).withColumn("rule", F.monotonically_increasing_id()), "rules")
+    # of rules with equal keys and pattern only the first can win
+    tried = materialize(rules.groupBy(*theirs, "pattern").agg(F.min("rule").alias("rule")), "tried")
     where = counts.select(*own, "template").distinct()
     templates = materialize(where.select("template").distinct().withColumn("number", F.monotonically_increasing_id()), "templates")
-    pairs = candidates(templates, rules)
-    matched = (pairs.join(templates, "number").join(rules, "rule")
-               .filter(F.expr("template rlike pattern")))
+    cut = template_grams(templates)
+    met = cut.join(lookups(cut, tried).join(tried, "rule"), "gram")
+    matched = met.join(templates, "number").filter(F.expr("template rlike pattern"))
+    first = matched.groupBy(*theirs, "number").agg(F.min("rule").alias("rule"))
     if own:
-        where = where.select(*own, F.col("template").alias("_t"))
-        fits: Column = F.col("template") == F.col("_t")
+        here = where.join(templates.withColumnRenamed("template", "_t"), F.col("template").eqNullSafe(F.col("_t"))).select(*own, F.col("number").alias("_n"))
+        fits: Column = F.col("number") == F.col("_n")
         for k in own:
             fits = fits & (F.col("_r_" + k).isNull() | (F.col("_r_" + k) == F.col(k)))
-        matched = matched.join(where, fits)
-    best = F.min_by(F.struct(*COLUMNS), F.struct("position", "pattern", "title", *[c for c in COLUMNS if c not in ("position", "pattern", "title")]))
-    return matched.groupBy(*own, "template").agg(best.alias("_rule")).select(*own, "template", "_rule")
+        first = first.join(here, fits).groupBy(*own, "number").agg(F.min("rule").alias("rule"))
+    best = rules.select("rule", F.struct(*COLUMNS).alias("_rule"))
+    return first.join(best, "rule").join(templates, "number").select(*own, "template", "_rule")

@@ -64,6 +64,16 @@ def test_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_first_rule_without_sorting_pairs(spark):
+    """The first rule is found by hash aggregations of numbers: memory doesn't follow the pairs that met."""
+    counts = spark.createDataFrame([("a", "wan down")], "site string, template string")
+    rules = spark.createDataFrame([(s, p, "escalate", "wan.*down", f"t{p}", "c", "error", 1, "r") for s in (None, "a", "b") for p in (3, 1, 2)], COLS)
+    found = R.first_rules(counts, rules, ["site"])
+    plan = found._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    assert [(r.site, r._rule.position, r._rule.title) for r in found.collect()] == [("a", 1, "t1")]
+
+
 def test_no_rules_and_no_templates(spark):
     rules = spark.createDataFrame([], COLS)
     counts = spark.createDataFrame([("a", "wan down")], "site string, template string")
