@@ -83,14 +83,17 @@ def stored_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The parsed lines as a written raw_logs table (what evaluations read),
     written once like ingest would, partitioned by ``log_date``.
 
-    Rows are range-partitioned by ``ts`` before the write, as a time-ordered
+    Rows are range-partitioned by ``ts``, as a time-ordered
     ingest would lay them out: each task writes one or two days (few files)
     and Parquet row groups get tight ``ts`` min/max statistics for pushdown.
+    The raw rows are shuffled and parsed afterwards: bounds are sampled without
+    parsing, and the input's row groups don't limit how many tasks parse.
     The number of ranges is ``spark.sql.shuffle.partitions``, which a cluster
     sizes to its data volume.
     """
     def build(s: SparkSession, d: str) -> DataFrame:
-        return FS.with_log_date(lines(s, d)).repartitionByRange("ts")
+        ordered = TD.events(s, d, dealt=False).repartitionByRange("ts")
+        return FS.with_log_date(parse_lines(TD.syslog_view(ordered), "raw", keep=["id", "ts"]))
     return _stored(spark, sf, "raw_logs", build, ["log_date"])
 
 

@@ -11,6 +11,8 @@ grows with the table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +38,25 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartition(n) if n else df
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` with ``ts`` as an instant (the file stores wall-clock UTC)."""
-    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+#: Compressed bytes of a table that one task parses.
+SHARE = 4 << 20
+
+
+def shares(spark: SparkSession, path: str) -> int:
+    """Partitions that keep all cores busy with the table at ``path``: two a core, more if it is large."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return max(2 * spark.sparkContext.defaultParallelism, math.ceil(size / SHARE))
+
+
+def events(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    """``events`` with ``ts`` as an instant (the file stores wall-clock UTC). A table of few files, whose row
+    groups may be fewer than the cores, is dealt to :func:`shares` partitions; not so without ``dealt``, where
+    the caller shuffles the rows before the work on them."""
+    ev, n = table(spark, sf_dir, "events"), shares(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+    if dealt and not int(spark.conf.get(SPREAD, "0")) and len(ev.inputFiles()) < n:
+        ev = spread(ev, n)
+    return ev.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 # Fixed values of the view: syslog severity per event type.
