@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ from . import periods as P
 def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
     """``events`` as a file stream (the whole table, one micro-batch)."""
     schema = TD.table(spark, sf, "events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .parquet(sf.rstrip("/")).withColumn("ts", F.col("ts").cast("timestamp")))
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf.rstrip("/"))
+    return stream.repartition(TD.shares(spark, f"{sf.rstrip('/')}/events.parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def q_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,25 +234,27 @@ def q_history_stored(spark: SparkSession, sf: str) -> DataFrame:
 ARRIVAL_DAYS, LATE_EVERY = 5, 50
 
 
-def arrivals(spark: SparkSession, sf: str, root: str) -> int:
-    """Parsed lines of ``events`` as files in the order they arrive; every ``LATE_EVERY``-th line comes
-    with the next file. Returns the number of files."""
-    lines = stored_lines(spark, sf).drop("log_date")
-    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
-    lines = lines.withColumn("arrival", F.floor(day / ARRIVAL_DAYS).cast("int") + F.when(F.col("id") % LATE_EVERY == 0, 1).otherwise(0))
-    files = [r[0] for r in lines.select("arrival").distinct().orderBy("arrival").collect()]
-    for n in files:  # one after the other, so that their times tell their order
-        lines.filter(F.col("arrival") == n).drop("arrival").coalesce(1).write.mode("append").parquet(root)
-    return len(files)
+def arrivals(spark: SparkSession, sf: str, root: str) -> Iterator[DataFrame]:
+    """Parsed lines of ``events`` in the order they arrive; every ``LATE_EVERY``-th line comes with the next
+    arrival. Each step adds the files of one arrival to ``root``, as many as there are tasks, and gives the stream
+    over ``root``: run until nothing is left, it takes the arrival as one micro-batch."""
+    lines = stored_lines(spark, sf)
+    first = F.lit("2024-01-01").cast("date")
+    arrival = F.floor(F.datediff(F.to_date("ts"), first) / ARRIVAL_DAYS).cast("int") + F.when(F.col("id") % LATE_EVERY == 0, 1).otherwise(0)
+    lines = lines.withColumn("arrival", arrival)
+    schema = lines.drop("arrival", "log_date").schema
+    for n in [r[0] for r in lines.filter("arrival is not null").select("arrival").distinct().orderBy("arrival").collect()]:
+        day = F.datediff("log_date", first)  # only the folders of the arrival's days are read
+        days = lines.filter((day >= (n - 1) * ARRIVAL_DAYS) & (day < (n + 1) * ARRIVAL_DAYS))
+        days.filter(F.col("arrival") == n).drop("arrival", "log_date").write.mode("append").parquet(root)
+        yield spark.readStream.schema(schema).parquet(root)
 
 
 def q_closed_periods(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly template counts emitted as hours close, corrected by late lines, read back."""
     root = scratch_path(spark, "periods", uuid.uuid4().hex)
-    arrivals(spark, sf, f"{root}/in")
-    schema = spark.read.parquet(f"{root}/in").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    P.close_periods(stream, f"{root}/out", f"{root}/checkpoint", horizon="12 days")
+    for stream in arrivals(spark, sf, f"{root}/in"):
+        P.close_periods(stream, f"{root}/out", f"{root}/checkpoint", horizon="12 days")
     c = P.closed_counts(spark, f"{root}/out")
     return ntz(c.select("period_start", "period_end", "template", "count", "elevated", "worst_severity", "count_at_close", "corrections"))
 
@@ -259,9 +262,8 @@ def q_closed_periods(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_counts_compacted(spark: SparkSession, sf: str) -> DataFrame:
     """Per-hour template counts of a stream in several micro-batches, merged by day on the way."""
     root = scratch_path(spark, "compacted", uuid.uuid4().hex)
-    arrivals(spark, sf, f"{root}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    I.run_continuous_counts(stream, f"{root}/counts", f"{root}/checkpoint", compact_every=3)
+    for stream in arrivals(spark, sf, f"{root}/in"):
+        I.run_continuous_counts(stream, f"{root}/counts", f"{root}/checkpoint", compact_every=3)
     return ntz(D.top_templates(I.continuous_counts(spark, f"{root}/counts"), k=3).select("period_start", "rank", "template", "count"))
 
 

@@ -39,3 +39,31 @@ def test_jobs_for_two_sites(spark):
     counts = FS.purge(spark, fpath, "2024-01-07 12:00:00", 1)
     assert counts["kept"] + counts["removed"] == n_stored
     assert spark.read.parquet(fpath).count() == counts["kept"]
+
+
+def test_parsing_is_dealt_to_all_cores(spark, monkeypatch):
+    """A table of one file is one task; its lines are parsed by many, and behind the shuffle."""
+    from logsift.sources import testdata as TD
+    assert TD.events(spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(C, "_stored", lambda s, sf, name, build, by=None: build(s, sf))
+    plan = C.stored_lines(spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+    above, below = plan.split("repartitionbyexpression", 1)
+    assert "regexp" in above and "regexp" not in below
+
+
+def test_arrivals_are_written_by_many_tasks(spark, tmp_path):
+    """Each arrival is added as a whole, in order, by as many tasks as read it."""
+    import pathlib
+
+    from logsift.streaming import queries as Q
+    seen, files = [], []
+    for stream in Q.arrivals(spark, SF, f"{tmp_path}/in"):
+        new = sorted(str(p) for p in pathlib.Path(f"{tmp_path}/in").glob("*.parquet") if str(p) not in {f for fs in files for f in fs})
+        files.append(new)
+        seen.append(spark.read.parquet(*new).select("id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("d")).collect())
+        assert stream.isStreaming
+    assert max(map(len, files)) > 1 and len(files) > 3
+    for n, rows in enumerate(seen):
+        assert all(r.d // Q.ARRIVAL_DAYS == n - (r.id % Q.LATE_EVERY == 0) for r in rows)
+    ids = sorted(r.id for rows in seen for r in rows)
+    assert ids == sorted(r.id for r in C.stored_lines(spark, SF).select("id").collect())
