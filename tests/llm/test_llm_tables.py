@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,31 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_chats(df.limit(0))).collect() == []
 
 
+def test_chat_examples(spark, monkeypatch):
+    """Every assistant turn carries its example: all turns before it and its own; the digests are read from those."""
+    rows = [(c, t, ("user", "assistant", "tool")[(t + c) % 3], f"<{c}> said {t} \\" * (t % 4)) for c in range(5) for t in range(40)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for c in range(5):
+        got, text = out.where(F.col("conv_id") == c).orderBy("position").collect(), ""
+        for r, (_, t, role, said) in zip(got, rows[40 * c:], strict=False):
+            text += f"<turn {role}>\n{chat.escape(said)}</turn>\n"
+            assert (r.position, r.role, r.end) == (t, role, len(text))
+            assert r.example == (text if role == "assistant" else None)
+            assert role != "assistant" or r.example[r.loss_start:r.loss_end] == chat.escape(said)
+        assert len(got) == 40
+    # small batches: nothing is lost between them
+    monkeypatch.setattr(chat, "HELD", 50)
+    given = pa.RecordBatch.from_pydict({"c": [r[0] for r in rows], "role": [r[2] for r in rows], "text": [r[3] for r in rows]})
+    small = pa.Table.from_batches(chat._expand(iter([given.slice(0, 33), given.slice(33)])))
+    want = out.orderBy("conv_id", "position").collect()
+    assert small.column("conv_id").to_pylist() == [r.conv_id for r in want]
+    assert small.column("example").to_pylist() == [r.example for r in want]
+    # a damaged example is not read back
+    bad = out.withColumn("example", F.when(F.col("position") == 4, F.concat(F.lit("x"), "example")).otherwise(F.col("example")))
+    with pytest.raises(Exception, match="cannot be read back"):
+        chat.read_back(bad).collect()
+
+
 def brute_url(url):
     if url is None or "://" not in url:
         return "", ""
