@@ -32,6 +32,9 @@ from .review import REVIEW_HOUR, WINDOW_DAYS, direction, explode_issues, plain_i
 
 DATES = ["enters", "halves", "leaves"]
 COUNTS = ["hours", "occurrences", "first_half", "second_half", "days"]
+#: Columns of a partial behind its keys.
+STORED = ("title string, severity string, category string, day string, enters date, halves date, leaves date, hours long, "
+          "occurrences long, first_key decimal(38,0)")
 
 
 def review_at(day: Column, review_hour: int = REVIEW_HOUR, tz: str = "UTC") -> Column:
@@ -72,8 +75,14 @@ def store_partials(rows: DataFrame, path: str, source: str, run: int) -> None:
 
 
 def stored_partials(spark: SparkSession, path: str, keys: Sequence[str] = (), review=None) -> DataFrame:
-    """Partials of all appends; with ``review`` (a date), of those that are in that review's window."""
-    rows = spark.read.parquet(path)
+    """Partials of all appends; with ``review`` (a date), of those that are in that review's window. Appends without
+    any issue leave a folder without a schema, which holds no partials (``keys`` are strings then)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p) and not any(s.getPath().getName().startswith("source=") for s in fs.listStatus(p)):
+        rows = spark.createDataFrame([], ", ".join([*[f"`{k}` string" for k in keys], STORED]))
+    else:
+        rows = spark.read.parquet(path)
     if review is not None:
         at = F.lit(review).cast("date")
         rows = rows.filter((F.col("enters") <= at) & (F.col("leaves") > at))
