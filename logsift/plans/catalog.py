@@ -27,7 +27,7 @@ from ..operators import review as R
 from ..operators import sketches as SK
 from ..session import scratch_path
 from ..sources import testdata as TD
-from ..sources.tables import write_table
+from ..sources.tables import materialize, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,12 +87,13 @@ def stored_lines(spark: SparkSession, sf: str) -> DataFrame:
     ingest would lay them out: each task writes one or two days (few files)
     and Parquet row groups get tight ``ts`` min/max statistics for pushdown.
     The raw rows are shuffled and parsed afterwards: bounds are sampled without
-    parsing, and the input's row groups don't limit how many tasks parse.
+    parsing, and the input's row groups don't limit how many tasks parse. They are
+    written in between, as the parser's filters would go through the shuffle to the scan.
     The number of ranges is ``spark.sql.shuffle.partitions``, which a cluster
     sizes to its data volume.
     """
     def build(s: SparkSession, d: str) -> DataFrame:
-        ordered = TD.events(s, d, dealt=False).repartitionByRange("ts")
+        ordered = materialize(TD.events(s, d, dealt=False).repartitionByRange("ts"), "raw_events")
         return FS.with_log_date(parse_lines(TD.syslog_view(ordered), "raw", keep=["id", "ts"]))
     return _stored(spark, sf, "raw_logs", build, ["log_date"])
 
