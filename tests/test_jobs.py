@@ -46,9 +46,10 @@ def test_parsing_is_dealt_to_all_cores(spark, monkeypatch):
     from logsift.sources import testdata as TD
     assert TD.events(spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
     monkeypatch.setattr(C, "_stored", lambda s, sf, name, build, by=None: build(s, sf))
-    plan = C.stored_lines(spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
-    above, below = plan.split("repartitionbyexpression", 1)
-    assert "regexp" in above and "regexp" not in below
+    lines = C.stored_lines(spark, SF)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" in plan and "repartition" not in plan  # neither the parser nor its filters run before the shuffle
+    assert not any("events.parquet" in f for f in lines.inputFiles())
 
 
 def test_arrivals_are_written_by_many_tasks(spark, tmp_path):
