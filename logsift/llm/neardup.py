@@ -12,7 +12,8 @@ The least tokens of all trees also estimate the similarity of a pair; pairs
 far below the threshold are not confirmed. The others are confirmed on the
 full sets. Nodes that stay large after ``DEPTH`` steps hold large groups of
 near copies: each class is compared with the node's first one, and then classes outside the
-node's largest component are compared with all on full sets, chunk by chunk.
+node's largest component are compared with all on full sets, chunk by chunk. A
+chunk is bounded by rows and by bytes, so long texts make more chunks.
 
 Classes that were in a node of more than ``LEAF`` after two steps or later go
 through ``MORE`` further trees in the same way, where only nodes and pairs of
@@ -33,7 +34,7 @@ component; a class of null ids only has a null one and its rows stay.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,7 +51,10 @@ TREES, DEPTH, LEAF = 16, 6, 12
 MORE = 32
 #: Of TREES * DEPTH least tokens, so many must agree before the full sets are compared.
 AGREE = TREES * DEPTH // 2
-CHUNK = 256
+#: Rows of a chunk, and bytes that a task holds of them (sets and compressed texts): what is reached first bounds it.
+CHUNK, CHUNK_BYTES = 256, 4 << 20
+#: Bytes of texts that are split into words together.
+TEXTS = 2 << 20
 #: Two classes of a small node are a pair if so many of the lowest bits of their SKETCH first least tokens agree:
 #: those of similarity 0.75 fall below with 2e-9, unrelated ones nearly always.
 SKETCH, SAME = 96, 62
@@ -79,6 +83,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     return out
 
 
+def sets_of(texts: Iterable[bytes], size: int = SHINGLE, limit: int = TEXTS) -> list[np.ndarray]:
+    """``shingle_sets`` of texts that come one by one: about ``limit`` bytes of them are held, one text at least."""
+    out, held, n = [], [], 0
+
+    def done() -> None:
+        out.extend(shingle_sets(np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)]), size))
+        held.clear()
+
+    for x in texts:
+        if held and n + len(x) > limit:
+            done()
+            n = 0
+        held.append(x)
+        n += len(x)
+    if held:
+        done()
+    return out
+
+
 def least_tokens(s: np.ndarray, factors: np.ndarray = _FACTORS) -> np.ndarray:
     """The least token under each hash (TREES * DEPTH of them), as 32 bits."""
     best = np.full(len(factors), (1 << 64) - 1, np.uint64)
@@ -331,9 +354,10 @@ def _apart(size: int, percent: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         import zstandard
+        if not ((rows["side"] != 0).any() and (rows["side"] != 1).any()):  # no row fell into one of the chunks
+            return pd.DataFrame([], columns=["a", "b"])
         unz = zstandard.ZstdDecompressor()
-        texts = [unz.decompress(z, max_output_size=1 << 31) for z in rows["z"]]
-        sets = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), size)
+        sets = sets_of((unz.decompress(z, max_output_size=1 << 31) for z in rows["z"]), size)
         keys, side = rows["key"].tolist(), rows["side"].to_numpy()
         names = {c: k for k, c in enumerate(dict.fromkeys(rows["component"]))}
         root = list(range(len(names)))
@@ -382,12 +406,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return written(pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b").mapInArrow(_agree, "a binary, b binary"), "likely")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return written(pairs.join(texts.toDF("a", "za"), "a").join(texts.toDF("b", "zb"), "b").mapInArrow(_confirm(size, percent), "a binary, b binary"), "links")
+        z = texts.select("key", "z")
+        return written(pairs.join(z.toDF("a", "za"), "a").join(z.toDF("b", "zb"), "b").mapInArrow(_confirm(size, percent), "a binary, b binary"), "links")
 
     met = likely(pairs)
     # all texts that are read again: of pairs, and of crowded classes, among which all further pairs are. Shuffled once.
     needed = met.select(F.col("a").alias("key")).union(met.select(F.col("b").alias("key"))).union(crowded).distinct()
-    texts = written(rows.select("key", "z").join(needed, "key", "left_semi").groupBy("key").agg(F.max("z").alias("z")), "texts")
+    texts = written(rows.select("key", "z", "n").join(needed, "key", "left_semi").groupBy("key").agg(F.max("z").alias("z"), F.max("n").alias("n"))
+                    .select("key", "z", (8 * F.col("n") + F.length("z")).alias("held")), "texts")
     found = confirmed(met)
     grouped = components(found)
     if not crowded.isEmpty():
@@ -405,14 +431,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     open_ = (member.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"),
                                         F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x"))
              .where("lo != hi").groupBy("n", "s", "x").agg(F.min("node").alias("node")).select("node"))
-    open_ = written(member.join(open_, "node"), "open")
+    open_ = written(member.join(open_, "node").join(texts.select("key", "held"), "key"), "open")
     if not open_.isEmpty():
         # a node's largest component against the classes outside it, and these among themselves
-        parts = open_.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
-        main = parts.groupBy("node").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n")).select(
-            "node", F.col("m.component").alias("main"), F.ceil(F.col("m.n") / CHUNK).cast("int").alias("nm"), F.ceil((F.col("n") - F.col("m.n")) / CHUNK).cast("int").alias("ns"))
+        def chunks(n, held):
+            return F.greatest(F.ceil(n / CHUNK), F.ceil(held / CHUNK_BYTES)).cast("int")
+
+        parts = open_.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("held"))
+        main = parts.groupBy("node").agg(F.max(F.struct("n", "component", "held")).alias("m"), F.sum("n").alias("n"), F.sum("held").alias("held")).select(
+            "node", F.col("m.component").alias("main"), chunks(F.col("m.n"), F.col("m.held")).alias("nm"), chunks(F.col("n") - F.col("m.n"), F.col("held") - F.col("m.held")).alias("ns"))
         inside_ = F.col("component") == F.col("main")
-        chunk = open_.join(main, "node").join(texts, "key").withColumn("c", F.pmod(F.xxhash64("key"), F.when(inside_, F.col("nm")).otherwise(F.col("ns"))).cast("int"))
+        chunk = open_.join(main, "node").join(texts.select("key", "z"), "key").withColumn("c", F.pmod(F.xxhash64("key"), F.when(inside_, F.col("nm")).otherwise(F.col("ns"))).cast("int"))
 
         def against(n: str):
             return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("d")

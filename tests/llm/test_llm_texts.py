@@ -158,6 +158,43 @@ def test_near_duplicates_large_groups(spark, monkeypatch):
     assert Counter(map(tuple, neardup.near_duplicates(df).collect())) == brute_components(rows)
 
 
+def test_near_duplicates_of_long_texts(spark, monkeypatch, tmp_path):
+    """Near copies of one long text in nodes that stay large: chunks are bounded by bytes, whatever their rows."""
+    monkeypatch.setattr(neardup, "LEAF", 3)
+    monkeypatch.setattr(neardup, "CHUNK_BYTES", 100_000, raising=False)
+    compared = neardup._apart
+
+    def recorded(size, percent):
+        run, folder = compared(size, percent), str(tmp_path)
+
+        def seen(rows):
+            import uuid
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(sum(map(len, rows["z"]))))
+            return run(rows)
+        return seen
+
+    monkeypatch.setattr(neardup, "_apart", recorded)
+    base, rows = [f"w{i}" for i in range(3000)], []
+    for i in range(50):
+        rows.append((i, " ".join([*base[:60 * i], f"n{i}", *base[60 * i + 1:]])))
+    for i in range(20):  # at 0.72 from the others
+        rows.append((100 + i, " ".join([*base[:120 * i], *(f"m{i}_{k}" for k in range(480)), *base[120 * i + 480:]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, neardup.near_duplicates(df).collect())) == brute_components(rows)
+    held = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert held and max(held) < 150_000  # all 70 texts, which met in one task before, take about 500,000
+
+
+@pytest.mark.parametrize("limit", [1, 40, 1000])
+def test_sets_of_texts_one_by_one(limit):
+    texts = [x.encode() for x in ("a b c d e f", "one", "x " * 60, "a b c d e f g h", "é ü")]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = neardup.sets_of(iter(texts), limit=limit)
+    assert [x.tolist() for x in got] == [x.tolist() for x in neardup.shingle_sets(data, offsets)]
+    assert neardup.sets_of(iter([])) == []
+
+
 def test_near_duplicates_of_a_large_group(spark):
     """Hundreds of copies that differ in the tail only, and documents at 0.75 to 0.80 from all of them."""
     rows = []
